@@ -116,7 +116,7 @@ def running_baseline(telemetry: DataFrame, value: str = "rows_out") -> DataFrame
     n = F.col("_n") + F.col("_n0")
     s, q = (F.col("_s") + F.col("_s0")).cast("double"), (F.col("_q") + F.col("_q0")).cast("double")
     mean = F.try_divide(s, n.cast("double"))
-    spread = F.greatest(F.try_divide(q, n.cast("double")) - mean * mean, F.lit(0.0))
+    spread = F.when(n > 0, F.greatest(F.try_divide(q, n.cast("double")) - mean * mean, F.lit(0.0)))
     return both.withColumn(
         "baseline",
         F.struct(

@@ -87,15 +87,8 @@ def _long_form(observed: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return observed.select(F.inline(rows))
 
 
-def run_checks(
-    spark: SparkSession,
-    tables: Mapping[str, DataFrame],
-    checks: Sequence[Check],
-    run_id: str,
-    pipeline_key: str,
-    checked_at: Column,
-) -> DataFrame:
-    """One row per check; all built-in checks of a table share one scan and one aggregation."""
+def measured(spark: SparkSession, tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
+    """One row per check with its outcome; all built-in checks of a table share one scan and aggregation."""
     parts = []
     for name in dict.fromkeys(c.table for c in checks if not c.query):
         mine = [c for c in checks if c.table == name and not c.query]
@@ -107,13 +100,26 @@ def run_checks(
     if not parts:
         raise ValueError("no checks given")
     rows = reduce(DataFrame.unionByName, parts)
-    return rows.select(
-        F.lit(run_id).alias("run_id"),
-        F.lit(pipeline_key).alias("pipeline_key"),
-        "*",
-        compare(F.col("observed_value"), F.col("comparator"), F.col("threshold_value")).alias("passed"),
-        checked_at.alias("checked_at"),
-    )
+    outcome = compare(F.col("observed_value"), F.col("comparator"), F.col("threshold_value"))
+    return rows.withColumn("passed", outcome)
+
+
+def label_runs(rows: DataFrame, runs: Sequence[tuple[str, str]], checked_at: Column) -> DataFrame:
+    """Results under the name of every given ``(run_id, pipeline_key)``."""
+    named = F.array(*[F.struct(F.lit(r).alias("run_id"), F.lit(p).alias("pipeline_key")) for r, p in runs])
+    return rows.select(F.inline(named), *rows.columns, checked_at.alias("checked_at"))
+
+
+def run_checks(
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    checks: Sequence[Check],
+    run_id: str,
+    pipeline_key: str,
+    checked_at: Column,
+) -> DataFrame:
+    """All checks under one run; append the result to ``fact_dq_check``."""
+    return label_runs(measured(spark, tables, checks), [(run_id, pipeline_key)], checked_at)
 
 
 def dq_summary(results: DataFrame) -> DataFrame:

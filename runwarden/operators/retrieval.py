@@ -185,7 +185,7 @@ def reviews_enriched(
 
     topic = None
     for name, words in topics.items():
-        found = F.exists("_t", lambda t, w=tuple(words): t.isin(*w))
+        found = hits(words) > 0
         topic = F.when(found, name) if topic is None else topic.when(found, name)
     return (
         reviews.withColumn("_t", text.tokens(F.col("review_text")))

@@ -33,6 +33,29 @@ class Inputs:
     previous: DataFrame
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Telemetry split into the current runs, the runs before them and the baseline schemas."""
+
+    current: DataFrame
+    history: DataFrame
+    previous: DataFrame
+
+
+def split_runs(
+    telemetry: DataFrame, as_of: Column, lookback_hours: float | None = 24, snapshot_baseline: str = "oldest"
+) -> Runs:
+    if snapshot_baseline not in ("oldest", "previous"):
+        raise ValueError("snapshot_baseline is 'oldest' or 'previous'")
+    flagged = current_vs_history(telemetry.filter(since("ended_at", as_of, lookback_hours)))
+    history = flagged.filter(~F.col("is_current"))
+    return Runs(
+        flagged.filter("is_current"),
+        history,
+        baselines.oldest_snapshot(history, newest=snapshot_baseline == "previous"),
+    )
+
+
 def load_inputs(
     telemetry: DataFrame,
     dq: DataFrame,
@@ -42,16 +65,13 @@ def load_inputs(
     snapshot_baseline: str = "oldest",
 ) -> Inputs:
     """Recent rows of the three inputs, telemetry split into current and past runs."""
-    if snapshot_baseline not in ("oldest", "previous"):
-        raise ValueError("snapshot_baseline is 'oldest' or 'previous'")
-    flagged = current_vs_history(telemetry.filter(since("ended_at", as_of, lookback_hours)))
-    history = flagged.filter(~F.col("is_current"))
+    runs = split_runs(telemetry, as_of, lookback_hours, snapshot_baseline)
     return Inputs(
-        current=flagged.filter("is_current"),
-        history=history,
+        current=runs.current,
+        history=runs.history,
         dq=dq.filter(since("checked_at", as_of, lookback_hours)),
         logs=logs.filter(since("collected_at", as_of, lookback_hours)),
-        previous=baselines.oldest_snapshot(history, newest=snapshot_baseline == "previous"),
+        previous=runs.previous,
     )
 
 

@@ -104,7 +104,7 @@ def layer_row_counts(t: Tables) -> DataFrame:
 
 @plan
 def orphan_keys(t: Tables) -> DataFrame:
-    return medallion.orphan_keys(t.silver_orders, t.silver_customers, t.silver_products)
+    return medallion.orphan_keys(t.at("silver_orders"), t.silver_customers, t.silver_products)
 
 
 @plan
@@ -257,7 +257,7 @@ def detect_job_crash(t: Tables) -> DataFrame:
 
 @plan
 def detect_status_failure(t: Tables) -> DataFrame:
-    return rules.detect_status_failure(t.inputs().current)
+    return rules.detect_status_failure(t.runs().current)
 
 
 @plan
@@ -271,26 +271,26 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @plan
 def detect_volume(t: Tables) -> DataFrame:
-    i = t.inputs()
+    i = t.runs()
     return _rounded(rules.detect_volume(i.current, i.history))
 
 
 @plan
 def detect_volume_cold(t: Tables) -> DataFrame:
     """Three days of lookback leave too little history, so ratios decide."""
-    i = t.inputs(hours=72)
+    i = t.runs(hours=72)
     return _rounded(rules.detect_volume(i.current, i.history))
 
 
 @plan
 def detect_null_spike(t: Tables) -> DataFrame:
-    i = t.inputs()
+    i = t.runs()
     return _rounded(rules.detect_null_spike(i.current, i.history))
 
 
 @plan
 def detect_schema_drift(t: Tables) -> DataFrame:
-    i = t.inputs()
+    i = t.runs()
     found = rules.detect_schema_drift(i.current, i.previous)
     changes = F.transform(
         "type_changes", lambda c: F.concat(c["column"], F.lit(":"), c["from"], F.lit(">"), c["to"])
@@ -306,7 +306,7 @@ def detect_schema_drift(t: Tables) -> DataFrame:
 
 @plan
 def duration_decision(t: Tables) -> DataFrame:
-    i = t.inputs()
+    i = t.runs()
     return _rounded(rules.duration_decision(i.current, i.history))
 
 
@@ -355,8 +355,7 @@ _PLANS["incidents"] = _PLANS.pop("incident_rows")
 @plan
 def incident_dedup(t: Tables) -> DataFrame:
     """Newly opened incidents when those found by task logs alone already exist."""
-    old = incidents.incidents(rules.to_signals(rules.detect_job_crash(t.task_logs), 1))
-    return incidents.incident_dedup(t.incidents, old).select(
+    return incidents.incident_dedup(t.incidents, _opened_before(t)).select(
         "incident_id", "job_run_id", "pipeline_key", "primary_failure_type", "severity"
     )
 
@@ -377,12 +376,12 @@ def incident_upsert(t: Tables) -> DataFrame:
 
 @plan
 def incident_signals_join(t: Tables) -> DataFrame:
-    return incidents.incident_signals_join(t.incidents, t.incident_signals)
+    return incidents.incident_signals_join(t.at("incidents"), t.incident_signals)
 
 
 @plan
 def incident_with_signals(t: Tables) -> DataFrame:
-    rows = incidents.with_signals(t.incidents, t.incident_signals)
+    rows = incidents.with_signals(t.at("incidents"), t.incident_signals)
     return rows.select(
         "incident_id",
         "pipeline_key",
@@ -425,6 +424,11 @@ def _actions(t: Tables) -> DataFrame:
     return evidence.agent_actions(_reports(t), t.as_of)
 
 
+def _opened_before(t: Tables) -> DataFrame:
+    """Incidents that task logs alone had opened."""
+    return incidents.incidents(rules.to_signals(rules.detect_job_crash(t.at("task_logs")), 1))
+
+
 @plan
 def incident_timeline(t: Tables) -> DataFrame:
     return incidents.incident_timeline(t.incident_signals, t.all_events, _actions(t), t.approvals)
@@ -455,7 +459,7 @@ def prove_scorecard(t: Tables) -> DataFrame:
 
 @plan
 def detection_summary(t: Tables) -> DataFrame:
-    old = incidents.incidents(rules.to_signals(rules.detect_job_crash(t.task_logs), 1))
+    old = _opened_before(t)
     return scoring.detection_summary(t.signals, old)
 
 
@@ -484,7 +488,7 @@ def grade_summary(t: Tables) -> DataFrame:
 
 @plan
 def agent_accuracy(t: Tables) -> DataFrame:
-    acc = scoring.agent_accuracy(_grades(t), t.incidents)
+    acc = scoring.agent_accuracy(_grades(t), t.at("incidents"))
     return acc.withColumns({c: F.round(c, 6) for c in ("mean_score", "full_marks_rate")})
 
 
@@ -494,7 +498,7 @@ def _corpus(t: Tables) -> DataFrame:
 
 
 def _runbook_hits(t: Tables, k: int = 3) -> DataFrame:
-    return retrieval.runbook_search(_corpus(t), evidence.incident_queries(t.incidents), k)
+    return retrieval.runbook_search(_corpus(t), evidence.incident_queries(t.at("incidents")), k)
 
 
 @plan
@@ -565,13 +569,14 @@ def commits_since_success(t: Tables) -> DataFrame:
 
 
 def _reports(t: Tables) -> DataFrame:
+    logs_once = t.at("task_logs")
     return evidence.rca_report(
-        t.incidents,
+        t.at("incidents"),
         t.incident_signals,
-        t.dq_results,
-        t.task_logs,
-        t.telemetry,
-        evidence.correlate_commits(t.incidents.select("pipeline_key"), t.commits),
+        t.at("dq_results"),
+        logs_once,
+        t.at("telemetry"),
+        evidence.correlate_commits(t.at("incidents").select("pipeline_key"), t.commits),
         _runbook_hits(t),
     )
 
@@ -628,7 +633,7 @@ def schema_ddl(t: Tables) -> DataFrame:
     """Statements for every pipeline whose newest snapshot differs from its oldest."""
     from runwarden.functions import snapshots
 
-    i = t.inputs()
+    i = t.runs()
     now = i.current.select("pipeline_key", snapshots.parsed(F.col("schema_snapshot_json")).alias("current"))
     now = now.groupBy("pipeline_key").agg(F.any_value("current").alias("current"))
     tables = now.join(i.previous, F.col("pipeline_key") == F.col("pipeline")).select(

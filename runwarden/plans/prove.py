@@ -82,7 +82,7 @@ def crash_evidence(t: Tables) -> DataFrame:
 
 def prove_signals(t: Tables) -> DataFrame:
     telemetry = volume_evidence(t).unionByName(schema_evidence(t))
-    inputs = rules.load_inputs(telemetry, t.dq_results, crash_evidence(t), t.as_of, lookback_hours=48)
+    inputs = rules.load_inputs(telemetry, t.at("dq_results"), crash_evidence(t), t.as_of, lookback_hours=48)
     return rules.all_signals(inputs)
 
 

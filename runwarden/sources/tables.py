@@ -7,9 +7,10 @@ from functools import cached_property, reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwarden import fixed
+from runwarden import fixed, schemas
 from runwarden.functions import text
 from runwarden.operators import evidence, incidents, logs, medallion, perturb, quality, rules
+from runwarden.session import fresh_dir
 
 # All derived operations rows fall into January 2024; detection runs at the end of it.
 AS_OF = "2024-01-31 00:00:00"
@@ -45,13 +46,31 @@ def _at(base: int, seconds: Column) -> Column:
 
 
 class Tables:
-    """Lazy views of one data folder. Every property is a plan; nothing runs until it is used."""
+    """Lazy views of one data folder. Every property is a plan; nothing runs until it is used.
+
+    ``at(name)`` is the same table written once to the shared folder and read back. Plans use it where a
+    table feeds several consumers or ends a long lineage, which is also where a deployed job would hand
+    over a table on disk. Written stages belong to one ``Tables`` object and so to one run.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
+        self._staged: dict[str, DataFrame] = {}
+
+    def at(self, name: str) -> DataFrame:
+        if name not in self._staged:
+            df = getattr(self, name)
+            path = fresh_dir(self.spark, f"stages/{name}")
+            df.write.parquet(path)
+            self._staged[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self._staged[name]
+
+    def near(self, name: str) -> DataFrame:
+        """The stage when this run has written it already, else the plan."""
+        return self._staged[name] if name in self._staged else getattr(self, name)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(schemas.GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
     @property
     def as_of(self) -> Column:
@@ -157,17 +176,17 @@ class Tables:
     def fact_orders(self) -> DataFrame:
         return medallion.fact_orders(self.silver_orders)
 
-    @cached_property
+    @property
     def doubled_orders(self) -> DataFrame:
-        return perturb.perturb_duplicate(self.silver_orders)
+        return perturb.perturb_duplicate(self.near("silver_orders"))
 
-    @cached_property
+    @property
     def holed_customers(self) -> DataFrame:
-        return perturb.perturb_nulls(self.silver_customers, "email", F.col("customer_id").cast("long"))
+        return perturb.perturb_nulls(self.near("silver_customers"), "email", F.col("customer_id").cast("long"))
 
-    @cached_property
+    @property
     def late_events(self) -> DataFrame:
-        return perturb.perturb_late(self.silver_events)
+        return perturb.perturb_late(self.near("silver_events"))
 
     # -- operations rows --------------------------------------------------------------
     @cached_property
@@ -211,7 +230,7 @@ class Tables:
             F.when(hit("error"), "FAILED").otherwise("SUCCESS").alias("status"),
             F.col("n").alias("rows_in"),
             F.when(hit("purchase"), F.col("thin")).otherwise(F.col("n")).alias("rows_out"),
-            F.when(hit("view"), DRIFTED_SNAPSHOT)
+            F.when(hit("view") & (F.col("task_name") == "extract"), DRIFTED_SNAPSHOT)
             .when(broken, BROKEN_SNAPSHOT)
             .otherwise(SNAPSHOT)
             .alias("schema_snapshot_json"),
@@ -279,33 +298,41 @@ class Tables:
     def task_logs(self) -> DataFrame:
         return logs.task_log_explode(self.payloads, "payload", F.col("collected_at"))
 
-    def _checked(self, run_id: str, pipeline: str, **changed: DataFrame) -> DataFrame:
-        tables = {
-            "demo.silver.orders": changed.get("orders", self.silver_orders),
-            "demo.silver.customers": changed.get("customers", self.silver_customers),
-            "demo.silver.events": changed.get("events", self.silver_events),
-        }
-        at = F.lit("2024-01-30 12:00:00").cast("timestamp")
-        return quality.run_checks(self.spark, tables, quality.SHIPPED_CHECKS, run_id, pipeline, at)
-
     @cached_property
     def dq_results(self) -> DataFrame:
-        """The shipped checks on healthy tables and on each perturbed one.
+        """The shipped checks on healthy tables and, per prove run, with one table perturbed.
 
-        Unperturbed tables appear in several runs with the same plan, so their exchanges are reused.
+        Every variant of a table is measured once and its results stand in all runs that see it.
         """
-        parts = [
-            self._checked("dq-healthy", "orders_ingest"),
-            self._checked("prove-null_spike", "customers_scd2", customers=self.holed_customers),
-            self._checked("prove-duplicate_explosion", "orders_ingest", orders=self.doubled_orders),
-            self._checked("prove-late_data", "events_clickstream", events=self.late_events),
+        orders, customers, events = (
+            self.at(n) for n in ("silver_orders", "silver_customers", "silver_events")
+        )
+        healthy = ("dq-healthy", "orders_ingest")
+        holed = ("prove-null_spike", "customers_scd2")
+        doubled = ("prove-duplicate_explosion", "orders_ingest")
+        late = ("prove-late_data", "events_clickstream")
+        variants = [
+            ("demo.silver.orders", orders, [healthy, holed, late]),
+            ("demo.silver.orders", self.doubled_orders, [doubled]),
+            ("demo.silver.customers", customers, [healthy, doubled, late]),
+            ("demo.silver.customers", self.holed_customers, [holed]),
+            ("demo.silver.events", events, [healthy, holed, doubled]),
+            ("demo.silver.events", self.late_events, [late]),
         ]
+        at = F.lit("2024-01-30 12:00:00").cast("timestamp")
+        parts = []
+        for name, df, runs in variants:
+            checks = [c for c in quality.SHIPPED_CHECKS if c.table == name]
+            parts.append(quality.label_runs(quality.measured(self.spark, {name: df}, checks), runs, at))
         return reduce(DataFrame.unionByName, parts)
 
     # -- detection and incidents --------------------------------------------------------
+    def runs(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> rules.Runs:
+        return rules.split_runs(self.at("telemetry"), self.as_of, hours, snapshot_baseline)
+
     def inputs(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> rules.Inputs:
         return rules.load_inputs(
-            self.telemetry, self.dq_results, self.task_logs, self.as_of, hours, snapshot_baseline
+            self.at("telemetry"), self.at("dq_results"), self.near("task_logs"), self.as_of, hours, snapshot_baseline
         )
 
     @cached_property
@@ -314,15 +341,15 @@ class Tables:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents.incidents(self.signals)
+        return incidents.incidents(self.at("signals"))
 
     @cached_property
     def incident_signals(self) -> DataFrame:
-        return incidents.incident_signals(self.signals)
+        return incidents.incident_signals(self.at("signals"))
 
     @cached_property
     def opened_events(self) -> DataFrame:
-        return incidents.opened_events(self.incidents)
+        return incidents.opened_events(self.at("incidents"))
 
     @cached_property
     def status_requests(self) -> DataFrame:
@@ -346,15 +373,15 @@ class Tables:
     @cached_property
     def worked_events(self) -> DataFrame:
         """Opening events and the requested changes that took effect."""
-        moved = self.status_changes.filter(F.col("outcome") == "applied")
+        moved = self.at("status_changes").filter(F.col("outcome") == "applied")
         return self.opened_events.unionByName(moved.select(*self.opened_events.columns))
 
     @cached_property
     def proposal_audit(self) -> DataFrame:
         """The mapped proposal of every incident and, for one pipeline, a later one by hand."""
-        plan = evidence.remediation_plan(self.incidents)
+        plan = evidence.remediation_plan(self.at("incidents"))
         by_hand = (
-            evidence.remediation_plan(self.incidents.filter(F.col("pipeline_key") == "reviews_enrichment"))
+            evidence.remediation_plan(self.at("incidents").filter(F.col("pipeline_key") == "reviews_enrichment"))
             .withColumn("remediation_type", F.lit("diagnosis_only"))
             .withColumn("parameters", F.create_map(F.lit("reason"), F.lit("manual")))
             .withColumn("proposed_at", F.col("proposed_at") + F.make_dt_interval(F.lit(0), F.lit(1)))
@@ -377,26 +404,26 @@ class Tables:
     @cached_property
     def decided(self) -> DataFrame:
         return incidents.apply_approvals(
-            self.incidents,
-            incidents.current_status(self.worked_events),
+            self.at("incidents"),
+            incidents.current_status(self.at("worked_events")),
             incidents.latest_proposal(self.proposal_audit),
             self.decisions,
         )
 
     @cached_property
     def approvals(self) -> DataFrame:
-        return incidents.approvals_of(self.decided)
+        return incidents.approvals_of(self.at("decided"))
 
     @cached_property
     def all_events(self) -> DataFrame:
-        return self.worked_events.unionByName(incidents.events_of(self.decided))
+        return self.at("worked_events").unionByName(incidents.events_of(self.at("decided")))
 
     @cached_property
     def current_incidents(self) -> DataFrame:
         """Incidents with the status their events lead to."""
-        now = incidents.current_status(self.worked_events).select("incident_id", F.col("status").alias("_now"))
-        joined = self.incidents.join(now, "incident_id", "left")
-        return joined.withColumn("status", F.coalesce("_now", "status")).select(*self.incidents.columns)
+        now = incidents.current_status(self.near("worked_events")).select("incident_id", F.col("status").alias("_now"))
+        joined = self.at("incidents").join(now, "incident_id", "left")
+        return joined.withColumn("status", F.coalesce("_now", "status")).select(*self.at("incidents").columns)
 
     # -- investigation --------------------------------------------------------------------
     @cached_property

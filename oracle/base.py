@@ -355,7 +355,7 @@ def _hits(asked: str) -> str:
                    ORDER BY exact DESC, score DESC, chunk_id) AS rank
           FROM (
             SELECT a.query_id, c.chunk_id, c.runbook_path, c.title,
-                   coalesce(c.failure_type = a.failure_type, false) AS exact, coalesce(s.score, 0.0) AS score
+                   coalesce(c.failure_type = a.failure_type, false) AS exact, round(coalesce(s.score, 0.0), 9) AS score
             FROM {asked} a JOIN chunks c ON c.failure_type IS NULL OR c.failure_type = a.failure_type
             LEFT JOIN (
               SELECT q.query_id, v.chunk_id, sum(q.w * v.w) AS score FROM (

@@ -12,7 +12,7 @@ SQL = {
         SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
             SELECT c.label AS query_id, e.vec_id,
-                   list_cosine_similarity(c.centre, CAST(e.embedding AS DOUBLE[])) AS score
+                   round(list_cosine_similarity(c.centre, CAST(e.embedding AS DOUBLE[])), 9) AS score
             FROM embeddings e, (
               SELECT label, list(x ORDER BY i) AS centre FROM (
                 SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x

@@ -1,7 +1,7 @@
 """Anomaly decisions over (observed, baseline) as struct Columns.
 
 A baseline is the struct ``(n, mean, sigma, last)`` produced by
-``runwarden.operators.baselines.numeric_baseline``; it is NULL where a pipeline has no history.
+``runwarden.operators.baselines.baselines``; it is NULL where a pipeline has no history.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runwarden import fixed
+from runwarden.functions import snapshots
 
 
 def pipeline_name(column: str = "pipeline_key") -> Column:
@@ -17,37 +18,34 @@ def metadata_null_rate(metadata: str = "metadata_json") -> Column:
     return F.from_json(F.coalesce(F.nullif(F.col(metadata), F.lit("")), F.lit("{}")), "null_rate double")["null_rate"]
 
 
-def numeric_baseline(history: DataFrame, value: Column, successful_only: bool = False) -> DataFrame:
-    """``(pipeline, baseline)`` with baseline = (n, mean, population sigma, last value).
-
-    Plain partial aggregation: a pipeline of any size costs one row per map task.
-    """
-    rows = history.select(
-        pipeline_name().alias("pipeline"), value.cast("double").alias("v"), "ended_at", "run_id", "status"
-    ).filter(F.col("v").isNotNull())
-    if successful_only:
-        rows = rows.filter(F.upper("status") == "SUCCESS")
-    return rows.groupBy("pipeline").agg(
-        F.struct(
-            F.count("*").alias("n"),
-            F.avg("v").alias("mean"),
-            F.stddev_pop("v").alias("sigma"),
-            F.max_by("v", F.struct("ended_at", "run_id")).alias("last"),
-        ).alias("baseline")
+def _numeric(value: Column) -> Column:
+    """(n, mean, population sigma, last value) of the non-NULL values of a group."""
+    v = value.cast("double")
+    return F.struct(
+        F.count(v).alias("n"),
+        F.avg(v).alias("mean"),
+        F.stddev_pop(v).alias("sigma"),
+        F.max_by(v, F.when(v.isNotNull(), F.struct("ended_at", "run_id"))).alias("last"),
     )
 
 
-def oldest_snapshot(history: DataFrame, newest: bool = False) -> DataFrame:
-    """Oldest readable snapshot of each pipeline's past runs (or the newest one)."""
-    from runwarden.functions import snapshots
+def baselines(history: DataFrame, successful_only: bool = False, newest_snapshot: bool = False) -> DataFrame:
+    """All baselines of a pipeline's past runs in one aggregation.
 
-    rows = history.select(
-        pipeline_name().alias("pipeline"),
-        F.nullif("schema_snapshot_json", F.lit("")).alias("snap"),
-        F.struct("ended_at", "run_id").alias("at"),
-    ).filter(F.try_parse_json("snap").isNotNull())
-    pick = F.max_by if newest else F.min_by
-    return rows.groupBy("pipeline").agg(snapshots.parsed(pick("snap", "at")).alias("previous"))
+    ``(pipeline, volume, null_rate, duration, previous)``; ``previous`` is the oldest readable schema
+    snapshot, or the newest one. Everything combines map-side, so a pipeline with very many runs costs
+    one row per map task.
+    """
+    rows = history.filter(F.upper("status") == "SUCCESS") if successful_only else history
+    snap = F.nullif("schema_snapshot_json", F.lit(""))
+    readable = F.when(F.try_parse_json(snap).isNotNull(), F.struct("ended_at", "run_id"))
+    pick = F.max_by if newest_snapshot else F.min_by
+    return rows.groupBy(pipeline_name().alias("pipeline")).agg(
+        _numeric(F.col("rows_out")).alias("volume_base"),
+        _numeric(metadata_null_rate()).alias("null_base"),
+        _numeric(F.col("duration_ms")).alias("duration_base"),
+        snapshots.parsed(pick(snap, readable)).alias("previous"),
+    )
 
 
 def iqr_volumes(telemetry: DataFrame, fence: float = fixed.IQR_FENCE) -> DataFrame:

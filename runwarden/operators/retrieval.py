@@ -135,7 +135,8 @@ def _one_pass(corpus, packed, key, vector, k, carry, by_class) -> DataFrame:
         key,
         *carry,
         "r.exact",
-        F.coalesce(F.try_divide(F.col("r.dot"), F.col("_norm")), F.lit(0.0)).alias("score"),
+        # rounded, so that equal scores tie whatever the order their terms were summed in
+        F.round(F.coalesce(F.try_divide(F.col("r.dot"), F.col("_norm")), F.lit(0.0)), 9).alias("score"),
     )
     order = [F.col("exact").desc(), F.col("score").desc(), F.col(key)]
     return ranked_top(pairs, ["query_id"], order, k).drop("exact")

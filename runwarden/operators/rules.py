@@ -24,35 +24,33 @@ COMMON = ["job_run_id", "pipeline_key", "failure_type", "detected_by", "severity
 
 @dataclass(frozen=True)
 class Inputs:
-    """Rows a detection run looks at."""
+    """Rows a detection run looks at: current runs with their baselines, check results and task logs."""
 
-    current: DataFrame
-    history: DataFrame
+    scored: DataFrame
     dq: DataFrame
     logs: DataFrame
-    previous: DataFrame
 
 
-@dataclass(frozen=True)
-class Runs:
-    """Telemetry split into the current runs, the runs before them and the baseline schemas."""
-
-    current: DataFrame
-    history: DataFrame
-    previous: DataFrame
-
-
-def split_runs(
-    telemetry: DataFrame, as_of: Column, lookback_hours: float | None = 24, snapshot_baseline: str = "oldest"
-) -> Runs:
+def scored_runs(
+    telemetry: DataFrame,
+    as_of: Column,
+    lookback_hours: float | None = 24,
+    snapshot_baseline: str = "oldest",
+    successful_only: bool = False,
+) -> DataFrame:
+    """Current runs within the lookback, each with the baselines of its pipeline's other runs."""
     if snapshot_baseline not in ("oldest", "previous"):
         raise ValueError("snapshot_baseline is 'oldest' or 'previous'")
     flagged = current_vs_history(telemetry.filter(since("ended_at", as_of, lookback_hours)))
-    history = flagged.filter(~F.col("is_current"))
-    return Runs(
-        flagged.filter("is_current"),
-        history,
-        baselines.oldest_snapshot(history, newest=snapshot_baseline == "previous"),
+    past = baselines.baselines(
+        flagged.filter(~F.col("is_current")), successful_only, snapshot_baseline == "previous"
+    )
+    current = flagged.filter("is_current").withColumn("pipeline", pipeline_name())
+    return current.join(past, "pipeline", "left").withColumns(
+        {
+            "null_rate": baselines.metadata_null_rate(),
+            "snapshot": snapshots.parsed(F.col("schema_snapshot_json")),
+        }
     )
 
 
@@ -64,14 +62,11 @@ def load_inputs(
     lookback_hours: float | None = 24,
     snapshot_baseline: str = "oldest",
 ) -> Inputs:
-    """Recent rows of the three inputs, telemetry split into current and past runs."""
-    runs = split_runs(telemetry, as_of, lookback_hours, snapshot_baseline)
+    """Recent rows of the three inputs."""
     return Inputs(
-        current=runs.current,
-        history=runs.history,
+        scored=scored_runs(telemetry, as_of, lookback_hours, snapshot_baseline),
         dq=dq.filter(since("checked_at", as_of, lookback_hours)),
         logs=logs.filter(since("collected_at", as_of, lookback_hours)),
-        previous=runs.previous,
     )
 
 
@@ -112,20 +107,6 @@ def detect_job_crash(logs: DataFrame, detector: str = "poller") -> DataFrame:
     )
 
 
-def detect_status_failure(current: DataFrame, detector: str = "workflow") -> DataFrame:
-    return _signal(
-        current.filter(F.upper("status") == "FAILED"),
-        F.lit("job_crash"),
-        detector,
-        F.lit("high"),
-        "ended_at",
-        "task_name",
-        "error_class",
-        "error_message",
-        text.excerpt(F.col("stacktrace"), 1000).alias("stacktrace_excerpt"),
-    )
-
-
 def detect_dq_failure(results: DataFrame, detector: str = "workflow") -> DataFrame:
     """Checks that did not pass; an unknown outcome counts as not passed."""
     return _signal(
@@ -143,103 +124,146 @@ def detect_dq_failure(results: DataFrame, detector: str = "workflow") -> DataFra
     )
 
 
-def _against_baseline(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    return current.withColumn("pipeline", pipeline_name()).join(baseline, "pipeline", "left")
+# -- rules over scored runs ------------------------------------------------------------
 
 
-def _decided(scored: DataFrame, failure: str, detector: str, shown: Column) -> DataFrame:
-    return _signal(
-        scored.filter("d.is_anomaly"),
-        F.lit(failure),
-        detector,
-        F.lit("medium"),
-        "ended_at",
-        "task_name",
-        shown,
-        "d.mode",
-        "d.baseline",
-        "d.score",
-        "d.reason",
+@dataclass(frozen=True)
+class RunRule:
+    """A rule that looks at one scored run: when it fires, and what it shows as evidence."""
+
+    failure: str
+    severity: str
+    rank: int
+    hit: Column
+    evidence: tuple[Column, ...]
+
+
+def status_rule() -> RunRule:
+    return RunRule(
+        "job_crash",
+        "high",
+        2,
+        F.upper("status") == "FAILED",
+        (
+            F.col("task_name"),
+            F.col("error_class"),
+            F.col("error_message"),
+            text.excerpt(F.col("stacktrace"), 1000).alias("stacktrace_excerpt"),
+        ),
     )
 
 
-def detect_volume(current: DataFrame, history: DataFrame, detector: str = "workflow") -> DataFrame:
-    base = baselines.numeric_baseline(history, F.col("rows_out"))
-    scored = _against_baseline(current.filter(F.col("rows_out").isNotNull()), base).withColumn(
-        "d", decisions.volume_decision(F.col("rows_out").cast("double"), F.col("baseline"))
+def _decision_rule(failure: str, rank: int, shown: Column, decision: Column) -> RunRule:
+    parts = ("mode", "baseline", "score", "reason")
+    return RunRule(
+        failure,
+        "medium",
+        rank,
+        shown.isNotNull() & decision["is_anomaly"],
+        (F.col("task_name"), shown, *[decision[p].alias(p) for p in parts]),
     )
-    return _decided(scored, "volume_anomaly", detector, F.col("rows_out"))
 
 
-def detect_null_spike(current: DataFrame, history: DataFrame, detector: str = "workflow") -> DataFrame:
-    rate = baselines.metadata_null_rate()
-    base = baselines.numeric_baseline(history, rate)
-    scored = _against_baseline(
-        current.withColumn("null_rate", rate).filter(F.col("null_rate").isNotNull()), base
-    ).withColumn("d", decisions.null_rate_decision(F.col("null_rate"), F.col("baseline")))
-    return _decided(scored, "null_spike", detector, F.col("null_rate"))
+def volume_rule() -> RunRule:
+    observed = F.col("rows_out")
+    return _decision_rule(
+        "volume_anomaly", 4, observed, decisions.volume_decision(observed.cast("double"), F.col("volume_base"))
+    )
 
 
-def duration_decision(current: DataFrame, history: DataFrame) -> DataFrame:
-    """Duration decisions of all current runs; evidence only, never a signal of their own."""
-    base = baselines.numeric_baseline(history, F.col("duration_ms"))
-    scored = _against_baseline(current.filter(F.col("duration_ms").isNotNull()), base).withColumn(
-        "d", decisions.duration_decision(F.col("duration_ms").cast("double"), F.col("baseline"))
-    )
-    return scored.select("run_id", F.col("pipeline").alias("pipeline_key"), "task_name", "d.*")
+def null_rule() -> RunRule:
+    observed = F.col("null_rate")
+    return _decision_rule("null_spike", 5, observed, decisions.null_rate_decision(observed, F.col("null_base")))
 
 
-def detect_schema_drift(current: DataFrame, previous: DataFrame, detector: str = "workflow") -> DataFrame:
+def drift_rule() -> RunRule:
     """Columns added, removed or retyped since the pipeline's baseline snapshot."""
-    now = (
-        current.withColumn("pipeline", pipeline_name())
-        .withColumn("c", snapshots.parsed(F.col("schema_snapshot_json")))
-        .filter(F.col("c").isNotNull())
-    )
-    compared = now.join(previous.filter(F.size("previous") > 0), "pipeline").select(
-        "*",
-        snapshots.added(F.col("c"), F.col("previous")).alias("added_columns"),
-        snapshots.removed(F.col("c"), F.col("previous")).alias("removed_columns"),
-        snapshots.type_changes(F.col("c"), F.col("previous")).alias("type_changes"),
-    )
-    drifted = compared.filter(
-        (F.size("added_columns") > 0) | (F.size("removed_columns") > 0) | (F.size("type_changes") > 0)
+    now, before = F.col("snapshot"), F.col("previous")
+    new, lost = snapshots.added(now, before), snapshots.removed(now, before)
+    moved = snapshots.type_changes(now, before)
+    differs = (F.size(new) > 0) | (F.size(lost) > 0) | (F.size(moved) > 0)
+    return RunRule(
+        "schema_drift",
+        "high",
+        6,
+        now.isNotNull() & before.isNotNull() & (F.size(before) > 0) & differs,
+        (new.alias("added_columns"), lost.alias("removed_columns"), moved.alias("type_changes")),
     )
+
+
+def apply_rule(scored: DataFrame, rule: RunRule, detector: str = "workflow") -> DataFrame:
+    """Signals of one run rule with typed evidence columns."""
     return _signal(
-        drifted,
-        F.lit("schema_drift"),
-        detector,
-        F.lit("high"),
-        "ended_at",
-        "added_columns",
-        "removed_columns",
-        "type_changes",
+        scored.filter(rule.hit), F.lit(rule.failure), detector, F.lit(rule.severity), "ended_at", *rule.evidence
     )
 
 
+def detect_status_failure(scored: DataFrame) -> DataFrame:
+    return apply_rule(scored, status_rule())
+
+
+def detect_volume(scored: DataFrame) -> DataFrame:
+    return apply_rule(scored, volume_rule())
+
+
+def detect_null_spike(scored: DataFrame) -> DataFrame:
+    return apply_rule(scored, null_rule())
+
+
+def detect_schema_drift(scored: DataFrame) -> DataFrame:
+    return apply_rule(scored, drift_rule())
+
+
+def duration_decision(scored: DataFrame) -> DataFrame:
+    """Duration decisions of all current runs; evidence only, never a signal of their own."""
+    d = decisions.duration_decision(F.col("duration_ms").cast("double"), F.col("duration_base"))
+    known = scored.filter(F.col("duration_ms").isNotNull()).withColumn("d", d)
+    return known.select("run_id", F.col("pipeline").alias("pipeline_key"), "task_name", "d.*")
+
+
+def run_signals(scored: DataFrame, rules: Sequence[RunRule], detector: str = "workflow") -> DataFrame:
+    """Signals of several run rules from one pass: a run yields an array of those that fire."""
+
+    def signal(rule: RunRule) -> Column:
+        return F.when(
+            rule.hit,
+            F.struct(
+                F.coalesce(F.col("run_id"), F.lit("None")).alias("job_run_id"),
+                F.col("pipeline").alias("pipeline_key"),
+                F.lit(rule.failure).alias("failure_type"),
+                F.lit(detector).alias("detected_by"),
+                F.lit(rule.severity).alias("severity"),
+                F.col("ended_at").alias("detected_at"),
+                _packed(rule.evidence).alias("evidence_json"),
+                F.lit(rule.rank).alias("rule_rank"),
+            ),
+        )
+
+    return scored.select(F.inline(F.array_compact(F.array(*[signal(r) for r in rules]))))
+
+
+def _packed(evidence: Sequence[Column | str]) -> Column:
+    return F.to_json(F.struct(*evidence), {"ignoreNullFields": "false"})
+
+
 def to_signals(rows: DataFrame, rule_rank: int) -> DataFrame:
     """Pack everything but the common columns into ``evidence_json``."""
     evidence = [c for c in rows.columns if c not in COMMON]
-    return rows.select(
-        *COMMON,
-        F.to_json(F.struct(*evidence), {"ignoreNullFields": "false"}).alias("evidence_json"),
-        F.lit(rule_rank).alias("rule_rank"),
-    )
+    return rows.select(*COMMON, _packed(evidence).alias("evidence_json"), F.lit(rule_rank).alias("rule_rank"))
 
 
 Rule = Callable[[Inputs], DataFrame]
 
-RULES: tuple[Rule, ...] = (
-    lambda i: detect_job_crash(i.logs),
-    lambda i: detect_status_failure(i.current),
-    lambda i: detect_dq_failure(i.dq),
-    lambda i: detect_volume(i.current, i.history),
-    lambda i: detect_null_spike(i.current, i.history),
-    lambda i: detect_schema_drift(i.current, i.previous),
-)
-
 
 def all_signals(inputs: Inputs, extra: Sequence[Rule] = ()) -> DataFrame:
-    """Signals of the six rules in fixed order, followed by those of the user's own rules."""
-    parts = [to_signals(rule(inputs), rank) for rank, rule in enumerate((*RULES, *extra), start=1)]
+    """Signals of the six rules, followed by those of the user's own rules.
+
+    ``rule_rank`` gives the order of the rules: crash 1, status 2, checks 3, volume 4, nulls 5, schema 6.
+    """
+    parts = [
+        to_signals(detect_job_crash(inputs.logs), 1),
+        to_signals(detect_dq_failure(inputs.dq), 3),
+        run_signals(inputs.scored, [status_rule(), volume_rule(), null_rule(), drift_rule()]),
+        *[to_signals(rule(inputs), 7 + i) for i, rule in enumerate(extra)],
+    ]
     return reduce(DataFrame.unionByName, parts)

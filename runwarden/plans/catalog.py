@@ -257,7 +257,7 @@ def detect_job_crash(t: Tables) -> DataFrame:
 
 @plan
 def detect_status_failure(t: Tables) -> DataFrame:
-    return rules.detect_status_failure(t.runs().current)
+    return rules.detect_status_failure(t.scored())
 
 
 @plan
@@ -271,27 +271,23 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @plan
 def detect_volume(t: Tables) -> DataFrame:
-    i = t.runs()
-    return _rounded(rules.detect_volume(i.current, i.history))
+    return _rounded(rules.detect_volume(t.scored()))
 
 
 @plan
 def detect_volume_cold(t: Tables) -> DataFrame:
     """Three days of lookback leave too little history, so ratios decide."""
-    i = t.runs(hours=72)
-    return _rounded(rules.detect_volume(i.current, i.history))
+    return _rounded(rules.detect_volume(t.scored(hours=72)))
 
 
 @plan
 def detect_null_spike(t: Tables) -> DataFrame:
-    i = t.runs()
-    return _rounded(rules.detect_null_spike(i.current, i.history))
+    return _rounded(rules.detect_null_spike(t.scored()))
 
 
 @plan
 def detect_schema_drift(t: Tables) -> DataFrame:
-    i = t.runs()
-    found = rules.detect_schema_drift(i.current, i.previous)
+    found = rules.detect_schema_drift(t.scored())
     changes = F.transform(
         "type_changes", lambda c: F.concat(c["column"], F.lit(":"), c["from"], F.lit(">"), c["to"])
     )
@@ -306,8 +302,7 @@ def detect_schema_drift(t: Tables) -> DataFrame:
 
 @plan
 def duration_decision(t: Tables) -> DataFrame:
-    i = t.runs()
-    return _rounded(rules.duration_decision(i.current, i.history))
+    return _rounded(rules.duration_decision(t.scored()))
 
 
 @plan
@@ -630,15 +625,13 @@ def replay_window(t: Tables) -> DataFrame:
 
 @plan
 def schema_ddl(t: Tables) -> DataFrame:
-    """Statements for every pipeline whose newest snapshot differs from its oldest."""
-    from runwarden.functions import snapshots
-
-    i = t.runs()
-    now = i.current.select("pipeline_key", snapshots.parsed(F.col("schema_snapshot_json")).alias("current"))
-    now = now.groupBy("pipeline_key").agg(F.any_value("current").alias("current"))
-    tables = now.join(i.previous, F.col("pipeline_key") == F.col("pipeline")).select(
-        F.col("pipeline_key").alias("table_name"), F.col("previous").alias("expected"), "current"
+    """Statements for every pipeline, comparing its current snapshot with its oldest one."""
+    pairs = t.scored().groupBy("pipeline").agg(
+        # of several tasks, one that drifted
+        F.max_by("snapshot", (F.size(F.array_except(F.map_keys("snapshot"), F.map_keys("previous"))))).alias("current"),
+        F.any_value("previous").alias("expected"),
     )
+    tables = pairs.select(F.col("pipeline").alias("table_name"), "expected", "current")
     return remediation.schema_ddl(tables).select("table_name", F.array_join("ddl_statements", "\n").alias("ddl_text"))
 
 

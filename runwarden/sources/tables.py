@@ -327,12 +327,12 @@ class Tables:
         return reduce(DataFrame.unionByName, parts)
 
     # -- detection and incidents --------------------------------------------------------
-    def runs(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> rules.Runs:
-        return rules.split_runs(self.at("telemetry"), self.as_of, hours, snapshot_baseline)
+    def scored(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> DataFrame:
+        return rules.scored_runs(self.near("telemetry"), self.as_of, hours, snapshot_baseline)
 
     def inputs(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> rules.Inputs:
         return rules.load_inputs(
-            self.at("telemetry"), self.at("dq_results"), self.near("task_logs"), self.as_of, hours, snapshot_baseline
+            self.near("telemetry"), self.near("dq_results"), self.near("task_logs"), self.as_of, hours, snapshot_baseline
         )
 
     @cached_property

@@ -17,6 +17,15 @@ def _orderable(df: DataFrame) -> list[str]:
     ]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row work as many tasks as there are cores when a scan has fewer.
+
+    A scan of large data has more partitions than that and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """First ``k`` rows of each key in ``order`` (which should be total).
 

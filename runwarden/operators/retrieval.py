@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runwarden import fixed
 from runwarden.functions import text
@@ -83,68 +84,94 @@ def nearest(
     k: int,
     carry: Sequence[str] = (),
     by_class: bool = False,
-    n_queries: int | None = None,
 ) -> DataFrame:
     """The ``k`` most similar corpus rows of every query: ``(query_id, key, *carry, score, rank)``.
 
     ``queries`` has ``query_id``, ``terms`` and, for ``by_class``, ``failure_type``: then only rows of
     that class or of none compete, and rows of that class go first. The corpus is read once per pass and
-    never shuffled: the queries of a pass reach the tasks as one value, a row is scored against all of
-    them in place, and the group limit keeps ``k`` rows per query and task before the shuffle. A pass
-    takes at most about ``QUERIES_PER_PASS`` queries; a larger query table is cut into passes by hash.
+    never shuffled: each Arrow batch is scored against all queries of the pass with one matrix product
+    and hands on only its own ``k`` best rows per query, from which the final ``k`` are ranked. A pass
+    holds at most about ``QUERIES_PER_PASS`` query vectors; a larger query table is cut into passes by
+    hash, so any number of queries is answered exactly.
     """
-    total = queries.count() if n_queries is None else n_queries
-    passes = max(1, math.ceil(total / QUERIES_PER_PASS))
-    fields = ["query_id", "terms", *(["failure_type"] if by_class else [])]
+    passes = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
     parts = []
     for p in range(passes):
         mine = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        packed = mine.agg(F.collect_list(F.struct(*fields)).alias("qs"))
-        parts.append(_one_pass(corpus, packed, key, vector, k, carry, by_class))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _one_pass(corpus, packed, key, vector, k, carry, by_class) -> DataFrame:
-    row_class = [F.col("failure_type").alias("_class")] if by_class else []
-    rows = corpus.select(
-        F.col(key),
-        *carry,
-        *row_class,
-        F.col(vector).alias("_v"),
-        text.norm(F.col(vector)).alias("_norm"),
-    ).withColumn("_qs", packed.scalar())
-    qs = F.col("_qs")
-    if by_class:
-        qs = F.filter(
-            qs, lambda q: q["failure_type"].isNull() | F.col("_class").isNull() | (q["failure_type"] == F.col("_class"))
-        )
-    scored = F.transform(
-        qs,
-        lambda q: F.struct(
-            q["query_id"].alias("query_id"),
-            F.aggregate(
-                q["terms"], F.lit(0.0), lambda s, t: s + t["value"] * F.element_at(F.col("_v"), t["key"] + 1)
-            ).alias("dot"),
-            (
-                F.coalesce(q["failure_type"] == F.col("_class"), F.lit(False)) if by_class else F.lit(False)
-            ).alias("exact"),
-        ),
-    )
-    pairs = rows.select(key, *carry, "_norm", F.explode(scored).alias("r")).select(
-        "r.query_id",
-        key,
-        *carry,
-        "r.exact",
-        # rounded, so that equal scores tie whatever the order their terms were summed in
-        F.round(F.coalesce(F.try_divide(F.col("r.dot"), F.col("_norm")), F.lit(0.0)), 9).alias("score"),
-    )
+        parts.append(_batch_best(corpus, mine, key, vector, k, carry, by_class))
     order = [F.col("exact").desc(), F.col("score").desc(), F.col(key)]
-    return ranked_top(pairs, ["query_id"], order, k).drop("exact")
+    return ranked_top(reduce(DataFrame.unionByName, parts), ["query_id"], order, k).drop("exact")
 
 
-def runbook_search(
-    corpus: DataFrame, queries: DataFrame, top_k: int = 3, n_queries: int | None = None
+def _batch_best(
+    corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, carry: Sequence[str], by_class: bool
 ) -> DataFrame:
+    """The best ``k`` rows of every Arrow batch for each query of one pass."""
+    wanted = queries.select("query_id", "terms", *(["failure_type"] if by_class else [])).collect()
+    ids = [q["query_id"] for q in wanted]
+    terms = [[(t["key"], t["value"]) for t in q["terms"]] for q in wanted]
+    classes = [q["failure_type"] if by_class else None for q in wanted]
+    row_class = F.col("failure_type") if by_class else F.lit(None).cast("string")
+    rows = corpus.select(key, *carry, row_class.alias("_class"), F.col(vector).alias("_v"))
+    out = T.StructType(
+        [
+            queries.schema["query_id"],
+            *[corpus.schema[c] for c in (key, *carry)],
+            T.StructField("exact", T.BooleanType()),
+            T.StructField("score", T.DoubleType()),
+        ]
+    )
+    shown = [key, *carry]
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        id_type, matrix = to_arrow_type(out["query_id"].dataType), None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0 or not ids:
+                continue
+            vectors = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            if matrix is None:
+                matrix = np.zeros((len(ids), vectors.shape[1]))
+                for j, pairs in enumerate(terms):
+                    for slot, weight in pairs:
+                        matrix[j, slot] = weight
+            size = np.linalg.norm(vectors, axis=1)
+            size[size == 0] = 1.0
+            # rounded, so that equal scores tie whatever the order their terms were summed in
+            scores = np.round(vectors @ matrix.T / size[:, None], 9) + 0.0
+            own = np.array(batch.column("_class").to_pylist(), dtype=object)
+            keys = np.array(batch.column(key).to_pylist(), dtype=object)
+            picked, query, exact = [], [], []
+            for j, want in enumerate(classes):
+                same = own == want if want is not None else np.zeros(n, dtype=bool)
+                able = np.flatnonzero(same | (own == None)) if want is not None else np.arange(n)  # noqa: E711
+                if len(able) > k:
+                    # exact classes above all others, then by score; ties at the cut stay for now
+                    level = scores[able, j] + 4.0 * same[able]
+                    able = able[level >= np.partition(level, len(able) - k)[len(able) - k]]
+                able = sorted(able, key=lambda i, j=j, same=same: (not same[i], -scores[i, j], keys[i]))[:k]
+                picked += able
+                query += [j] * len(able)
+                exact += [bool(same[i]) for i in able]
+            at = pa.array(picked, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([ids[j] for j in query], id_type),
+                    *[batch.column(c).take(at) for c in shown],
+                    pa.array(exact, pa.bool_()),
+                    pa.array(scores[picked, query] if picked else [], pa.float64()),
+                ],
+                names=["query_id", *shown, "exact", "score"],
+            )
+
+    return rows.mapInArrow(best, out)
+
+
+def runbook_search(corpus: DataFrame, queries: DataFrame, top_k: int = 3) -> DataFrame:
     """Best runbook chunks for ``(query_id, query_text, failure_type)`` rows."""
     return nearest(
         corpus,
@@ -154,7 +181,6 @@ def runbook_search(
         top_k,
         carry=("runbook_path", "title"),
         by_class=True,
-        n_queries=n_queries,
     )
 
 

@@ -503,7 +503,7 @@ def chunk_documents(t: Tables) -> DataFrame:
 
 @plan
 def hash_embed(t: Tables) -> DataFrame:
-    return retrieval.hash_embed(t.table("documents"), "doc_id", "text").withColumn("weight", r6("weight"))
+    return retrieval.hash_embed(t.wide("documents"), "doc_id", "text").withColumn("weight", r6("weight"))
 
 
 @plan

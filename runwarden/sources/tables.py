@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runwarden import fixed, schemas
 from runwarden.functions import text
 from runwarden.operators import evidence, incidents, logs, medallion, perturb, quality, rules
+from runwarden.operators.keyed import spread
 from runwarden.session import fresh_dir
 
 # All derived operations rows fall into January 2024; detection runs at the end of it.
@@ -72,6 +73,11 @@ class Tables:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A table whose rows are expensive to work on, spread over all cores."""
+        df = self.table(name)
+        return df if df.isStreaming else spread(df)
+
     @property
     def as_of(self) -> Column:
         return F.lit(AS_OF).cast("timestamp")
@@ -289,7 +295,7 @@ class Tables:
             F.array(load, publish).alias("tasks"),
         )
         seconds = F.col("l_orderkey") % 30 * 86400 + F.col("l_linenumber") * 3600 + F.col("l_partkey") % 3600
-        return self.table("lineitem").select(
+        return self.wide("lineitem").select(
             F.to_json(F.struct(F.array(run).alias("runs"))).alias("payload"),
             _at(_EPOCH_2024, seconds).alias("collected_at"),
         )
@@ -447,7 +453,7 @@ class Tables:
         failure = None
         for i, name in enumerate(fixed.FAILURE_CLASSES):
             failure = F.when(bucket == i, name) if failure is None else failure.when(bucket == i, name)
-        return self.table("documents").select(
+        return self.wide("documents").select(
             F.concat(F.lit("runbooks/doc_"), F.col("doc_id"), F.lit(".md")).alias("runbook_path"),
             F.replace("text", F.lit("\n"), F.lit("\n## ")).alias("text"),
             failure.alias("failure_type"),

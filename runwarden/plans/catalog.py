@@ -114,7 +114,7 @@ def stable_id(t: Tables) -> DataFrame:
 
 @plan
 def scd2_apply(t: Tables) -> DataFrame:
-    """History of customers with a positive balance in wave one; a later snapshot moves some of them."""
+    """A first load that knows six customers in seven; the next snapshot brings the others and moves some."""
     key = F.col("customer_id").cast("long")
     first = t.silver_customers.filter(key % 7 != 0)
     moved = F.when(key % 5 == 0, F.lit("MOVED")).otherwise(F.col("country"))

@@ -31,6 +31,10 @@ def test_flag_latest_keeps_exactly_one_of_identical_copies(spark):
     assert got.count() == 3050
     kept = {r.k: r.v for r in got.filter("is_latest").collect()}
     assert len(kept) == 51 and kept["hot"] == 2
+    # both branches must read the same partition numbers
+    whole = flag_latest(df, ["k"], [F.col("v").desc()])
+    whole.collect()
+    assert "ReusedExchange" in plan_of(whole)
 
 
 def test_double_then_quarantine_restores_the_table(spark):

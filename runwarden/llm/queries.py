@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runwarden.llm import bpe, packing
+from runwarden.llm import bpe, packing, secrets, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(_table(spark, sf_dir, "pages"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+    return warc.read(archives.index).select(*columns)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -26,9 +32,35 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.sequences(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model).withColumnRenamed("id", "doc_id")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_table(spark, sf_dir, "documents"), clean=False)
+    return found.withColumnRenamed("id", "doc_id").drop("clean_text")
+
+
+_QUERIES = (op2_warc, op4_bpe, op5_toxicity, op6_secrets, op7_packing)
+
+_SQL = {
+    "op2_warc": """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, url, octet_length(encode(h)) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT page_id, payload_bytes, d.payload_digest,
+       CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+       coalesce(url, '') AS url, true AS intact
+FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
+}
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_bpe": op4_bpe, "op7_packing": op7_packing}
+    return {query.__name__: query for query in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from runwarden.session import fresh_dir
@@ -21,7 +22,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose strings in ``column`` together stay near ``most_bytes`` (one row at least)."""
     at = held = 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     for i, size in enumerate(lengths):
         if i > at and held + size > most_bytes:
             yield batch.slice(at, i - at)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runwarden.llm import bpe, packing, secrets, toxicity, warc
+from runwarden.llm import bpe, mainpage, packing, secrets, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives.index).select(*columns)
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json")))
@@ -43,7 +47,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("clean_text")
 
 
-_QUERIES = (op2_warc, op4_bpe, op5_toxicity, op6_secrets, op7_packing)
+def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainpage.main_text(_table(spark, sf_dir, "pages"))
+
+
+_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op9_mainpage)
 
 _SQL = {
     "op2_warc": """

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runwarden.llm import bpe, mainpage, packing, secrets, toxicity, vectors, warc
+from runwarden.llm import bpe, mainpage, packing, repeats, secrets, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,11 +48,17 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").drop("clean_text")
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = repeats.remove_repeats(docs)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.main_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op9_mainpage)
+_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage)
 
 _SQL = {
     "op2_warc": """

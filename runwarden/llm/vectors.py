@@ -11,8 +11,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +21,8 @@ from runwarden.llm.tables import stage
 
 LEAST_COSINE = 0.98
 # Two vectors at cosine 0.98 agree in one sign with chance 0.936; with these sizes a pair there shares no code
-# with chance (1 - 0.936**16)**40 = 4e-8, and every closer pair with less.
-BITS, TABLES = 16, 40
+# with chance (1 - 0.936**20)**48 = 3e-7, and every closer pair with less.
+BITS, TABLES = 20, 48
 BLOCK = 1024  # classes of one bucket on one side of a comparison
 
 
@@ -32,11 +32,13 @@ def _planes(width: int, bits: int, tables: int) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    rows = [np.asarray(x.values if x.is_valid else [], dtype=np.float64) for x in column]
-    width = max((len(x) for x in rows), default=0)
-    out = np.zeros((len(rows), width))
-    for i, x in enumerate(rows):
-        out[i, : len(x)] = x
+    """The vectors as rows, shorter ones filled with zeros."""
+    lengths = pc.list_value_length(column).to_numpy()
+    flat = column.flatten().to_numpy().astype(np.float64)
+    if (lengths == lengths[0]).all():
+        return flat.reshape(len(lengths), -1)
+    out = np.zeros((len(lengths), lengths.max()))
+    out[np.arange(out.shape[1])[None] < lengths[:, None]] = flat
     return out
 
 
@@ -47,7 +49,7 @@ def _codes(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             codes = np.empty((batch.num_rows, tables), np.int64)
-            lengths = np.asarray([len(x) for x in batch.column("vector")])
+            lengths = pc.list_value_length(batch.column("vector")).to_numpy()
             for width in np.unique(lengths):
                 at = np.flatnonzero(lengths == width)
                 matrix = _matrix(batch.column("vector").take(pa.array(at)))
@@ -87,42 +89,78 @@ def _compared(codes: DataFrame, least: float) -> DataFrame:
     )
     rows = sides.join(codes.drop("label"), "id")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
-        table, low, high = (int(group[c].iloc[0]) for c in ("table", "low", "high"))
-        codes = np.stack(group["codes"].to_numpy())
-        lengths = group["vector"].map(len).to_numpy()
-        matrix = np.zeros((len(ids), lengths.max()))
-        for i, x in enumerate(group["vector"]):
-            matrix[i, : lengths[i]] = x
-        # scaled by the largest part first, so squares neither overflow nor vanish
-        matrix /= np.abs(matrix).max(1, keepdims=True)
-        matrix /= np.sqrt((matrix**2).sum(1, keepdims=True))
-        blocks = group["block"].to_numpy()
-        left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for start in range(0, len(left), 256):
-            part = left[start : start + 256]
-            close = matrix[part] @ matrix[right].T >= least
-            close &= lengths[part][:, None] == lengths[right][None]
-            if low == high:
-                close &= part[:, None] < right[None]
-            a, b = np.nonzero(close)
-            a, b = part[a], right[b]
-            first = (codes[a] == codes[b]).argmax(1) == table
-            a, b = a[first], b[first]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            for i, k in zip(a.tolist(), b.tolist(), strict=True):
-                i, k = _top(root, i), _top(root, k)
-                if i != k:
-                    root[max(i, k)] = min(i, k)
-        tops = [_top(root, i) for i in range(len(ids))]
-        out = pd.DataFrame({"id": ids, "links": links, "root": ids[tops]})
-        return out[out["links"] > 0]
-
-    return rows.groupBy("label", "table", "code", "low", "high").applyInPandas(
-        compare, "id {0}, links long, root {0}".format(codes.schema["id"].dataType.simpleString())
+    keys = ["label", "table", "code", "low", "high"]
+    together = rows.repartition(*keys).sortWithinPartitions(*keys)
+    kind = codes.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches, keys):
+            found = _links(batch, least)
+            if found is not None:
+                yield found
+
+    return together.mapInArrow(run, f"id {kind}, links long, root {kind}")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of equal keys together; a group has at most two blocks of rows."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            values = batch.column(key).to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        starts = [0, *np.flatnonzero(change).tolist()]
+        for start, end in zip(starts[:-1], starts[1:], strict=True):
+            yield batch.slice(start, end - start)
+        held = batch.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _links(group: pa.RecordBatch, least: float) -> pa.RecordBatch | None:
+    """Linked rows and roots inside one pair of blocks."""
+    ids, copies = group.column("id"), group.column("copies").to_numpy()
+    table, low, high = (group.column(c)[0].as_py() for c in ("table", "low", "high"))
+    vectors = group.column("vector")
+    lengths = pc.list_value_length(vectors).to_numpy()
+    matrix = _matrix(vectors)
+    # scaled by the largest part first, so squares neither overflow nor vanish
+    matrix /= np.abs(matrix).max(1, keepdims=True)
+    matrix /= np.sqrt((matrix**2).sum(1, keepdims=True))
+    blocks = group.column("block").to_numpy()
+    left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
+    links, root, codes = np.zeros(len(ids), np.int64), np.arange(len(ids)), None
+    for start in range(0, len(left), 256):
+        part = left[start : start + 256]
+        close = matrix[part] @ matrix[right].T >= least
+        close &= lengths[part][:, None] == lengths[right][None]
+        if low == high:
+            close &= part[:, None] < right[None]
+        a, b = np.nonzero(close)
+        if not len(a):
+            continue
+        if codes is None:
+            codes = group.column("codes").flatten().to_numpy().reshape(len(ids), -1)
+        a, b = part[a], right[b]
+        first = (codes[a] == codes[b]).argmax(1) == table
+        a, b = a[first], b[first]
+        np.add.at(links, a, copies[b])
+        np.add.at(links, b, copies[a])
+        for i, k in zip(a.tolist(), b.tolist(), strict=True):
+            i, k = _top(root, i), _top(root, k)
+            if i != k:
+                root[max(i, k)] = min(i, k)
+    linked = np.flatnonzero(links)
+    if not len(linked):
+        return None
+    tops = np.array([_top(root, i) for i in linked.tolist()])
+    return pa.RecordBatch.from_arrays(
+        [ids.take(pa.array(linked)), pa.array(links[linked]), ids.take(pa.array(tops))], ["id", "links", "root"]
     )
 
 

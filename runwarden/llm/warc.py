@@ -10,6 +10,7 @@ out of it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from runwarden.llm.tables import slices
 from runwarden.session import fresh_dir
 
 # Fixed values of the format.
@@ -86,7 +88,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     referred to unless all of a group are null (then all are responses). Archives hold about
     ``archive_bytes`` each, by a hash of the page; their number follows the bytes.
     """
-    spark = pages.sparkSession
+    spark, page_kind = pages.sparkSession, pages.schema["page_id"].dataType.simpleString()
     folder = fresh_dir(spark, "llm-warc")
     rows = _described(pages)
     total = rows.agg(F.sum(F.col("payload_bytes") + 512)).first()[0] or 0
@@ -105,25 +107,23 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     decided = keyed.join(shared, "payload_digest", "left").select(
         *keyed.columns, kind.alias("record_type"), F.when(later, F.col("first_id")).alias("refers_to")
     )
-    headed = decided.withColumn("header", _header(F.col("record_type")))
-    headed.select(
-        "archive", "page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to", "header"
-    ).write.parquet(f"{folder}/heads")
-    heads = spark.read.parquet(f"{folder}/heads")
+    decided.write.parquet(f"{folder}/heads")
+    heads = spark.read.parquet(f"{folder}/heads").withColumn("header", _header(F.col("record_type")))
 
     # A header and its page meet in the task that writes the archive; pages are shuffled once. Repeated rows of
     # one page come headers first and have equal payloads, so the k-th header and the k-th payload belong together.
+    # Payloads are compressed on the way.
     lines = heads.select(
-        "archive", "page_id", "payload_digest", F.lit(0).alias("part"), "record_type", F.col("header").alias("content")
+        "archive",
+        "page_id",
+        "payload_digest",
+        F.lit(0).alias("part"),
+        "record_type",
+        F.col("header").cast("binary").alias("content"),
     ).unionByName(
-        rows.select(
-            archive,
-            "page_id",
-            "payload_digest",
-            F.lit(1).alias("part"),
-            F.lit(None).cast("string").alias("record_type"),
-            F.col("html").alias("content"),
-        )
+        rows.select(archive, "page_id", "payload_digest", "html")
+        .mapInArrow(_packed, f"archive int, page_id {page_kind}, payload_digest string, content binary")
+        .withColumns({"part": F.lit(1), "record_type": F.lit(None).cast("string")})
     )
     # partition k becomes file part-k
     lines = lines.repartitionById(archives, "archive").sortWithinPartitions(*_PLACE, "part", "content")
@@ -145,7 +145,7 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Header and payload rows in order to whole records."""
-    heads: deque[tuple[str, bool]] = deque()
+    heads: deque[tuple[bytes, bool]] = deque()
     for batch in batches:
         out = []
         for kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -153,8 +153,17 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 heads.append((content, kind == "response"))
                 continue
             header, full = heads.popleft()
-            out.append(header + content if full else header)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            out.append(header + zlib.decompress(content) if full else header)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, 3):
+            packed = [zlib.compress(html.encode(), 6) for html in part.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], pa.array(packed, pa.binary())], ["archive", "page_id", "payload_digest", "content"]
+            )
 
 
 def _placed(heads: DataFrame) -> DataFrame:

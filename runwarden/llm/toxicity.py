@@ -100,25 +100,26 @@ def fit(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
     """The model of distinct hashed features per text and labels 0/1."""
     if not len(texts) or toxic.min() == toxic.max():
         return Model({}, (30.0, 31.0, 32.0))
-    rows = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
-    every, columns = np.unique(np.concatenate(texts), return_inverse=True)
-    with_toxic = np.bincount(columns, toxic[rows], minlength=len(every))
-    count = np.bincount(columns, minlength=len(every))
+    # counts over the whole space of hashes take less memory than sorting all features
+    flat = np.concatenate(texts)
+    count = np.bincount(flat, minlength=1 << _SPACE_BITS)
+    with_toxic = np.bincount(np.concatenate([x for x, t in zip(texts, toxic, strict=True) if t]), minlength=len(count))
     n_toxic, n_clean = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((with_toxic + 0.5) / (n_toxic + 1)) - np.log((count - with_toxic + 0.5) / (n_clean + 1))
-    rank = np.where(count >= _LEAST_TEXTS, _information(with_toxic, count, n_toxic / len(toxic)), 0.0)
-    chosen = np.argsort(-rank, kind="stable")[:FEATURES_KEPT]
+    often = np.flatnonzero(count >= _LEAST_TEXTS)
+    rank = _information(with_toxic[often], count[often], n_toxic / len(toxic))
     # so many features are tried that chance alone reaches this ratio about once
-    chosen = chosen[rank[chosen] >= 2 * np.log(max(2, (count >= _LEAST_TEXTS).sum()))]
-    place = np.full(len(every), -1)
+    best = np.argsort(-rank, kind="stable")[:FEATURES_KEPT]
+    chosen = often[best[rank[best] >= 2 * np.log(max(2, len(often)))]]
+    place = np.full(len(count), -1, dtype=np.int32)
     place[chosen] = np.arange(len(chosen))
-    kept = place[columns] >= 0
-    rows, columns = rows[kept], place[columns[kept]]
+    kept = [place[x][place[x] >= 0] for x in texts]
+    rows, columns = np.repeat(np.arange(len(texts)), list(map(len, kept))), np.concatenate(kept)
     markers = np.bincount(rows, odds[chosen][columns] > 2.0, minlength=len(texts))
     cuts = np.quantile(markers[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, markers, side="left"), 0).astype(np.int64)
     weights, thresholds = fit_ordinal(rows, columns, grades, len(chosen))
-    return Model(dict(zip(every[chosen].tolist(), weights.tolist(), strict=True)), tuple(thresholds.tolist()))
+    return Model(dict(zip(chosen.tolist(), weights.tolist(), strict=True)), tuple(thresholds.tolist()))
 
 
 def train(
@@ -153,10 +154,11 @@ def train(
                 )
 
     got = found.select("id", "text", "toxic").mapInArrow(run, "features array<int>, toxic int").toArrow()
-    texts = [np.asarray(x.values, dtype=np.int64) for x in got.column("features")] if got.num_rows else []
+    texts = [x.values.to_numpy() for x in got.column("features")]
     # repeated runs see the rows in any order; the sums of the fit must not depend on it
-    order = sorted(range(len(texts)), key=lambda i: (texts[i].tobytes(), got["toxic"][i].as_py()))
-    return fit([texts[i] for i in order], got["toxic"].to_numpy()[order].astype(np.int64))
+    toxic = got["toxic"].to_numpy()
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), len(texts[i]), toxic[i]))
+    return fit([texts[i] for i in order], toxic[order].astype(np.int64))
 
 
 _GRADED = "id {id}, severity double, p_toxic double, grade int, toxic boolean"

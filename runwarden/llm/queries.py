@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwarden.llm import bpe, mainpage, packing, repeats, secrets, toxicity, vectors, warc
+from runwarden.llm import bpe, mainpage, oddsketch, packing, repeats, secrets, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,7 +58,12 @@ def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainpage.main_text(_table(spark, sf_dir, "pages"))
 
 
-_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage)
+def op10_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = oddsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage, op10_oddsketch)
 
 _SQL = {
     "op2_warc": """

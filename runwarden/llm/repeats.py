@@ -26,8 +26,8 @@ from runwarden.llm.tables import slices, stage
 from runwarden.session import fresh_dir
 
 WIDTH = 35
-BATCH_BYTES = 16 << 20
-ENTRIES_PER_GROUP = 2_000_000
+BATCH_BYTES = 4 << 20
+ENTRIES_PER_GROUP = 1_000_000
 _LOW = np.uint64((1 << 48) - 1)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runwarden.llm import bpe, mainpage, oddsketch, packing, repeats, secrets, toxicity, vectors, warc
+from runwarden.llm import bpe, fingerprints, mainpage, oddsketch, packing, repeats, secrets, toxicity, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared_with_next(_table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_table(spark, sf_dir, "pages"))
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
@@ -63,7 +67,7 @@ def op10_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-_QUERIES = (op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage, op10_oddsketch)
+_QUERIES = (op1_fingerprints, op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage, op10_oddsketch)
 
 _SQL = {
     "op2_warc": """

@@ -85,7 +85,7 @@ def _likeness(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 2
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 5
 ) -> DataFrame:
     """Columns id, n_shingles, component_id, kept: one row per row of ``docs``.
 

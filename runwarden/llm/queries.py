@@ -42,14 +42,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.grade(docs, model).withColumnRenamed("id", "doc_id")
+    return toxicity.grade(docs, model).drop("text")
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_table(spark, sf_dir, "documents"), clean=False)
-    return found.withColumnRenamed("id", "doc_id").drop("clean_text")
+    found = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("text", "clean_text")
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def op9_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = oddsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+    found = oddsketch.near_duplicates(_table(spark, sf_dir, "documents"), width=2)
     return found.withColumnRenamed("id", "doc_id")
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runwarden.llm.tables import slices
+from runwarden.llm.tables import adding
 
 # The base patterns, in the order in which kinds sort, and their least lengths.
 KINDS = ("assign", "access", "hex")
@@ -201,36 +201,28 @@ def masked(text: str, spans: list[Span], mask: str = "[SECRET]") -> str:
     return "".join(out) + text[at:]
 
 
-_SCAN = "id {id}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean_text string"
+_SCAN = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, clean_text string"
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", clean: bool = True) -> DataFrame:
-    """Columns id, n_assign, n_access, n_hex, base_sha256, spans, clean_text: one row per document.
+def scan(docs: DataFrame, text_column: str = "text") -> DataFrame:
+    """All columns of ``docs`` and n_assign, n_access, n_hex, base_sha256, spans, clean_text.
 
     The counts and the digest are those of the base patterns on the text itself; spans also hold what the
-    unwrapped layers show; clean_text has all spans masked and is null for a null text (or without ``clean``).
-    A null text counts as empty. Rows are handled where they are, nothing is shuffled.
+    unwrapped layers show; clean_text has all spans masked and is null for a null text. A null text counts as
+    empty. Rows are handled where they are, nothing is shuffled. Columns that have an added name are replaced.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                counts, digest, spans, texts = [], [], [], []
-                for text in part.column(1).to_pylist():
-                    base = base_spans(text or "")
-                    every = all_spans(text or "")
-                    kinds = [k for *_, k in base]
-                    counts.append([kinds.count(k) for k in range(3)])
-                    digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
-                    spans.append(joined(every))
-                    texts.append(masked(text, every) if clean and text is not None else None)
-                numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *numbers, *(pa.array(x, pa.string()) for x in (digest, spans, texts))],
-                    names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "clean_text"],
-                )
-
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        run, _SCAN.format(id=kind)
-    )
+
+    def compute(texts: list[str | None]) -> list[pa.Array]:
+        counts, digest, spans, clean = [], [], [], []
+        for text in texts:
+            base = base_spans(text or "")
+            every = all_spans(text or "")
+            kinds = [k for *_, k in base]
+            counts.append([kinds.count(k) for k in range(3)])
+            digest.append(hashlib.sha256(joined(base).encode()).hexdigest())
+            spans.append(joined(every))
+            clean.append(None if text is None else masked(text, every))
+        numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+        return [*numbers, *(pa.array(x, pa.string()) for x in (digest, spans, clean))]
+
+    return adding(docs.withColumn(text_column, F.col(text_column).cast("string")), text_column, compute, _SCAN)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from runwarden.session import fresh_dir
 
@@ -30,3 +31,39 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 23) -> Ite
         held += size
     if batch.num_rows > at:
         yield batch.slice(at)
+
+
+def carried(docs: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The needed columns, and all others inside one struct, so that no name can clash with an operator's."""
+    others = [c for c in docs.columns if c not in needed]
+    held = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    return docs.select(*needed, held.alias("_carried"))
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` in their order, from a result over ``carried`` rows."""
+    return df.select(
+        *[
+            F.col(c) if c in ("doc_id", "text") else F.col("_carried").getField(c).alias(c)
+            for c in docs.columns
+        ]
+    )
+
+
+def adding(docs: DataFrame, column: str, compute: Callable[[list], list[pa.Array]], added: str) -> DataFrame:
+    """All columns of ``docs`` and those of the schema ``added``, computed from one string column; nothing is shuffled.
+
+    Columns of ``docs`` with an added name are replaced.
+    """
+    names = [x.split()[0] for x in added.split(", ")]
+    docs = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    at = docs.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, at):
+                made = compute(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{schema}, {added}")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm.bpe import Cache
-from runwarden.llm.tables import slices
+from runwarden.llm.tables import adding, slices
 
 TRAINING_ROWS = 12_000  # labelled texts that the model is fitted on, at most
 FEATURES_KEPT = 6_000
@@ -161,38 +161,37 @@ def train(
     return fit([texts[i] for i in order], toxic[order].astype(np.int64))
 
 
-_GRADED = "id {id}, severity double, p_toxic double, grade int, toxic boolean"
+_GRADED = "severity double, p_toxic double, grade int, toxic boolean"
 
 
-def grade(
-    docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", least: float = 0.5
-) -> DataFrame:
-    """Columns id, severity (expected grade, 0 to 3), p_toxic, grade (likeliest), toxic (p_toxic >= ``least``).
+def grade(docs: DataFrame, model: Model, text_column: str = "text", least: float = 0.5) -> DataFrame:
+    """All columns of ``docs`` and severity (expected grade, 0 to 3), p_toxic, grade (likeliest), toxic.
 
-    One row per document, nothing shuffled; a null or empty text has no features and gets the clean grade.
+    toxic is p_toxic >= ``least``. One row per document, nothing shuffled; a null or empty text has no features
+    and gets the clean grade. Columns of ``docs`` that have an added name are replaced.
     """
-    kind = docs.schema[id_column].dataType.simpleString()
     weights = model.weights
+    known = Cache(_Features(frozenset(weights)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Cache(lambda word: tuple(f for f in word_features(word) if f in weights))
-        for batch in batches:
-            for part in slices(batch, 1):
-                known.turn()
-                rows = []
-                for text in part.column(1).to_pylist():
-                    features = {f for word in set((text or "").lower().split()) for f in known[word]}
-                    steps = model.at_least(sum(weights[f] for f in sorted(features)))
-                    chances = np.diff([-1.0, *(-p for p in steps), 0.0])
-                    toxic = steps[0] >= least
-                    rows.append((sum(steps), steps[0], int(np.argmax(chances)), toxic))
-                columns = list(zip(*rows, strict=True))
-                kinds = (pa.float64(), pa.float64(), pa.int32(), pa.bool_())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                    names=["id", "severity", "p_toxic", "grade", "toxic"],
-                )
+    def compute(texts: list[str | None]) -> list[pa.Array]:
+        known.turn()
+        rows = []
+        for text in texts:
+            features = {f for word in set((text or "").lower().split()) for f in known[word]}
+            steps = model.at_least(sum(weights[f] for f in sorted(features)))
+            chances = np.diff([-1.0, *(-p for p in steps), 0.0])
+            rows.append((sum(steps), steps[0], int(np.argmax(chances)), steps[0] >= least))
+        kinds = (pa.float64(), pa.float64(), pa.int32(), pa.bool_())
+        return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 
-    return docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        run, _GRADED.format(id=kind)
-    )
+    return adding(docs.withColumn(text_column, F.col(text_column).cast("string")), text_column, compute, _GRADED)
+
+
+class _Features:
+    """The features of a word that a model has weights for."""
+
+    def __init__(self, kept: frozenset[int]) -> None:
+        self.kept = kept
+
+    def __call__(self, word: str) -> tuple[int, ...]:
+        return tuple(f for f in word_features(word) if f in self.kept)

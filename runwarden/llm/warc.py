@@ -43,7 +43,7 @@ class Archives:
 
 
 def _header(kind: Column) -> Column:
-    """The record header up to its blank line, of the columns page_id, url, payload_digest, refers_to, payload_bytes."""
+    """The record header up to its blank line, of the columns page_id, url, digest, refers_to, payload_bytes."""
 
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -60,7 +60,7 @@ def _header(kind: Column) -> Column:
         line("WARC-Record-ID", urn(F.col("page_id"))),
         line("WARC-Date", F.lit(_DATE)),
         line("WARC-Target-URI", url),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.lower(F.hex("digest")))),
         F.when(revisit, F.concat(line("WARC-Profile", F.lit(_PROFILE)), line("WARC-Refers-To", urn(F.col("refers_to"))))).otherwise(""),
         F.when(revisit, line("WARC-Payload-Length", F.col("payload_bytes").cast("string"))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -75,7 +75,7 @@ def _described(pages: DataFrame) -> DataFrame:
         F.col("page_id"),
         F.col("url").cast("string").alias("url"),
         html.alias("html"),
-        F.sha2(html, 256).alias("payload_digest"),
+        F.unhex(F.sha2(html, 256)).alias("digest"),
         F.octet_length(html).cast("long").alias("payload_bytes"),
     )
 
@@ -93,18 +93,18 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     rows = _described(pages)
     total = rows.agg(F.sum(F.col("payload_bytes") + 512)).first()[0] or 0
     archives = max(1, -(-int(total) // archive_bytes))
-    archive = F.pmod(F.xxhash64("page_id", "payload_digest"), F.lit(archives)).cast("int").alias("archive")
-    keyed = rows.select("page_id", "url", "payload_digest", "payload_bytes", archive)
+    archive = F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int").alias("archive")
+    keyed = rows.select("page_id", "url", "digest", "payload_bytes", archive)
     shared = (
         keyed.where(F.col("payload_bytes") >= LEAST_SHARED_BYTES)
-        .groupBy("payload_digest")
+        .groupBy("digest")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select("payload_digest", "first_id")
+        .select("digest", "first_id")
     )
     later = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     kind = F.when(later, "revisit").otherwise("response")
-    decided = keyed.join(shared, "payload_digest", "left").select(
+    decided = keyed.join(shared, "digest", "left").select(
         *keyed.columns, kind.alias("record_type"), F.when(later, F.col("first_id")).alias("refers_to")
     )
     decided.write.parquet(f"{folder}/heads")
@@ -116,17 +116,18 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     lines = heads.select(
         "archive",
         "page_id",
-        "payload_digest",
+        "digest",
         F.lit(0).alias("part"),
+        "url",
         "record_type",
         F.col("header").cast("binary").alias("content"),
     ).unionByName(
-        rows.select(archive, "page_id", "payload_digest", "html")
-        .mapInArrow(_packed, f"archive int, page_id {page_kind}, payload_digest string, content binary")
-        .withColumns({"part": F.lit(1), "record_type": F.lit(None).cast("string")})
+        rows.select(archive, "page_id", "digest", "html")
+        .mapInArrow(_packed, f"archive int, page_id {page_kind}, digest binary, content binary")
+        .withColumns({"part": F.lit(1), "url": F.lit(None).cast("string"), "record_type": F.lit(None).cast("string")})
     )
     # partition k becomes file part-k
-    lines = lines.repartitionById(archives, "archive").sortWithinPartitions(*_PLACE, "part", "content")
+    lines = lines.repartitionById(archives, "archive").sortWithinPartitions(*_PLACE, "part", "url")
     records = lines.select("record_type", "content").mapInArrow(_records, "value string")
     records.write.option("lineSep", _END).text(f"{folder}/archives")
     index = _placed(heads).join(_files(spark, f"{folder}/archives"), "archive")
@@ -134,7 +135,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     return Archives(spark.read.parquet(f"{folder}/index"))
 
 
-_PLACE = ("archive", "page_id", "payload_digest")
+_PLACE = ("archive", "page_id", "digest")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -162,20 +163,20 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 3):
             packed = [zlib.compress(html.encode(), 6) for html in part.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*part.columns[:3], pa.array(packed, pa.binary())], ["archive", "page_id", "payload_digest", "content"]
+                [*part.columns[:3], pa.array(packed, pa.binary())], ["archive", "page_id", "digest", "content"]
             )
 
 
 def _placed(heads: DataFrame) -> DataFrame:
     body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
-    sized = heads.withColumn("length", (F.octet_length("header") + body + len(_END)).cast("long"))
+    sized = heads.withColumn("length", (F.octet_length("header") + body + len(_END)).cast("long")).drop("header")
     in_archive = (
         Window.partitionBy("archive")
-        .orderBy("page_id", "payload_digest", "header")
+        .orderBy("page_id", "digest", "url")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ends = F.sum("length").over(in_archive)
-    return sized.withColumn("offset", (ends - F.col("length")).cast("long")).drop("header")
+    return sized.withColumn("offset", (ends - F.col("length")).cast("long"))
 
 
 _READ = (
@@ -252,7 +253,8 @@ def _parsed(record: bytes) -> tuple:
 
 def with_payload(records: DataFrame) -> DataFrame:
     """The records with the payload of the response put in for each revisit."""
-    responses = records.where("record_type = 'response'").groupBy("payload_digest").agg(F.first("payload").alias("full"))
+    responses = records.where("record_type = 'response'")
+    responses = responses.groupBy("payload_digest").agg(F.first("payload").alias("full"))
     return (
         records.join(responses, "payload_digest", "left")
         .withColumn("payload", F.coalesce("payload", "full"))

@@ -244,7 +244,7 @@ def _parsed(record: bytes) -> tuple:
     if fields["WARC-Type"] == "revisit":
         first = fields["WARC-Refers-To"][len("<urn:page:") : -1] or None
         size = int(fields["WARC-Payload-Length"])
-        return number, fields["WARC-Target-URI"], "revisit", first, digest, size, None, rest == b""
+        return number, fields["WARC-Target-URI"], "revisit", first, digest, size, None, rest == _END.encode()
     payload = rest[: int(fields["Content-Length"])]
     actual = hashlib.sha256(payload).hexdigest()
     intact = actual == digest and rest[len(payload) :] == _END.encode()

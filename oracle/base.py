@@ -47,7 +47,7 @@ PARTS: dict[str, str] = {
         SELECT conv_id || '-' || turn AS review_id, CAST(conv_id AS VARCHAR) AS customer_id,
                CAST(turn AS VARCHAR) AS product_id, CAST(length(text) % 5 + 1 AS INTEGER) AS rating,
                text AS review_text, TIMESTAMP '2024-01-01' + to_hours(turn) AS review_ts
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "observed": """
         SELECT
           (SELECT count(*) FILTER (amount_usd < 0) FROM orders_silver) AS bad,
@@ -397,7 +397,7 @@ PARTS["report"] = """
         JOIN (SELECT incident_id, string_agg(failure_type, ', ' ORDER BY failure_type) AS classes
               FROM (SELECT DISTINCT incident_id, failure_type FROM signal_table) GROUP BY 1) s USING (incident_id)
         LEFT JOIN (SELECT run_id, count(*) AS n FROM dq_facts WHERE NOT passed GROUP BY 1) q ON q.run_id = m.job_run_id
-        LEFT JOIN (SELECT run_id, least(count(*), 10) AS n,
+        LEFT JOIN (SELECT run_id, count(*) AS n,
                           arg_max(error_signature, {'c': collected_at, 't': task_run_id}) AS sig
                    FROM task_logs GROUP BY 1) l ON l.run_id = m.job_run_id
         LEFT JOIN (SELECT pipeline_key, added, removed, 'added=' || added || ' removed=' || removed || ' retyped='

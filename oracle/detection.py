@@ -8,6 +8,8 @@ _DECISION = """
 
 SQL = {
     "task_log_explode": "SELECT * FROM task_logs",
+    "stream_task_logs": "SELECT * FROM task_logs",
+    "stream_signals": "SELECT * FROM incident_table",
     "error_signature": "SELECT error_signature, count(*) AS n FROM task_logs GROUP BY 1",
     "parsed_error_signatures": """
         SELECT pipeline_key,
@@ -151,7 +153,9 @@ SQL = {
         FROM incident_table i JOIN signal_table s USING (incident_id) GROUP BY 1, 2""",
     "detected_incidents": "SELECT DISTINCT incident_id FROM signal_table",
     "detection_summary": """
-        SELECT (SELECT count(*) FROM signals) AS signals_evaluated, count(*) AS incidents_seen,
+        SELECT (SELECT count(*) FROM signals) AS signals_evaluated,
+               (SELECT count(*) FROM (SELECT DISTINCT job_run_id, failure_type, detected_by FROM signals)) AS signals_written,
+               count(*) AS incidents_seen,
                count(*) FILTER (job_run_id NOT IN (SELECT job_run_id FROM crash_signals)) AS incidents_created
         FROM incident_table""",
     "schema_ddl": """

@@ -25,7 +25,15 @@ SQL = {
         UNION ALL SELECT 'silver.orders', count(*) FROM orders_silver
         UNION ALL SELECT 'silver.events', count(*) FROM events_silver
         UNION ALL SELECT 'silver.reviews', count(*) FROM reviews_silver
-        UNION ALL SELECT 'gold.dim_product', count(*) FROM products_silver""",
+        UNION ALL SELECT 'gold.dim_product', count(*) FROM products_silver
+        UNION ALL SELECT 'gold.dim_customer', count(*) FROM customers_silver
+        UNION ALL SELECT 'gold.fact_orders', count(*) FROM orders_silver
+        UNION ALL SELECT 'gold.daily_order_metrics', count(DISTINCT order_date) FROM orders_silver
+        UNION ALL SELECT 'bronze.customers', count(*) FROM customer
+        UNION ALL SELECT 'bronze.products', count(*) FROM part
+        UNION ALL SELECT 'bronze.orders', count(*) FROM lineitem
+        UNION ALL SELECT 'bronze.events', count(*) FROM events
+        UNION ALL SELECT 'bronze.reviews', count(*) FROM conversations""",
     "orphan_keys": """
         SELECT order_id, 'customer_id' AS key_name, customer_id AS key_value FROM orders_silver o
         WHERE NOT EXISTS (SELECT 1 FROM customers_silver c WHERE c.customer_id = o.customer_id)
@@ -49,6 +57,10 @@ SQL = {
         SELECT count(*) AS row_count,
                round(CAST(count(*) - count(DISTINCT order_id) AS DOUBLE) / count(*), 6) AS duplicate_rate
         FROM raw_lines""",
+    "stream_late_share": """
+        SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) FILTER (k * 60 > 2880) AS late,
+               round(avg(CASE WHEN k * 60 > 2880 THEN 1.0 ELSE 0.0 END), 6) AS pct_late
+        FROM events_k GROUP BY 1""",
     "pct_late": "SELECT round(avg(CASE WHEN k * 60 > 2880 THEN 1.0 ELSE 0.0 END), 6) AS pct_late FROM events_k",
     "dq_results": "SELECT * REPLACE (round(observed_value, 6) AS observed_value) FROM dq_facts",
     "dq_summary": """

@@ -115,10 +115,3 @@ GRADE_MAX_ZEROS = 1
 GRADE_MIN_N = 18
 
 LATE_MINUTES = 2880.0
-
-
-def priority_of(failure_class: str | None) -> int:
-    """Rank of a failure class; unknown classes rank last."""
-    if failure_class in FAILURE_CLASSES:
-        return FAILURE_CLASSES.index(failure_class)
-    return UNRANKED_PRIORITY

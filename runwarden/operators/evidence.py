@@ -158,7 +158,6 @@ def rca_report(
     runbook_hits: DataFrame,
     samples: DataFrame | None = None,
     travel: DataFrame | None = None,
-    log_limit: int = 10,
 ) -> DataFrame:
     """One report per incident.
 
@@ -183,7 +182,7 @@ def rca_report(
     )
     dq_by_run = dq_failures(dq).groupBy("run_id").agg(F.count("*").alias("n_dq"))
     logs_by_run = logs.groupBy("run_id").agg(
-        F.least(F.count("*"), F.lit(log_limit)).alias("n_logs"),
+        F.count("*").alias("n_logs"),
         F.max_by(
             F.struct("error_signature", F.substring("raw_output", 1, 1500).alias("excerpt")),
             F.struct("collected_at", "task_run_id"),

@@ -144,7 +144,8 @@ _TRACKED = ("email", "full_name", "country")
 def scd2_apply(dim: DataFrame, incoming: DataFrame, tracked: Sequence[str] = _TRACKED) -> DataFrame:
     """Fold a customer snapshot into the history: close changed versions, open new ones.
 
-    One full outer join on the key; each match yields the one or two versions it leads to.
+    One full outer join on the key; each match yields the one or two versions it leads to. A snapshot row
+    that is no newer than the open version is late and changes nothing.
     """
     history = dim.filter(~F.col("is_current"))
     old = dim.filter("is_current").select(F.col("customer_id"), F.struct(*dim.columns).alias("o"))
@@ -152,18 +153,16 @@ def scd2_apply(dim: DataFrame, incoming: DataFrame, tracked: Sequence[str] = _TR
     new = new.select(F.col("customer_id"), F.struct(*dim.columns).alias("n"))
 
     changed = reduce(Column.__or__, [~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in tracked])
+    newer = F.coalesce(F.col("n.effective_from") > F.col("o.effective_from"), F.lit(True))
     closed = (
         F.col("o")
         .withField("effective_to", F.col("n.effective_from"))
         .withField("is_current", F.lit(False))
     )
-    first_seen = F.col("n").withField(
-        "effective_from", F.coalesce(F.col("n.effective_from"), F.col("n.source_updated_at"))
-    )
     versions = (
         F.when(F.col("n").isNull(), F.array("o"))
-        .when(F.col("o").isNull(), F.array(first_seen))
-        .when(changed, F.array(closed, F.col("n")))
+        .when(F.col("o").isNull(), F.array("n"))
+        .when(changed & newer, F.array(closed, F.col("n")))
         .otherwise(F.array("o"))
     )
     folded = old.join(new, "customer_id", "full_outer").select(F.inline(versions))

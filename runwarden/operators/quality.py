@@ -139,8 +139,10 @@ def pct_late(events: DataFrame, limit: float = fixed.LATE_MINUTES) -> DataFrame:
     return events.agg(share(F.col("lag_minutes") > limit).alias("pct_late"))
 
 
-def sample_bad_records(df: DataFrame, order: Sequence[str], limit: int = 5, first_columns: int = 8) -> DataFrame:
-    """A bounded look at rows with a NULL among the first columns; the limit is the feature."""
+def sample_bad_records(
+    df: DataFrame, order: Sequence[str], limit: int = 5, first_columns: int | None = None
+) -> DataFrame:
+    """A bounded look at rows with a NULL in any column (or the first few); the limit is the feature."""
     tests = [F.col(c).isNull() for c in df.columns[:first_columns]]
     if not tests:
         return df.filter(F.lit(False))

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from runwarden import fixed
 from runwarden.functions import text
 from runwarden.operators.keyed import ranked_top
 
-# Queries compared in one pass over the corpus. More of them are split over several passes.
-QUERIES_PER_PASS = 2048
+# Rows on either side of one comparison task.
+CORPUS_BLOCK = 8192
+QUERY_BLOCK = 2048
 
 
 def chunk_documents(docs: DataFrame, max_chars: int = fixed.CHUNK_CHARS) -> DataFrame:
@@ -88,31 +91,36 @@ def nearest(
     """The ``k`` most similar corpus rows of every query: ``(query_id, key, *carry, score, rank)``.
 
     ``queries`` has ``query_id``, ``terms`` and, for ``by_class``, ``failure_type``: then only rows of
-    that class or of none compete, and rows of that class go first. The corpus is read once per pass and
-    never shuffled: each Arrow batch is scored against all queries of the pass with one matrix product
-    and hands on only its own ``k`` best rows per query, from which the final ``k`` are ranked. A pass
-    holds at most about ``QUERIES_PER_PASS`` query vectors; a larger query table is cut into passes by
-    hash, so any number of queries is answered exactly.
+    that class or of none compete, and rows of that class go first. Both sides are dealt into blocks whose
+    number follows from their row counts, inside the plan; every pair of blocks is one matrix product that
+    hands on its ``k`` best rows per query, from which the final ``k`` are ranked. Vectors that are null or
+    of another length than the query count as unlike everything (score 0).
     """
-    passes = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
-    parts = []
-    for p in range(passes):
-        mine = queries if passes == 1 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p)
-        parts.append(_batch_best(corpus, mine, key, vector, k, carry, by_class))
-    order = [F.col("exact").desc(), F.col("score").desc(), F.col(key)]
-    return ranked_top(reduce(DataFrame.unionByName, parts), ["query_id"], order, k).drop("exact")
+    rows = corpus.select(
+        key,
+        *carry,
+        (F.col("failure_type") if by_class else F.lit(None).cast("string")).alias("_class"),
+        F.col(vector).alias("_v"),
+    )
+    wanted = queries.select(
+        "query_id", "terms", (F.col("failure_type") if by_class else F.lit(None).cast("string")).alias("_class")
+    )
+    # one row with two numbers
+    blocks = (
+        corpus.agg(F.ceil(F.count(F.lit(1)) / CORPUS_BLOCK).cast("int").alias("_rows"))
+        .crossJoin(queries.agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("_queries")))
+        .withColumns({"_rows": F.greatest("_rows", F.lit(1)), "_queries": F.greatest("_queries", F.lit(1))})
+    )
 
+    def dealt(df: DataFrame, by: str, own: str, other: str) -> DataFrame:
+        return (
+            df.crossJoin(F.broadcast(blocks))
+            .withColumn(f"{own}_at", F.pmod(F.xxhash64(by), F.col(own)).cast("int"))
+            .withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+            .drop("_rows", "_queries")
+        )
 
-def _batch_best(
-    corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int, carry: Sequence[str], by_class: bool
-) -> DataFrame:
-    """The best ``k`` rows of every Arrow batch for each query of one pass."""
-    wanted = queries.select("query_id", "terms", *(["failure_type"] if by_class else [])).collect()
-    ids = [q["query_id"] for q in wanted]
-    terms = [[(t["key"], t["value"]) for t in q["terms"]] for q in wanted]
-    classes = [q["failure_type"] if by_class else None for q in wanted]
-    row_class = F.col("failure_type") if by_class else F.lit(None).cast("string")
-    rows = corpus.select(key, *carry, row_class.alias("_class"), F.col(vector).alias("_v"))
+    pairs = ["_rows_at", "_queries_at"]
     out = T.StructType(
         [
             queries.schema["query_id"],
@@ -121,54 +129,71 @@ def _batch_best(
             T.StructField("score", T.DoubleType()),
         ]
     )
-    shown = [key, *carry]
-
-    def best(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        id_type, matrix = to_arrow_type(out["query_id"].dataType), None
-        for batch in batches:
-            n = batch.num_rows
-            if n == 0 or not ids:
-                continue
-            vectors = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-            if matrix is None:
-                matrix = np.zeros((len(ids), vectors.shape[1]))
-                for j, pairs in enumerate(terms):
-                    for slot, weight in pairs:
-                        matrix[j, slot] = weight
-            size = np.linalg.norm(vectors, axis=1)
-            size[size == 0] = 1.0
-            # rounded, so that equal scores tie whatever the order their terms were summed in
-            scores = np.round(vectors @ matrix.T / size[:, None], 9) + 0.0
-            own = np.array(batch.column("_class").to_pylist(), dtype=object)
-            keys = np.array(batch.column(key).to_pylist(), dtype=object)
-            picked, query, exact = [], [], []
-            for j, want in enumerate(classes):
-                same = own == want if want is not None else np.zeros(n, dtype=bool)
-                able = np.flatnonzero(same | (own == None)) if want is not None else np.arange(n)  # noqa: E711
-                if len(able) > k:
-                    # exact classes above all others, then by score; ties at the cut stay for now
-                    level = scores[able, j] + 4.0 * same[able]
-                    able = able[level >= np.partition(level, len(able) - k)[len(able) - k]]
-                able = sorted(able, key=lambda i, j=j, same=same: (not same[i], -scores[i, j], keys[i]))[:k]
-                picked += able
-                query += [j] * len(able)
-                exact += [bool(same[i]) for i in able]
-            at = pa.array(picked, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([ids[j] for j in query], id_type),
-                    *[batch.column(c).take(at) for c in shown],
-                    pa.array(exact, pa.bool_()),
-                    pa.array(scores[picked, query] if picked else [], pa.float64()),
-                ],
-                names=["query_id", *shown, "exact", "score"],
-            )
-
-    return rows.mapInArrow(best, out)
+    id_type = to_arrow_type(out["query_id"].dataType)
+
+    def best(mine, asked):
+        return _block_best(mine, asked, key, carry, k, id_type)
+
+    found = (
+        dealt(rows, key, "_rows", "_queries")
+        .groupBy(*pairs)
+        .cogroup(dealt(wanted, "query_id", "_queries", "_rows").groupBy(*pairs))
+        .applyInArrow(best, out)
+    )
+    order = [F.col("exact").desc(), F.col("score").desc(), F.col(key)]
+    return ranked_top(found, ["query_id"], order, k).drop("exact")
+
+
+def _block_best(mine, asked, key: str, carry: Sequence[str], k: int, id_type):
+    """The best ``k`` rows of one block for each query of another."""
+    shown, n = [key, *carry], mine.num_rows
+    names = ["query_id", *shown, "exact", "score"]
+    vectors = mine.column("_v").combine_chunks()
+    lengths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy() if n else np.empty(0, np.int64)
+    own = np.array(mine.column("_class").to_pylist(), dtype=object)
+    # place in key order, to settle ties
+    by_key = np.empty(n, np.int64)
+    by_key[pc.sort_indices(mine.column(key)).to_numpy()] = np.arange(n)
+    queries = asked.to_pylist()
+    width = int(lengths.max()) if n else 0
+    matrix = np.zeros((n, max(width, 0)))
+    matrix[np.arange(matrix.shape[1])[None] < lengths[:, None]] = np.nan_to_num(
+        pc.fill_null(vectors.drop_null().flatten(), 0.0).to_numpy(zero_copy_only=False) if n else np.empty(0)
+    )
+    size = np.linalg.norm(matrix, axis=1)
+    size[size == 0] = 1.0
+    terms = np.zeros((len(queries), matrix.shape[1]))
+    for j, query in enumerate(queries):
+        for pair in query["terms"] or ():
+            if pair["key"] < terms.shape[1]:
+                terms[j, pair["key"]] = pair["value"]
+    # rounded, so that equal scores tie whatever the order their terms were summed in
+    scores = np.round(matrix @ terms.T / size[:, None], 9) + 0.0
+    scores[lengths < width] = 0.0
+    picked, of_query, exact = [], [], []
+    for j, query in enumerate(queries):
+        want = query["_class"]
+        same = own == want if want is not None else np.zeros(n, dtype=bool)
+        able = np.flatnonzero(same | (own == None)) if want is not None else np.arange(n)  # noqa: E711
+        if len(able) > k:
+            # exact classes above all others, then by score; ties at the cut go by key
+            level = scores[able, j] + 4.0 * same[able]
+            able = able[level >= np.partition(level, len(able) - k)[len(able) - k]]
+        able = able[np.lexsort((by_key[able], -scores[able, j], ~same[able]))][:k]
+        picked.append(able)
+        of_query += [j] * len(able)
+        exact.append(same[able])
+    at = np.concatenate(picked) if picked else np.empty(0, np.int64)
+    flags = np.concatenate(exact) if exact else np.empty(0, bool)
+    return pa.Table.from_arrays(
+        [
+            pa.array([queries[j]["query_id"] for j in of_query], id_type),
+            *[mine.column(c).take(pa.array(at)) for c in shown],
+            pa.array(flags, pa.bool_()),
+            pa.array(scores[at, of_query] if len(at) else [], pa.float64()),
+        ],
+        names=names,
+    )
 
 
 def runbook_search(corpus: DataFrame, queries: DataFrame, top_k: int = 3) -> DataFrame:
@@ -184,11 +209,6 @@ def runbook_search(corpus: DataFrame, queries: DataFrame, top_k: int = 3) -> Dat
     )
 
 
-def with_chunk_text(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Fetch the texts of the few chunks that were found."""
-    return hits.join(corpus.select("chunk_id", "failure_type", "chunk_text"), "chunk_id")
-
-
 # --- fixed values: review words ----------------------------------------------------
 POSITIVE_WORDS = ("good", "great", "love", "excellent", "fast", "perfect", "happy")
 NEGATIVE_WORDS = ("bad", "broken", "slow", "poor", "late", "refund", "disappointed")

@@ -50,14 +50,16 @@ def prove_matches(expected: DataFrame, incident_rows: DataFrame) -> DataFrame:
 
 
 def detection_summary(signals: DataFrame, existing: DataFrame) -> DataFrame:
-    """Signals evaluated, runs with an incident and how many of them are new.
+    """Signals evaluated and written (one per run, class and detector), runs with an incident, new ones among them.
 
     The ids themselves stay rows (:func:`detected_incidents`); a list of them would not fit one row.
     """
-    runs = signals.groupBy("job_run_id").agg(F.count("*").alias("n"))
+    written = signals.groupBy("job_run_id", "failure_type", "detected_by").agg(F.count("*").alias("n"))
+    runs = written.groupBy("job_run_id").agg(F.sum("n").alias("n"), F.count("*").alias("w"))
     seen = runs.join(existing.select("job_run_id", F.lit(True).alias("old")), "job_run_id", "left")
     return seen.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("signals_evaluated"),
+        F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("signals_written"),
         F.count("*").alias("incidents_seen"),
         F.count_if(F.col("old").isNull()).alias("incidents_created"),
     )

@@ -20,7 +20,8 @@ def since(column: str, as_of: Column, hours: float | None) -> Column:
     """``column >= as_of - hours``; the bare column on the left keeps the filter pushable."""
     if hours is None:
         return F.lit(True)
-    return F.col(column) >= as_of - F.make_dt_interval(F.lit(0), F.lit(int(hours)))
+    seconds = F.lit(hours * 3600).cast("decimal(18,6)")
+    return F.col(column) >= as_of - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def run_history(telemetry: DataFrame, limit: int = 10) -> DataFrame:

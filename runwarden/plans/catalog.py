@@ -98,13 +98,21 @@ def layer_row_counts(t: Tables) -> DataFrame:
             "silver.events": t.silver_events,
             "silver.reviews": t.silver_reviews,
             "gold.dim_product": medallion.dim_product(t.silver_products),
+            "gold.dim_customer": medallion.dim_customer(t.silver_customers),
+            "gold.fact_orders": t.fact_orders,
+            "gold.daily_order_metrics": medallion.daily_order_metrics(t.fact_orders),
+            "bronze.customers": t.raw_customers,
+            "bronze.products": t.raw_products,
+            "bronze.orders": t.raw_order_lines,
+            "bronze.events": t.raw_events(),
+            "bronze.reviews": t.raw_reviews,
         }
     )
 
 
 @plan
 def orphan_keys(t: Tables) -> DataFrame:
-    return medallion.orphan_keys(t.at("silver_orders"), t.silver_customers, t.silver_products)
+    return medallion.orphan_keys(t.silver_orders, t.silver_customers, t.silver_products)
 
 
 @plan
@@ -421,7 +429,7 @@ def _actions(t: Tables) -> DataFrame:
 
 def _opened_before(t: Tables) -> DataFrame:
     """Incidents that task logs alone had opened."""
-    return incidents.incidents(rules.to_signals(rules.detect_job_crash(t.at("task_logs")), 1))
+    return incidents.incidents(rules.to_signals(rules.detect_job_crash(t.task_logs), 1))
 
 
 @plan
@@ -564,13 +572,13 @@ def commits_since_success(t: Tables) -> DataFrame:
 
 
 def _reports(t: Tables) -> DataFrame:
-    logs_once = t.at("task_logs")
+    logs_once = t.task_logs
     return evidence.rca_report(
         t.at("incidents"),
         t.incident_signals,
-        t.at("dq_results"),
+        t.dq_results,
         logs_once,
-        t.at("telemetry"),
+        t.telemetry,
         evidence.correlate_commits(t.at("incidents").select("pipeline_key"), t.commits),
         _runbook_hits(t),
     )
@@ -723,7 +731,9 @@ def stream_task_logs(t: Tables) -> DataFrame:
 
 @plan
 def stream_signals(t: Tables) -> DataFrame:
-    return jobs.streamed_signals(t)
+    return jobs.streamed_signals(t).select(
+        "incident_id", "job_run_id", "detected_at", "pipeline_key", "primary_failure_type", "severity", "status"
+    )
 
 
 @plan

@@ -137,13 +137,26 @@ def decide(store: TableStore, decided: DataFrame) -> DataFrame:
 
 
 def execute_remediation(
-    store: TableStore, incident_id: str, kind: str, parameters: Mapping[str, str], table: str, at: Column,
+    store: TableStore, incident_id: str, kind: str | None, parameters: Mapping[str, str], table: str, at: Column,
     expected_schema: Mapping[str, str] | None = None, resolve: bool = True,
 ) -> dict[str, object]:
     """Carry out one approved repair of ``table``, record it and resolve the incident.
 
-    Quarantine writes the flagged rows once, then both tables are cut from that version.
+    Quarantine writes the flagged rows once, then both tables are cut from that version. An incident that is
+    not known, or not approved for repair, raises before any table is touched. Without a kind, the one mapped
+    to the incident's class is taken.
     """
+    known = store.read("incidents", schemas.INCIDENTS).filter(F.col("incident_id") == incident_id)
+    now = _status(store).filter(F.col("incident_id") == incident_id).select("status").first()
+    mapped = known.select(
+        decisions.remediation_type(F.col("primary_failure_type")), decisions.remediation_parameters(F.col("primary_failure_type"))
+    ).first()
+    if mapped is None or now is None:
+        raise ValueError(f"incident not found: {incident_id}")
+    if now["status"] == "RESOLVED":
+        raise ValueError(f"incident is resolved: {incident_id}")
+    if not kind:
+        kind, parameters = mapped[0], {**(mapped[1] or {}), **parameters}
     result: dict[str, object] = {"remediation_type": kind, "table": table}
     if kind == "quarantine_reprocess":
         store.replace(f"{table}_flagged", remediation.quarantine(store.read(table), parameters))
@@ -163,9 +176,20 @@ def execute_remediation(
         result["restored"] = pairs
         if pairs and parameters.get("action") in ("generate_and_apply_additive", "apply_additive"):
             store.replace(table, remediation.apply_additive(df, pairs))
-        text = "\n".join(f"ALTER TABLE {table} ADD COLUMN {old} -- from {new}" for old, new in pairs.items())
-        row = store.spark.range(1).select(
-            F.lit(incident_id).alias("incident_id"), F.lit(table).alias("table_name"), F.lit(text).alias("ddl_text"), at.alias("created_at")
+        have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+        def as_map(columns: Mapping[str, str]) -> Column:
+            flat = [F.lit(x) for pair in columns.items() for x in pair]
+            return F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
+
+        drift = store.spark.range(1).select(
+            F.lit(table).alias("table_name"), as_map(expected_schema or {}).alias("expected"), as_map(have).alias("current")
+        )
+        row = remediation.schema_ddl(drift).select(
+            F.lit(incident_id).alias("incident_id"),
+            "table_name",
+            F.array_join("ddl_statements", "\n").alias("ddl_text"),
+            at.alias("created_at"),
         )
         store.append("schema_evolution_proposals", row, schemas.SCHEMA_PROPOSALS)
     elif kind != "diagnosis_only":
@@ -193,8 +217,3 @@ def execute_remediation(
         )
         store.append("audit_log", audit, schemas.AUDIT_LOG)
     return result
-
-
-def remediation_of(failure: Column) -> tuple[Column, Column]:
-    """Type and parameters mapped to a failure class."""
-    return decisions.remediation_type(failure), decisions.remediation_parameters(failure)

@@ -53,8 +53,16 @@ class TableStore:
         self.ensure_schema()
         path = fresh_dir(self.spark, f"{self.label}/{self._full(name)}")
         df.write.parquet(path)
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
-        self.spark.catalog.createTable(self._full(name), path=path, source="parquet")
+        full = self._full(name)
+        kept = self.spark.table(full).schema if self.exists(name) else None
+        if kept is not None and [(f.name, f.dataType) for f in kept] == [(f.name, f.dataType) for f in df.schema]:
+            # one catalog update: a reader finds the old version or the new one
+            self.spark.sql(f"ALTER TABLE {full} SET LOCATION '{path}'")
+            self.spark.catalog.refreshTable(full)
+            return
+        # only other columns need another table entry
+        self.spark.sql(f"DROP TABLE IF EXISTS {full}")
+        self.spark.catalog.createTable(full, path=path, source="parquet")
 
     def append(self, name: str, df: DataFrame, schema: T.StructType | None = None) -> None:
         rows = df if schema is None else schemas.conform(df, schema)
@@ -83,7 +91,7 @@ def mirror_sync(store: TableStore, sources: Mapping[str, DataFrame]) -> DataFram
             n = store.counted_replace(f"{name}_mirror", sources[name])
             results.append((f"{name}_mirror", name, True, n, None))
         except Exception as exc:  # a broken source must not stop the other mirrors
-            results.append((f"{name}_mirror", name, False, None, str(exc)[:500]))
+            results.append((f"{name}_mirror", name, False, None, str(exc)))
     return store.spark.createDataFrame(
         results, "mirror string, source string, ok boolean, row_count bigint, error string"
     )

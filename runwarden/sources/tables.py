@@ -49,9 +49,10 @@ def _at(base: int, seconds: Column) -> Column:
 class Tables:
     """Lazy views of one data folder. Every property is a plan; nothing runs until it is used.
 
-    ``at(name)`` is the same table written once to the shared folder and read back. Plans use it where a
-    table feeds several consumers or ends a long lineage, which is also where a deployed job would hand
-    over a table on disk. Written stages belong to one ``Tables`` object and so to one run.
+    ``at(name)`` is the same table written once to the shared folder and read back. Only the incidents are
+    handed over like this: they are few, end the longest lineage and feed every later plan several times,
+    and a deployed job has them as a table. All else stays lazy, so Spark prunes columns and shares
+    exchanges over the whole plan. A written stage belongs to one ``Tables`` object and so to one run.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -66,10 +67,6 @@ class Tables:
             self._staged[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._staged[name]
 
-    def near(self, name: str) -> DataFrame:
-        """The stage when this run has written it already, else the plan."""
-        return self._staged[name] if name in self._staged else getattr(self, name)
-
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(schemas.GIVEN[name]).parquet(f"{self.folder}/{name}.parquet")
 
@@ -145,8 +142,7 @@ class Tables:
 
     @cached_property
     def raw_reviews(self) -> DataFrame:
-        turns = self.table("conversations").filter(F.col("role") == "user")
-        return turns.select(
+        return self.table("conversations").select(
             F.concat_ws("-", "conv_id", "turn").alias("review_id"),
             F.col("conv_id").cast("string").alias("customer_id"),
             F.col("turn").cast("string").alias("product_id"),
@@ -184,15 +180,15 @@ class Tables:
 
     @property
     def doubled_orders(self) -> DataFrame:
-        return perturb.perturb_duplicate(self.near("silver_orders"))
+        return perturb.perturb_duplicate(self.silver_orders)
 
     @property
     def holed_customers(self) -> DataFrame:
-        return perturb.perturb_nulls(self.near("silver_customers"), "email", F.col("customer_id").cast("long"))
+        return perturb.perturb_nulls(self.silver_customers, "email", F.col("customer_id").cast("long"))
 
     @property
     def late_events(self) -> DataFrame:
-        return perturb.perturb_late(self.near("silver_events"))
+        return perturb.perturb_late(self.silver_events)
 
     # -- operations rows --------------------------------------------------------------
     @cached_property
@@ -311,7 +307,7 @@ class Tables:
         Every variant of a table is measured once and its results stand in all runs that see it.
         """
         orders, customers, events = (
-            self.at(n) for n in ("silver_orders", "silver_customers", "silver_events")
+            getattr(self, n) for n in ("silver_orders", "silver_customers", "silver_events")
         )
         healthy = ("dq-healthy", "orders_ingest")
         holed = ("prove-null_spike", "customers_scd2")
@@ -334,11 +330,11 @@ class Tables:
 
     # -- detection and incidents --------------------------------------------------------
     def scored(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> DataFrame:
-        return rules.scored_runs(self.near("telemetry"), self.as_of, hours, snapshot_baseline)
+        return rules.scored_runs(self.telemetry, self.as_of, hours, snapshot_baseline)
 
     def inputs(self, hours: float = MONTH_HOURS, snapshot_baseline: str = "oldest") -> rules.Inputs:
         return rules.load_inputs(
-            self.near("telemetry"), self.near("dq_results"), self.near("task_logs"), self.as_of, hours, snapshot_baseline
+            self.telemetry, self.dq_results, self.task_logs, self.as_of, hours, snapshot_baseline
         )
 
     @cached_property
@@ -347,11 +343,11 @@ class Tables:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents.incidents(self.at("signals"))
+        return incidents.incidents(self.signals)
 
     @cached_property
     def incident_signals(self) -> DataFrame:
-        return incidents.incident_signals(self.at("signals"))
+        return incidents.incident_signals(self.signals)
 
     @cached_property
     def opened_events(self) -> DataFrame:
@@ -379,7 +375,7 @@ class Tables:
     @cached_property
     def worked_events(self) -> DataFrame:
         """Opening events and the requested changes that took effect."""
-        moved = self.at("status_changes").filter(F.col("outcome") == "applied")
+        moved = self.status_changes.filter(F.col("outcome") == "applied")
         return self.opened_events.unionByName(moved.select(*self.opened_events.columns))
 
     @cached_property
@@ -411,23 +407,23 @@ class Tables:
     def decided(self) -> DataFrame:
         return incidents.apply_approvals(
             self.at("incidents"),
-            incidents.current_status(self.at("worked_events")),
+            incidents.current_status(self.worked_events),
             incidents.latest_proposal(self.proposal_audit),
             self.decisions,
         )
 
     @cached_property
     def approvals(self) -> DataFrame:
-        return incidents.approvals_of(self.at("decided"))
+        return incidents.approvals_of(self.decided)
 
     @cached_property
     def all_events(self) -> DataFrame:
-        return self.at("worked_events").unionByName(incidents.events_of(self.at("decided")))
+        return self.worked_events.unionByName(incidents.events_of(self.decided))
 
     @cached_property
     def current_incidents(self) -> DataFrame:
         """Incidents with the status their events lead to."""
-        now = incidents.current_status(self.near("worked_events")).select("incident_id", F.col("status").alias("_now"))
+        now = incidents.current_status(self.worked_events).select("incident_id", F.col("status").alias("_now"))
         joined = self.at("incidents").join(now, "incident_id", "left")
         return joined.withColumn("status", F.coalesce("_now", "status")).select(*self.at("incidents").columns)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +15,8 @@ from runwarden import fixed, schemas
 from runwarden.operators import incidents, logs, medallion, rules
 from runwarden.operators.telemetry import TelemetryRecorder
 from runwarden.session import fresh_dir
-from runwarden.sources import storage
 from runwarden.sources.tables import Tables
 
-SIGNAL_KEY = ["job_run_id", "failure_type", "detected_by"]
-
 
 def _finish(query: StreamingQuery) -> None:
     query.awaitTermination()
@@ -45,40 +44,34 @@ def payload_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # -- detection --------------------------------------------------------------------------
-def detect_stream(log_rows: DataFrame, store: storage.TableStore, table: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch of logs to incidents; runs that already have one are left alone.
-
-    Ids are derived from the run and each batch writes its own partition, so a batch that is run again
-    after a failure overwrites what it wrote before.
+def detect_stream(
+    log_rows: DataFrame,
+    sink: str,
+    checkpoint: str,
+    detect: Callable[[DataFrame], DataFrame] | None = None,
+) -> StreamingQuery:
+    """Each micro-batch of logs to signals; ``sink`` and ``checkpoint`` name one stream for good.
+
+    A batch writes its own partition of ``sink``, so one that is run again after a failure or a restart
+    overwrites what it wrote before, and nothing earlier is read. ``detect`` makes the signals of a batch, by
+    default those of the crash rule; with the rules on telemetry and checks it looks back as far as a
+    scheduled run does. Repeated signals count once when they are read: :func:`streamed_incidents`.
     """
-    root = fresh_dir(store.spark, f"stream/{table}")
-    schema = schemas.INCIDENTS
-
-    def known(before: int) -> DataFrame:
-        if before <= 0:
-            return schemas.empty(store.spark, schema)
-        seen = store.spark.read.schema(schema).parquet(*[f"{root}/batch={b}" for b in range(before)])
-        return seen
-
     def handle(batch: DataFrame, batch_id: int) -> None:
-        found = incidents.incidents(rules.to_signals(rules.detect_job_crash(batch), 1))
-        fresh = incidents.incident_dedup(schemas.conform(found, schema), known(batch_id))
-        fresh.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        found = detect(batch) if detect else rules.to_signals(rules.detect_job_crash(batch), 1)
+        found.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    query = (
+    return (
         log_rows.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    query.incident_root = root
-    return query
 
 
-def unique_signals(log_rows: DataFrame, delay: str = "31 days") -> DataFrame:
-    """Signals of a log stream, each (run, class, detector) once within the watermark."""
-    found = rules.to_signals(rules.detect_job_crash(log_rows), 1)
-    return found.withWatermark("detected_at", delay).dropDuplicatesWithinWatermark(SIGNAL_KEY)
+def streamed_incidents(spark: SparkSession, sink: str) -> DataFrame:
+    """One incident per run from the signals of all batches; repeated signals count once."""
+    return incidents.incidents(spark.read.parquet(sink).drop("batch"))
 
 
 # -- late share ---------------------------------------------------------------------------
@@ -164,15 +157,15 @@ def streamed_task_logs(t: Tables) -> DataFrame:
 
 
 def streamed_signals(t: Tables) -> DataFrame:
+    """Incidents of a stream over the job logs, all rules applied with each batch."""
     live = _StreamTables(t.spark, t.folder)
-    query = detect_stream(
-        logs.task_log_explode(live.payloads, "payload", F.col("collected_at")),
-        storage.TableStore(t.spark),
-        "incidents",
-        fresh_dir(t.spark, "stream/state"),
-    )
-    _finish(query)
-    return t.spark.read.schema(schemas.INCIDENTS).parquet(f"{query.incident_root}/batch=*")
+    sink, state = fresh_dir(t.spark, "stream/signals"), fresh_dir(t.spark, "stream/state")
+
+    def detect(batch: DataFrame) -> DataFrame:
+        return rules.all_signals(dataclasses.replace(t.inputs(), logs=batch))
+
+    _finish(detect_stream(logs.task_log_explode(live.payloads, "payload", F.col("collected_at")), sink, state, detect))
+    return schemas.conform(streamed_incidents(t.spark, sink), schemas.INCIDENTS)
 
 
 def streamed_late_share(t: Tables) -> DataFrame:

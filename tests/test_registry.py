@@ -1,16 +1,20 @@
 import pytest
 
 import __spark_entry__ as contract
+from oracle import statements
+from runwarden.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS_ONLY = {
-    "telemetry_rows", "mirror_sync", "stream_task_logs", "stream_signals", "stream_late_share", "stream_telemetry",
+    "telemetry_rows", "mirror_sync", "stream_telemetry",
 }
 
 
 def test_every_query_has_sql_unless_it_is_a_sink_or_stream():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == ROWS_ONLY
-    assert set(contract.oracle_sql()) <= set(contract.queries())
+    own = set(catalog.queries())
+    assert own - set(statements()) == ROWS_ONLY
+    assert set(statements()) <= own
+    assert own <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -23,8 +27,7 @@ def test_streams_agree_with_batch(spark, name):
     if name == "stream_task_logs":
         assert streamed.count() == contract.queries()["task_log_explode"](spark, FOLDER).count()
     elif name == "stream_signals":
-        crashes = contract.queries()["detect_job_crash"](spark, FOLDER).select("job_run_id").distinct()
-        assert streamed.count() == crashes.count()
+        assert sorted(streamed.collect()) == sorted(contract.queries()["incidents"](spark, FOLDER).collect())
     elif name == "stream_late_share":
         total = streamed.groupBy().sum("n", "late").collect()[0]
         share = contract.queries()["pct_late"](spark, FOLDER).collect()[0][0]

@@ -2,6 +2,7 @@
 
 from datetime import timedelta
 
+import pytest
 from helpers import NOW
 from pyspark.sql import functions as F
 
@@ -50,6 +51,10 @@ def test_null_spike_from_perturbation_to_resolution(spark):
     assert store.read("customers").filter("email IS NULL").count() == 0
     assert runs._status(store).collect()[0].status == "RESOLVED"
     assert store.read("remediation_runs").count() == 1
+    for unknown in ("nobody", iid):  # no such incident; resolved already
+        with pytest.raises(ValueError, match="incident"):
+            runs.execute_remediation(store, unknown, "quarantine_reprocess", params, "customers", lit(10))
+    assert store.read("remediation_runs").count() == 1
 
 
 def test_medallion_run_counts_layers(spark):

@@ -8,6 +8,7 @@ from runwarden import schemas
 from runwarden.operators import analytics, logs, medallion, perturb, quality, remediation, telemetry
 from runwarden.operators.keyed import flag_latest, latest_per_key
 from runwarden.sources import storage
+from runwarden.streaming import jobs
 
 
 def orders(spark, n=40):
@@ -130,6 +131,54 @@ def test_scd2_versions(spark):
     assert again.count() == 4
 
 
+def test_scd2_ignores_late_snapshots(spark):
+    cols = "customer_id string, email string, full_name string, country string, created_at timestamp, updated_at timestamp"
+    first = spark.createDataFrame([("a", "e", "n", "X", NOW, NOW)], cols)
+    moved = spark.createDataFrame([("a", "e", "n", "Y", NOW, NOW + timedelta(days=2))], cols)
+    late = spark.createDataFrame([("a", "e", "n", "Z", NOW, NOW + timedelta(days=1))], cols)
+    dim = medallion.scd2_apply(medallion.dim_customer(first), moved)
+    got = medallion.scd2_apply(dim, late).collect()
+    assert sorted((r.country, r.is_current) for r in got) == [("X", False), ("Y", True)]
+    assert all(r.effective_to is None or r.effective_to > r.effective_from for r in got)
+
+
+@pytest.mark.parametrize(("hours", "kept"), [(0.25, 0), (0.5, 1), (1.5, 2), (2.5, 3)])
+def test_lookback_takes_parts_of_an_hour(spark, hours, kept):
+    rows = run(spark, *[{"run_id": f"r{i}", "ago": i - 0.6} for i in range(1, 4)])
+    assert rows.filter(telemetry.since("ended_at", as_of(), hours)).count() == kept
+
+
+def test_bad_records_look_at_every_column(spark):
+    names = [f"c{i}" for i in range(10)]
+    rows = spark.createDataFrame([(*range(9), None), tuple(range(10))], ", ".join(f"{n} int" for n in names))
+    assert quality.sample_bad_records(rows, ["c0"]).count() == 1
+    assert quality.sample_bad_records(rows, ["c0"], first_columns=8).count() == 0
+
+
+def test_detection_stream_goes_on_after_a_restart(spark, tmp_path):
+    columns = "payload string, collected_at timestamp"
+    source, sink, state = f"{tmp_path}/in", f"{tmp_path}/sink", f"{tmp_path}/state"
+
+    def arrive(run_id):
+        payload = (
+            f'{{"runs":[{{"run_id":{run_id},"job_id":1,"run_name":"orders_ingest","tasks":[{{"run_id":{run_id}0,"task_key":"load",'
+            '"state":{"life_cycle_state":"TERMINATED","result_state":"FAILED","state_message":"boom"}}]}]}'
+        )
+        spark.createDataFrame([(payload, NOW)], columns).coalesce(1).write.mode("append").json(source)
+
+    def go():
+        rows = logs.task_log_explode(jobs.payload_stream(spark, source), "payload", F.col("collected_at"))
+        jobs.detect_stream(rows, sink, state).awaitTermination()
+        return sorted(r.job_run_id for r in jobs.streamed_incidents(spark, sink).collect())
+
+    arrive(1)
+    assert go() == ["1"]
+    arrive(2)
+    arrive(1)
+    assert go() == ["1", "2"]
+    assert go() == ["1", "2"]
+
+
 def test_slow_runs_match_brute_force(spark):
     rows = [{"run_id": f"r{i}", "ago": 24 * (20 - i) + 1, "duration_ms": d} for i, d in enumerate([10, 12, 30, 9, 50, 11, 8, 10, 70, 9])]
     got = {r.run_id for r in telemetry.slow_runs(run(spark, *rows)).collect()}
@@ -149,8 +198,10 @@ def test_store_rewrites_a_table_from_itself(spark):
     store = storage.TableStore(spark, "t")
     name = f"rw_{datetime.now().strftime('%H%M%S%f')}"
     store.replace(name, spark.range(10).toDF("x"))
+    held = store.read(name)
     store.replace(name, store.read(name).filter("x > 4"))
     assert store.read(name).count() == 5
+    assert held.count() == 10  # whoever reads the old version still can
     store.append(name, spark.range(3).toDF("x"))
     assert store.counted_replace(name, store.read(name)) == 8
     store.drop(name)

@@ -47,9 +47,10 @@ QUERIES = [
 ]
 
 
-@pytest.mark.parametrize("per_pass", [2048, 2])
-def test_search_matches_brute_force_in_one_and_many_passes(spark, monkeypatch, per_pass):
-    monkeypatch.setattr(retrieval, "QUERIES_PER_PASS", per_pass)
+@pytest.mark.parametrize("rows_per_block", [8192, 2])
+def test_search_matches_brute_force_in_one_and_many_blocks(spark, monkeypatch, rows_per_block):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", rows_per_block)
+    monkeypatch.setattr(retrieval, "CORPUS_BLOCK", rows_per_block)
     rows, embedded = corpus(spark)
     asked = spark.createDataFrame(QUERIES, "query_id string, query_text string, failure_type string")
     got = retrieval.runbook_search(embedded, asked, 4).orderBy("query_id", "rank").collect()
@@ -57,6 +58,21 @@ def test_search_matches_brute_force_in_one_and_many_passes(spark, monkeypatch, p
         assert [r.chunk_id for r in got if r.query_id == qid] == brute(rows, body, failure, 4), qid
 
 
+def test_search_takes_null_ragged_and_tied_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [1.0, 0.0, 0.0, 5.0]), (4, [0.0, 1.0]), (5, [2.0, 0.0]), (6, []), (7, [None, 1.0])]
+    corpus = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    asked = spark.createDataFrame([("q", [0.0, 0.0, 0.0, 1.0])], "query_id string, v array<double>")
+    got = retrieval.nearest(corpus, retrieval.vector_queries(asked, "v"), "vec_id", "vector", 7).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 1, 2, 4, 5, 6, 7] and [r.score for r in got[1:]] == [0.0] * 6
+
+
+def test_search_answers_very_many_queries(spark):
+    corpus = spark.range(40).selectExpr("id AS vec_id", "array(1.0D, cast(id as double)) AS vector")
+    asked = spark.range(5000).selectExpr("id AS query_id", "array(1.0D, cast(id % 40 as double)) AS v")
+    got = retrieval.nearest(corpus, retrieval.vector_queries(asked, "v"), "vec_id", "vector", 1).collect()
+    assert len(got) == 5000 and all(r.vec_id == r.query_id % 40 for r in got)
+
+
 def test_chunks_of_markdown(spark, tmp_path):
     (tmp_path / "null_spike.md").write_text("# Null spike\nintro\n## One\n" + "x" * 1000 + "\n## Two\n  \n## \n")
     (tmp_path / "general_notes.md").write_text("\n\n## Only\nbody")

@@ -15,6 +15,7 @@ from runwarden.llm.graph import components
 from runwarden.llm.tables import stage
 
 BLOCK = 8192  # texts of one bucket that one task compares; their sketches take a megabyte
+FAMILY_BLOCK = 1024  # texts of one family on one side of a comparison; their full sets meet in a task
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ class Likeness:
 
 
 def _spanning(batches: Iterator[pa.RecordBatch], by: Likeness) -> Iterator[pa.RecordBatch]:
-    """Per block of a bucket, the pairs of a spanning forest of greatest estimates (columns a, b)."""
+    """Per bucket, the pairs of a spanning forest of greatest estimates (columns a, b)."""
     for group in _groups(batches, 2):
         n = group.num_rows
         if n < 2:
@@ -91,25 +92,51 @@ def _as_pairs(ids: pa.Array, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.take(pa.array(at[:, 0])), ids.take(pa.array(at[:, 1]))], ["a", "b"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], by: Likeness) -> Iterator[pa.RecordBatch]:
-    """Per pair of blocks of a bucket, all likely pairs whose components differ (columns a, b)."""
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def _exact(batches: Iterator[pa.RecordBatch], by: Likeness, least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Per pair of blocks of a family, confirmed pairs that hold its components together (columns a, b).
+
+    Columns family, low, high, id, sketch, members, side. Likely pairs that are not joined yet are compared on
+    their full sets, likeliest first.
+    """
+    up, down = least
     for group in _groups(batches, 3):
-        sketch = by.matrix(group.column(4))
-        of = group.column(5).to_numpy()
-        side = group.column(6).to_numpy()
         low, high = group.column(1)[0].as_py(), group.column(2)[0].as_py()
+        sketch, side = by.matrix(group.column(4)), group.column(6).to_numpy()
+        sets = [minhash.unpacked(x) for x in group.column(5).to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        flat = np.concatenate(sets)
+        root = np.arange(len(sets))
         right = np.flatnonzero(side == high)
+        pairs = []
         for i in np.flatnonzero(side == low).tolist():
-            apart = right[of[right] != of[i]] if low != high else right[(of[right] != of[i]) & (right > i)]
-            if not len(apart):
+            at = right[right > i] if low == high else right
+            # sets of too different size can't be alike enough
+            at = at[(root[at] != root[i]) & (down * np.minimum(sizes[at], sizes[i]) >= up * np.maximum(sizes[at], sizes[i]))]
+            if not len(at):
                 continue
-            near = apart[by.estimate(sketch[i], sketch[apart]) >= by.least_estimate]
-            if len(near):
-                yield _as_pairs(group.column(3), [(i, k) for k in near.tolist()])
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+            found = by.estimate(sketch[i], sketch[at])
+            at, found = at[found >= by.least_estimate], found[found >= by.least_estimate]
+            at = at[np.argsort(-found, kind="stable")]
+            step = 4
+            while len(at):
+                part, at = at[:step], at[step:]
+                step = 256
+                inside = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in part.tolist()])
+                place = np.minimum(np.searchsorted(sets[i], flat[inside]), sizes[i] - 1)
+                edges = np.concatenate(([0], np.cumsum(sizes[part])[:-1]))
+                both = np.add.reduceat((sets[i][place] == flat[inside]).astype(np.int64), edges)
+                for k in part[down * both >= up * (sizes[part] + sizes[i] - both)].tolist():
+                    if root[k] != root[i]:
+                        root[root == root[k]] = root[i]
+                        pairs.append((i, k))
+                at = at[root[at] != root[i]]
+        if pairs:
+            yield _as_pairs(group.column(3), pairs)
 
 
 def links(
@@ -117,46 +144,42 @@ def links(
 ) -> DataFrame:
     """Confirmed pairs (a, b) of class ids that hold every component together.
 
-    ``docs`` has id and text, ``classes`` id, bands (array of keys) and sketch. First, in every bucket, a
-    spanning forest of the likeliest pairs is confirmed on full sets: a bucket of n ids gives n - 1 pairs at
-    most. Then all likely pairs between different components of a bucket are confirmed, so no link is lost.
+    ``docs`` has id and text, ``classes`` id, bands (array of keys) and sketch. In every bucket, a spanning
+    forest of the likeliest pairs joins ids to families: a bucket of n ids gives n - 1 pairs at most, and all
+    likely pairs lie inside one family. The full sets then travel to their family, or for a large family to
+    each pair of its blocks, and are compared there; no pairs are listed but those found linked and needed.
     """
-    id_kind = classes.schema["id"].dataType.simpleString()
-    pair_schema = f"a {id_kind}, b {id_kind}"
+    kind = classes.schema["id"].dataType.simpleString()
     buckets = stage(_buckets(classes), "bucket-ids")
     sketch = classes.select("id", "sketch")
-    blocks = F.ceil(F.col("size") / BLOCK)
-
-    def members(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        return minhash.full_sets(docs.join(ids, "id", "left_semi"), width, lower)
-
-    dealt = buckets.select("key", F.pmod(F.xxhash64("id", "key"), blocks).alias("block"), "id").join(sketch, "id")
-    together = dealt.select("key", "block", "id", "sketch").repartition("key", "block")
-    together = together.sortWithinPartitions("key", "block", "id")
-    first = stage(_ordered(together.mapInArrow(lambda x: _spanning(x, by), pair_schema)), "pairs")
-    known = stage(members(first), "sets")
-    tried = stage(minhash.confirmed(first, known, least), "confirmed")
-    found = tried.where("linked").select("a", "b")
-
-    # What the forests left apart: every likely pair between different components.
-    joined = components(found)
-    placed = buckets.join(joined, "id", "left").select(
-        "key", "size", "id", F.coalesce("component_id", "id").alias("of")
-    )
-    bucket = Window.partitionBy("key")
-    mixed = placed.withColumns({"low": F.min("of").over(bucket), "high": F.max("of").over(bucket)}).where("low <> high")
-    sides = (
-        mixed.select("key", "id", "of", blocks.cast("int").alias("n"))
-        .withColumn("side", F.pmod(F.xxhash64("id", "key"), "n").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    small = buckets.where(F.col("size") <= BLOCK).select("key", F.lit(0).alias("block"), "id").join(sketch, "id")
+    together = small.select("key", "block", "id", "sketch").repartition("key").sortWithinPartitions("key", "id")
+    forest = together.mapInArrow(lambda x: _spanning(x, by), f"a {kind}, b {kind}")
+    # a bucket too large for one task is one family
+    large = buckets.where(F.col("size") > BLOCK)
+    star = large.select("id", F.min("id").over(Window.partitionBy("key")).alias("first"))
+    family = components(_ordered(forest.union(star.select(F.col("first").alias("a"), F.col("id").alias("b")))))
+    family = stage(family.select("id", F.col("component_id").alias("family")).distinct(), "families")
+
+    members = minhash.full_sets(docs.join(family.select("id"), "id", "left_semi"), width, lower)
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("n"))
+    placed = (
+        family.join(sizes, "family")
+        .withColumn("side", F.pmod(F.xxhash64("id"), "n").cast("int"))
         .join(sketch, "id")
-        .select("key", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "id", "sketch", "of", "side")
-    )
-    together = sides.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "id")
-    more = _ordered(together.mapInArrow(lambda x: _across(x, by), pair_schema)).join(tried, ["a", "b"], "left_anti")
-    second = stage(more, "pairs")
-    if second.isEmpty():
-        return found
-    tried = stage(minhash.confirmed(second, stage(members(second), "sets"), least), "confirmed")
-    return found.union(tried.where("linked").select("a", "b"))
+        .join(members, "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select(
+            "family",
+            F.least("side", "other").alias("low"),
+            F.greatest("side", "other").alias("high"),
+            "id",
+            "sketch",
+            "members",
+            "side",
+        )
+    )
+    keys = ("family", "low", "high")
+    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, "id")
+    return stage(dealt.mapInArrow(lambda x: _exact(x, by, least), f"a {kind}, b {kind}"), "confirmed")

@@ -8,7 +8,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from runwarden.llm.hashing import as_bytes, shingles
 from runwarden.llm.tables import slices
@@ -73,7 +72,8 @@ def _small(members: np.ndarray) -> bytes:
     return np.ascontiguousarray(members.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
-def _large(data: bytes) -> np.ndarray:
+def unpacked(data: bytes) -> np.ndarray:
+    """The members of a packed set, rising."""
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
@@ -92,27 +92,3 @@ def full_sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                 )
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, members binary")
-
-
-def confirmed(pairs: DataFrame, members: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Columns a, b, linked: the pairs (a, b) with the exact answer to |a & b| / |a | b| >= least[0] / least[1].
-
-    ``members`` are the full sets of all ids in pairs. Each set travels once for each pair it is the first of.
-    """
-    kind = pairs.schema["a"].dataType.simpleString()
-    with_first = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("one")), "a")
-    with_both = with_first.join(members.select(F.col("id").alias("b"), F.col("members").alias("two")), "b")
-    up, down = least
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for one, two in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                one, two = _large(one), _large(two)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                linked.append(down * both >= up * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"]
-            )
-
-    return with_both.select("a", "b", "one", "two").mapInArrow(run, f"a {kind}, b {kind}, linked boolean")

@@ -392,7 +392,7 @@ PARTS["report"] = """
                substr(c.sha, 1, 12) AS suspected_commit_sha,
                m.remediation_type || ': ' || m.parameters AS remediation_proposal,
                h.runbook_path AS cited_runbook,
-               CASE WHEN q.n > 0 THEN 8 ELSE 6 END AS tool_trace_len
+               6 AS tool_trace_len
         FROM mapped m
         JOIN (SELECT incident_id, string_agg(failure_type, ', ' ORDER BY failure_type) AS classes
               FROM (SELECT DISTINCT incident_id, failure_type FROM signal_table) GROUP BY 1) s USING (incident_id)

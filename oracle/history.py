@@ -32,7 +32,7 @@ SQL = {
                (5, 'correlate_github_commits', false), (6, 'sample_bad_records', true),
                (7, 'time_travel_compare', true), (8, 'search_runbooks', false), (9, 'save_rca_report', false),
                (10, 'propose_remediation', false)) s(i, tool, extra)
-        WHERE tool_trace_len = 8 OR NOT s.extra
+        WHERE NOT s.extra
         UNION ALL
         SELECT incident_id, 'approval', decided_at, decision FROM decided WHERE error IS NULL""",
     "detection_scorecard": """
@@ -112,14 +112,11 @@ SQL = {
         FROM decided WHERE error IS NULL GROUP BY 1""",
     "top_tools": """
         SELECT tool AS tool_name, count(*) AS n
-        FROM (SELECT i.incident_id, max(CASE WHEN s.detected_by = 'workflow' AND s.failure_type IN
-                ('duplicate_explosion', 'null_spike', 'late_data') AND i.job_run_id LIKE 'prove-%' THEN 1 ELSE 0 END) AS t
-              FROM incident_table i JOIN signal_table s USING (incident_id) GROUP BY 1),
-             (VALUES ('update_incident_status', 0), ('query_run_history', 0), ('get_dq_failures', 0),
-                     ('read_task_logs', 0), ('diff_schema', 0), ('correlate_github_commits', 0),
-                     ('sample_bad_records', 1), ('time_travel_compare', 1), ('search_runbooks', 0),
-                     ('save_rca_report', 0), ('propose_remediation', 0)) s(tool, extra)
-        WHERE t >= extra GROUP BY 1""",
+        FROM (SELECT DISTINCT incident_id FROM incident_table),
+             (VALUES ('update_incident_status'), ('query_run_history'), ('get_dq_failures'), ('read_task_logs'),
+                     ('diff_schema'), ('correlate_github_commits'), ('search_runbooks'), ('save_rca_report'),
+                     ('propose_remediation')) s(tool)
+        GROUP BY 1""",
     "incident_trend": """
         SELECT CAST(date_trunc('day', detected_at) AS TIMESTAMP) AS period, primary_failure_type, count(*) AS n
         FROM incident_table GROUP BY 1, 2""",

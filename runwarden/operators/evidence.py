@@ -219,11 +219,12 @@ def rca_report(
         .withColumn("_q", F.concat_ws("|", "failure", "pipeline_key"))
         .join(cited, "_q", "left")
     )
-    extra = []
+    extra, looked_at = [], F.lit(6)  # history, checks, logs, schema, commits and runbooks
     for side, column, label in ((samples, "sampled", "sampled_bad_records="), (travel, "compared", "time_travel=")):
         if side is not None:
             rows = rows.join(side.select("table_name", column), "table_name", "left")
             extra.append(F.when(F.col(column).isNotNull(), F.concat(F.lit(label), F.substring(column, 1, 300))))
+            looked_at = looked_at + F.col(column).isNotNull().cast("int")
 
     diff = F.when(F.col("reason").isNotNull(), F.col("reason")).otherwise(
         F.concat(
@@ -270,8 +271,10 @@ def rca_report(
         F.col("suspect").alias("suspected_commit_sha"),
         F.concat(kind, F.lit(": "), F.to_json(params)).alias("remediation_proposal"),
         F.col("cited").alias("cited_runbook"),
-        # history, checks, logs, schema, commits and runbooks; two more once a table is known
-        F.when(F.col("table_name").isNotNull(), 8).otherwise(6).alias("tool_trace_len"),
+        looked_at.alias("tool_trace_len"),
+        F.array_compact(
+            F.array(*[F.when(F.col(c).isNotNull(), step) for c, step in TABLE_STEPS.items() if c in rows.columns])
+        ).alias("table_steps"),
         "history_sample",
     )
 
@@ -320,13 +323,13 @@ INVESTIGATION_STEPS = (
     "save_rca_report",
     "propose_remediation",
 )
-TABLE_STEPS = ("sample_bad_records", "time_travel_compare")
+TABLE_STEPS = {"sampled": "sample_bad_records", "compared": "time_travel_compare"}
 
 
 def agent_actions(reports: DataFrame, started_at: Column, summary_chars: int = 4000) -> DataFrame:
-    """Action log of the investigations behind the reports, one row per step."""
+    """Action log of the investigations behind the reports, one row per step whose evidence is in the report."""
     steps = F.array(*[F.lit(s) for s in INVESTIGATION_STEPS])
-    short = F.filter(steps, lambda s: ~s.isin(*TABLE_STEPS))
+    taken = F.filter(steps, lambda s: ~s.isin(*TABLE_STEPS.values()) | F.array_contains("table_steps", s))
     rows = reports.select(
         "incident_id",
         "job_run_id",
@@ -334,7 +337,7 @@ def agent_actions(reports: DataFrame, started_at: Column, summary_chars: int = 4
         "root_cause_type",
         F.array_join("evidence", "; ").alias("_out"),
         started_at.alias("_start"),
-        F.posexplode(F.when(F.col("tool_trace_len") == 8, steps).otherwise(short)).alias("_i", "tool_name"),
+        F.posexplode(taken).alias("_i", "tool_name"),
     )
     return rows.select(
         text.record_id(F.lit("action"), F.col("incident_id"), F.col("tool_name")).alias("action_id"),

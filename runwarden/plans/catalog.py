@@ -586,7 +586,7 @@ def _reports(t: Tables) -> DataFrame:
 
 @plan
 def rca_report(t: Tables) -> DataFrame:
-    rows = _reports(t).drop("history_sample")
+    rows = _reports(t).drop("history_sample", "table_steps")
     return rows.withColumn("evidence", F.array_join("evidence", "|"))
 
 

@@ -34,8 +34,8 @@ def test_null_spike_from_perturbation_to_resolution(spark):
 
     reports = runs.run_investigation(store, t.runbooks, t.commits, lit(1)).collect()
     assert len(reports) == 1 and reports[0].root_cause == fixed.CAUSES["null_spike"]
-    assert reports[0].cited_runbook is not None and reports[0].tool_trace_len == 8
-    assert store.read("agent_actions").count() == 11
+    assert reports[0].cited_runbook is not None and reports[0].tool_trace_len == 6
+    assert store.read("agent_actions").count() == 9
     status = {r.incident_id: r.status for r in runs._status(store).collect()}
     assert status == {iid: "AWAITING_APPROVAL"}
 

@@ -320,12 +320,13 @@ PARTS: dict[str, str] = {
         FROM (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), chr(10) || '## '),
                        '^\\s+|\\s+$', '', 'g'), chr(10) || '## ') AS p FROM documents)""",
     "chunks": """
-        SELECT stem || '-' || i AS chunk_id, 'runbooks/' || stem || '.md' AS runbook_path, failure_type,
-               'Doc ' || doc_id AS title,
-               CASE WHEN length(body) > 900 THEN substr(body, 1, 897) || '...' ELSE body END AS chunk_text
-        FROM (SELECT *, regexp_replace(CASE WHEN i = 0 THEN part ELSE '## ' || part END,
-                       '^\\s+|\\s+$', '', 'g') AS body FROM doc_parts)
-        WHERE body <> ''""",
+        SELECT stem || '-' || i || CASE WHEN p > 0 THEN '-' || p ELSE '' END AS chunk_id,
+               'runbooks/' || stem || '.md' AS runbook_path, failure_type, 'Doc ' || doc_id AS title,
+               substr(body, p * 900 + 1, 900) AS chunk_text
+        FROM (SELECT *, unnest(range(0, (length(body) - 1) // 900 + 1)) AS p
+              FROM (SELECT *, regexp_replace(CASE WHEN i = 0 THEN part ELSE '## ' || part END,
+                           '^\\s+|\\s+$', '', 'g') AS body FROM doc_parts)
+              WHERE body <> '')""",
     "chunk_slots": """
         SELECT chunk_id, idx, sum(sign) AS w FROM (
           SELECT chunk_id, ('0x' || substr(h, 1, 2))::INT AS idx, 1 - 2 * (('0x' || substr(h, 9, 2))::INT % 2) AS sign

@@ -21,9 +21,11 @@ CORPUS_BLOCK = 8192
 QUERY_BLOCK = 2048
 
 
-def chunk_documents(docs: DataFrame, max_chars: int = fixed.CHUNK_CHARS) -> DataFrame:
+def chunk_documents(docs: DataFrame, max_chars: int = fixed.CHUNK_CHARS, cut: bool = False) -> DataFrame:
     """Cut Markdown ``(runbook_path, text)`` before each second-level heading.
 
+    A section longer than ``max_chars`` becomes consecutive chunks, so all of it can be found; with ``cut``
+    only its beginning is kept, ending in an ellipsis.
     The failure class is the file's name where that names one, unless ``docs`` brings its own
     ``failure_type`` column.
     """
@@ -35,13 +37,24 @@ def chunk_documents(docs: DataFrame, max_chars: int = fixed.CHUNK_CHARS) -> Data
         (F.col("failure_type") if "failure_type" in docs.columns else named).alias("failure_type"),
         F.posexplode(F.split(text.strip(F.col("text")), r"\n(?=## )")).alias("i", "part"),
     ).withColumn("body", text.strip(F.col("part")))
-    cut = F.concat(F.substring("body", 1, max_chars - 3), F.lit("..."))
-    return parts.filter(F.col("body") != "").select(
-        F.concat_ws("-", "stem", F.col("i").cast("string")).alias("chunk_id"),
+    parts = parts.filter(F.col("body") != "")
+    if cut:
+        short = F.concat(F.substring("body", 1, max_chars - 3), F.lit("..."))
+        pieces = F.array(F.when(F.length("body") > max_chars, short).otherwise(F.col("body")))
+    else:
+        pieces = F.transform(
+            F.sequence(F.lit(0), F.floor((F.length("body") - 1) / max_chars).cast("int")),
+            lambda p: F.substr("body", p * max_chars + 1, F.lit(max_chars)),
+        )
+    parts = parts.select("stem", "runbook_path", "failure_type", "i", F.posexplode(pieces).alias("p", "piece"))
+    return parts.select(
+        F.concat_ws("-", "stem", F.col("i").cast("string"), F.when(F.col("p") > 0, F.col("p").cast("string"))).alias(
+            "chunk_id"
+        ),
         "runbook_path",
         "failure_type",
         F.initcap(F.replace("stem", F.lit("_"), F.lit(" "))).alias("title"),
-        F.when(F.length("body") > max_chars, cut).otherwise(F.col("body")).alias("chunk_text"),
+        F.col("piece").alias("chunk_text"),
     )
 
 

@@ -76,7 +76,9 @@ def test_search_answers_very_many_queries(spark):
 def test_chunks_of_markdown(spark, tmp_path):
     (tmp_path / "null_spike.md").write_text("# Null spike\nintro\n## One\n" + "x" * 1000 + "\n## Two\n  \n## \n")
     (tmp_path / "general_notes.md").write_text("\n\n## Only\nbody")
-    got = retrieval.chunk_documents(storage.read_runbooks(spark, str(tmp_path))).collect()
+    whole = {r.chunk_id: r.chunk_text for r in retrieval.chunk_documents(storage.read_runbooks(spark, str(tmp_path))).collect()}
+    assert whole["null_spike-1"] + whole["null_spike-1-1"] == "## One\n" + "x" * 1000 and len(whole) == 5
+    got = retrieval.chunk_documents(storage.read_runbooks(spark, str(tmp_path)), cut=True).collect()
     by = {r.chunk_id: r for r in got}
     assert set(by) == {"null_spike-0", "null_spike-1", "null_spike-2", "general_notes-0"}
     assert len(by["null_spike-1"].chunk_text) == 900 and by["null_spike-1"].chunk_text.endswith("...")

@@ -110,6 +110,11 @@ SQL = {
     "approval_counts": """
         SELECT decision, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS rate
         FROM decided WHERE error IS NULL GROUP BY 1""",
+    "approved_counts": """
+        SELECT incident_id, count(*) AS n_approved FROM decided WHERE error IS NULL AND decision = 'approved' GROUP BY 1""",
+    "signals_like": """
+        SELECT job_run_id, failure_type, detected_by FROM signals
+        WHERE job_run_id LIKE 'prove-%' AND failure_type IN ('null_spike', 'duplicate_explosion', 'late_data')""",
     "top_tools": """
         SELECT tool AS tool_name, count(*) AS n
         FROM (SELECT DISTINCT incident_id FROM incident_table),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,16 @@ def incident_trend(incident_rows: DataFrame, grain: str = "day") -> DataFrame:
     return incident_rows.groupBy(
         F.date_trunc(grain, "detected_at").alias("period"), "primary_failure_type"
     ).agg(F.count("*").alias("n"))
+
+
+def approved_counts(approvals: DataFrame) -> DataFrame:
+    """Approvals per incident; incidents without any have no row."""
+    approved = approvals.filter(F.col("decision") == "approved")
+    return approved.groupBy("incident_id").agg(F.count("*").alias("n_approved"))
+
+
+def signals_like(signals: DataFrame, run_pattern: str, classes: Sequence[str]) -> DataFrame:
+    """Signals of runs that match a LIKE pattern, of the given classes; both filters reach the scan."""
+    return signals.filter(F.col("job_run_id").like(run_pattern) & F.col("failure_type").isin(*classes)).select(
+        "job_run_id", "failure_type", "detected_by"
+    )

@@ -697,6 +697,16 @@ def approval_counts(t: Tables) -> DataFrame:
     return analytics.approval_counts(t.approvals).withColumn("rate", r6("rate"))
 
 
+@plan
+def approved_counts(t: Tables) -> DataFrame:
+    return analytics.approved_counts(t.approvals)
+
+
+@plan
+def signals_like(t: Tables) -> DataFrame:
+    return analytics.signals_like(t.signals, "prove-%", ("null_spike", "duplicate_explosion", "late_data"))
+
+
 @plan
 def top_tools(t: Tables) -> DataFrame:
     return analytics.top_tools(_actions(t))

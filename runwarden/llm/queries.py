@@ -24,7 +24,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(_table(spark, sf_dir, "pages"))
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
-    return warc.read(archives.index).select(*columns)
+    return warc.read(archives.index, archives.files).select(*columns)
 
 
 def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """WARC archives of pages and reading them back by byte ranges.
 
-Record places are settled before anything is written: the index has archive, offset, length, URL and digest
-of every record. The archives are then written by Spark's own text writer, one record per row with the
+The index comes first: sizes alone settle the archive, offset and length of every record, and it also has URL
+and digest. The archives are then written by Spark's own text writer, one record per row with the
 record's closing blank lines as line separator, so a lost task is written again and committed once. Reading
 takes any selection of index rows, sorts it by place, joins near ranges into one read and cuts the records
 out of it.
@@ -37,9 +37,10 @@ READ_BYTES = 8 << 20  # ranges are joined up to about this length
 
 @dataclass(frozen=True)
 class Archives:
-    """The index table, with the path of each record's archive."""
+    """The index of all records, and the files of the archives by number."""
 
     index: DataFrame
+    files: DataFrame
 
 
 def _header(kind: Column) -> Column:
@@ -110,6 +111,8 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     decided.write.parquet(f"{folder}/heads")
     heads = spark.read.parquet(f"{folder}/heads").withColumn("header", _header(F.col("record_type")))
 
+    _placed(heads).write.parquet(f"{folder}/index")
+
     # A header and its page meet in the task that writes the archive; pages are shuffled once. Repeated rows of
     # one page come headers first and have equal payloads, so the k-th header and the k-th payload belong together.
     # Payloads are compressed on the way.
@@ -130,9 +133,7 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     lines = lines.repartitionById(archives, "archive").sortWithinPartitions(*_PLACE, "part", "url")
     records = lines.select("record_type", "content").mapInArrow(_records, "value string")
     records.write.option("lineSep", _END).text(f"{folder}/archives")
-    index = _placed(heads).join(_files(spark, f"{folder}/archives"), "archive")
-    index.write.parquet(f"{folder}/index")
-    return Archives(spark.read.parquet(f"{folder}/index"))
+    return Archives(spark.read.parquet(f"{folder}/index"), _files(spark, f"{folder}/archives"))
 
 
 _PLACE = ("archive", "page_id", "digest")
@@ -185,8 +186,10 @@ _READ = (
 )
 
 
-def read(selected: DataFrame, near_bytes: int = NEAR_BYTES, read_bytes: int = READ_BYTES) -> DataFrame:
-    """The records of some index rows (columns page_id, path, offset, length), read from the archives.
+def read(
+    selected: DataFrame, files: DataFrame, near_bytes: int = NEAR_BYTES, read_bytes: int = READ_BYTES
+) -> DataFrame:
+    """The records of some index rows (columns page_id, archive, offset, length), read from the archives' files.
 
     Columns page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload (null for a revisit),
     intact (length and digest of a response are as its header says). Rows are sorted by place; ranges with a gap
@@ -212,7 +215,8 @@ def read(selected: DataFrame, near_bytes: int = NEAR_BYTES, read_bytes: int = RE
 
     names = [x.split()[0] for x in _READ.split(", ")]
     of_id = to_arrow_type(selected.schema["page_id"].dataType)
-    places = selected.select("path", "offset", "length", F.floor(F.col("offset") / read_bytes).alias("block"))
+    places = selected.select("archive", "offset", "length").join(files, "archive")
+    places = places.select("path", "offset", "length", F.floor(F.col("offset") / read_bytes).alias("block"))
     spread = places.repartition("path", "block").sortWithinPartitions("path", "offset")
     return spread.select("path", "offset", "length").mapInArrow(run, _READ.format(id=kind))
 

@@ -233,8 +233,8 @@ def page_rows():
 def test_warc_round_trip(spark):
     rows = page_rows()
     archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), archive_bytes=4000)
-    assert archives.index.select("path").distinct().count() > 1
-    found = warc.with_payload(warc.read(archives.index, near_bytes=0, read_bytes=3000)).collect()
+    assert archives.files.count() > 1
+    found = warc.with_payload(warc.read(archives.index, archives.files, near_bytes=0, read_bytes=3000)).collect()
     least = {}
     for page, _, text in rows:
         if page is not None and len((text or "").encode()) >= 100:
@@ -254,14 +254,15 @@ def test_warc_round_trip(spark):
         (r.page_id if r.page_id is not None else -1, r.url, r.payload_digest, r.payload_bytes, r.refers_to, r.payload) for r in found
     )
     assert all(r.intact and (r.record_type == "revisit") == (r.refers_to is not None) for r in found)
-    some = warc.read(archives.index.where("page_id between 5 and 20")).collect()
+    some = warc.read(archives.index.where("page_id between 5 and 20"), archives.files).collect()
     assert {r.page_id for r in some} == set(range(5, 21))
-    assert warc.read(archives.index.limit(0)).count() == 0
+    assert warc.read(archives.index.limit(0), archives.files).count() == 0
 
 
 def test_warc_of_nothing(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert warc.read(warc.write(empty).index).count() == 0
+    archives = warc.write(empty)
+    assert warc.read(archives.index, archives.files).count() == 0
 
 
 def test_pipeline_stages(spark, tmp_path):

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runwarden import fixed
-from runwarden.functions import text
 from runwarden.operators import (
     analytics,
     baselines,

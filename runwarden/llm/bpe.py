@@ -26,7 +26,7 @@ PIECES = regex.compile(r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 # A piece never holds a non-space followed by a space: where every space stands alone, a text may be cut at it.
 OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _NEIGHBOURS = ["  ", *(pair for c in "\t\n\r\x0b\x0c" for pair in (c + " ", " " + c))]
-CACHED = 400_000
+CACHED = 250_000
 _LONGEST_CACHED = 64
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm import minhash
@@ -19,18 +19,16 @@ FAMILY_BLOCK = 1024  # texts of one family on one side of a comparison; their fu
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """Columns key, size, id: buckets of two ids or more; of buckets with the same ids, one."""
+    """Columns key, size, id: buckets of two ids or more; of buckets with the same ids, one.
+
+    Counts combine before the shuffle and rows find them by a join, so a bucket of very many ids is split.
+    """
     rows = classes.select("id", F.explode("bands").alias("key"))
-    bucket = Window.partitionBy("key")
-    counted = rows.select(
-        "id",
-        "key",
-        F.count(F.lit(1)).over(bucket).alias("size"),
-        F.sum(F.xxhash64("id").cast("decimal(20,0)")).over(bucket).alias("ids"),
-    ).where("size > 1")
-    stored = stage(counted, "buckets")
-    chosen = stored.groupBy("ids", "size").agg(F.min("key").alias("key")).select("key")
-    return stored.join(chosen, "key").select("key", "size", "id")
+    counts = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("ids")
+    )
+    shared = counts.where("size > 1").groupBy("ids", "size").agg(F.min("key").alias("key"))
+    return rows.join(shared, "key").select("key", "size", "id")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -158,7 +156,7 @@ def links(
     forest = together.mapInArrow(lambda x: _spanning(x, by), f"a {kind}, b {kind}")
     # a bucket too large for one task is one family
     large = buckets.where(F.col("size") > BLOCK)
-    star = large.select("id", F.min("id").over(Window.partitionBy("key")).alias("first"))
+    star = large.join(large.groupBy("key").agg(F.min("id").alias("first")), "key")
     family = components(_ordered(forest.union(star.select(F.col("first").alias("a"), F.col("id").alias("b")))))
     family = stage(family.select("id", F.col("component_id").alias("family")).distinct(), "families")
 

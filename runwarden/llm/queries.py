@@ -67,7 +67,18 @@ def op10_oddsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-_QUERIES = (op1_fingerprints, op2_warc, op3_vectors, op4_bpe, op5_toxicity, op6_secrets, op7_packing, op8_repeats, op9_mainpage, op10_oddsketch)
+_QUERIES = (
+    op1_fingerprints,
+    op2_warc,
+    op3_vectors,
+    op4_bpe,
+    op5_toxicity,
+    op6_secrets,
+    op7_packing,
+    op8_repeats,
+    op9_mainpage,
+    op10_oddsketch,
+)
 
 _SQL = {
     "op2_warc": """

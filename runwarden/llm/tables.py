@@ -20,7 +20,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose strings in ``column`` together stay near ``most_bytes`` (one row at least)."""
     at = held = 0
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()

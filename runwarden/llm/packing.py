@@ -192,6 +192,8 @@ def pieces(
                     ],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
+        # the worker outlives the task; only what was used lately is worth its memory
+        codec.words.older, codec.pieces.older = {}, {}
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
         run, schema

@@ -3,19 +3,20 @@
 A worklist of layers starts with the text. Every layer is scanned with the base patterns; its percent-encoded,
 backslash-u, base64 and compressed parts are unwrapped into further layers until nothing new appears. A layer
 whose content has been seen on its own way down is not opened again, so cycles end. Every layer carries, for
-each of its characters, the span of the original text that it came from; spans are code points, end exclusive.
+each of its bytes, the span of the original text that it came from; spans are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
+import mmap
 import re
+import tempfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,19 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
+_BYTES = tuple(re.compile(x.pattern.encode(), x.flags & re.I) for x in (_ASSIGN, _ACCESS, _HEX))
 _VALUE_LEAST = 12
 _KEYWORD = re.compile(rb"passw|secret|token|api_?key")
 
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-# compressed data is unwrapped in parts of this many bytes; each part repeats the end of the one before
-_PART, _REPEATED = 1 << 24, 1 << 16
+_PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
+_PERCENT_TOKEN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[^\s%])+")
+_PERCENT_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|.", re.S)
+_UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+")
+_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+_MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+# layers over this many bytes are kept in an unnamed temporary file instead of memory
+_HELD = 1 << 24
+_STEP = 1 << 20
 
 Span = tuple[int, int, int]
 
@@ -53,134 +59,257 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
+Data = bytes | mmap.mmap
+
+
+def _byte_spans(data: Data) -> list[Span]:
+    """The base patterns of a layer; their characters are ASCII, so bytes that are not UTF-8 do not matter."""
+    found = []
+    if len(data) > _HELD or _KEYWORD.search(data.lower()):
+        found += [(m.start(), m.end(), 0) for m in _BYTES[0].finditer(data) if len(m[2]) >= _VALUE_LEAST]
+    if data.find(b"AKIA") >= 0:
+        found += [(m.start(), m.end(), 1) for m in _BYTES[1].finditer(data)]
+    return found + [(m.start(), m.end(), 2) for m in _BYTES[2].finditer(data)]
+
+
 class _Layer:
-    """A decoded text with its original span: one for all of it, or one for each character (None: its own place)."""
+    """Decoded bytes with their original span: one for all of them, or one for each (None: the text itself).
 
-    def __init__(self, text: str, start, end, way: frozenset) -> None:
-        self.text, self.start, self.end, self.way = text, start, end, way
+    ``blob`` tells that all of it was decoded, so that it may be binary.
+    """
 
-    def original(self, start: int, end: int) -> tuple[int, int]:
+    def __init__(self, data: Data, start, end, way: frozenset, blob: bool) -> None:
+        self.data, self.start, self.end, self.way, self.blob = data, start, end, way, blob
+
+    def each(self) -> tuple[np.ndarray, np.ndarray]:
+        """The span of every byte; in the text it is that of the byte's character."""
         if self.start is None:
-            return start, end
+            self.start = np.cumsum(np.frombuffer(self.data, np.uint8) & 0xC0 != 0x80) - 1
+            self.end = self.start + 1
+        return self.start, self.end
+
+    def original(self, start: int, end: int) -> tuple[int, int]:
         if isinstance(self.start, int):
             return self.start, self.end
-        return int(self.start[start]), int(self.end[end - 1])
+        if self.start is None and self.data.isascii():
+            return start, end
+        starts, ends = self.each()
+        return int(starts[start]), int(ends[end - 1])
 
+    def mark(self) -> bytes:
+        return hashlib.blake2b(self.data, digest_size=16).digest()
 
-def _as_text(data: bytes) -> str:
-    return data.decode("utf-8", "replace")
+    def place(self) -> tuple:
+        if isinstance(self.start, int):
+            return self.start, self.end, self.blob
+        starts, ends = self.each()
+        return hashlib.blake2b(starts.tobytes() + ends.tobytes(), digest_size=16).digest(), self.blob
+
+
+def _held(chunks: Iterable[bytes]) -> Data:
+    """All chunks as one; long ones as a mapped file, which ends with the object."""
+    parts, size, file = [], 0, None
+    for chunk in chunks:
+        size += len(chunk)
+        parts.append(chunk)
+        if size > _HELD:
+            file = file or tempfile.TemporaryFile()
+            file.writelines(parts)
+            parts = []
+    if file is None:
+        return b"".join(parts)
+    with file:
+        file.flush()
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _opener(data: Data, at: int):
+    head = data[at : at + 6]
+    if head[:3] == b"\x1f\x8b\x08":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0 and not head[1] & 0x20:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head == b"\xfd7zXZ\x00" else None
+
+
+class _Streams:
+    """Chunks of what is compressed at ``at``, over all members that follow each other; ``at`` moves to their end."""
+
+    def __init__(self, data: Data, at: int) -> None:
+        self.data, self.at, self.whole = data, at, False
+
+    def __iter__(self) -> Iterator[bytes]:
+        data = self.data
+        while (opener := _opener(data, self.at)) is not None:
+            fed, size = self.at, 512
+            try:
+                while not opener.eof:
+                    chunk = data[fed : fed + size]
+                    if not chunk:
+                        return
+                    fed, size = fed + len(chunk), min(2 * size, _STEP)
+                    yield from self._emptied(opener, chunk)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                return
+            self.at, self.whole = fed - len(opener.unused_data), True
+            # zeros may fill up the space between members
+            after = self.at
+            while data[after : after + 1] == b"\0":
+                after += 1
+            if _opener(data, after) is None:
+                return
+            self.at, self.whole = after, False
+
+    @staticmethod
+    def _emptied(opener, chunk: bytes) -> Iterator[bytes]:
+        if hasattr(opener, "unconsumed_tail"):
+            while chunk and not opener.eof:
+                yield opener.decompress(chunk, _STEP)
+                chunk = opener.unconsumed_tail
+        else:
+            yield opener.decompress(chunk, _STEP)
+            while not opener.eof and not opener.needs_input:
+                yield opener.decompress(b"", _STEP)
+
+
+def _compressed(data: Data) -> Iterator[tuple[Data, int, int]]:
+    """(content, start, end) of gzip, zlib, bzip2 and xz data anywhere in the bytes; cut off data reaches to their end."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        streams = _Streams(data, m.start())
+        content = _held(streams)
+        at = streams.at if streams.at > m.start() else m.start() + 1
+        if content:
+            yield content, m.start(), streams.at if streams.whole else len(data)
+
+
+def _replaced(layer: _Layer, pattern: re.Pattern, decode: Callable[[bytes], bytes | None]) -> _Layer | None:
+    """The layer with each match decoded in place and the rest kept, or None if nothing changes."""
+    data, one = layer.data, isinstance(layer.start, int)
+    starts, ends, changed = [], [], False
+
+    def chunks() -> Iterator[bytes]:
+        nonlocal changed
+        at = 0
+        for m in pattern.finditer(data):
+            new = decode(m[0])
+            if new is None or new == m[0]:
+                continue
+            changed = True
+            yield from kept(at, m.start())
+            yield new
+            if not one:
+                base_start, base_end = layer.each()
+                starts.append(np.full(len(new), base_start[m.start()]))
+                ends.append(np.full(len(new), base_end[m.end() - 1]))
+            at = m.end()
+        if changed:
+            yield from kept(at, len(data))
+
+    def kept(start: int, end: int) -> Iterator[bytes]:
+        if not one:
+            base_start, base_end = layer.each()
+            starts.append(base_start[start:end])
+            ends.append(base_end[start:end])
+        for at in range(start, end, _STEP):
+            yield data[at : min(at + _STEP, end)]
+
+    new = _held(chunks())
+    if not changed:
+        return None
+    if one:
+        return _Layer(new, layer.start, layer.end, layer.way, layer.blob)
+    return _Layer(new, np.concatenate(starts), np.concatenate(ends), layer.way, layer.blob)
 
 
-def _compressed(data: bytes) -> Iterator[bytes]:
-    """Contents of gzip, zlib, bzip2 or xz data, in parts of bounded size."""
-    if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-        opener, step = zlib.decompressobj(47), None
-    elif data[:3] == b"BZh":
-        opener, step = None, bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opener, step = None, lzma.LZMADecompressor()
-    else:
-        return
-    tail = b""
-    try:
-        while True:
-            if opener is not None:
-                out, data = opener.decompress(data, _PART), opener.unconsumed_tail
-            else:
-                out, data = (b"" if step.eof else step.decompress(data, _PART)), b""
-            if not out:
-                return
-            yield tail + out
-            tail = out[-_REPEATED:]
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return
+def _percent(part: bytes) -> bytes:
+    return bytes.fromhex(part.replace(b"%", b"").decode())
 
 
-def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
-    """The layer with each match decoded in place and the rest kept, or None if nothing changes."""
-    text = layer.text
-    if isinstance(layer.start, int):
-        new = pattern.sub(lambda m: m[0] if (x := decode(m[0])) is None else x, text)
-        return None if new == text else _Layer(new, layer.start, layer.end, layer.way)
-    out, starts, ends, at = [], [], [], 0
-    base_start = np.arange(len(text)) if layer.start is None else layer.start
-    base_end = np.arange(1, len(text) + 1) if layer.end is None else layer.end
-    for m in pattern.finditer(text):
-        new = decode(m[0])
-        if new is None or new == m[0]:
+def _unicode(part: bytes) -> bytes | None:
+    if part[1:2] == b"u":
+        units = b"".join(int(x, 16).to_bytes(2, "little") for x in part.split(b"\\u")[1:])
+        return units.decode("utf-16-le", "replace").encode()
+    points = [int(x, 16) for x in part.split(b"\\U")[1:]]
+    good = all(p < 0x110000 and not 0xD800 <= p < 0xE000 for p in points)
+    return "".join(map(chr, points)).encode() if good else None
+
+
+def _percent_streams(layer: _Layer) -> Iterator[_Layer]:
+    """Compressed data in the percent-encoded words of a text; in blobs it is seen once they are decoded in place."""
+    for token in _PERCENT_TOKEN.finditer(layer.data):
+        if b"%" not in token[0]:
             continue
-        out += [text[at : m.start()], new]
-        starts += [base_start[at : m.start()], np.full(len(new), base_start[m.start()])]
-        ends += [base_end[at : m.start()], np.full(len(new), base_end[m.end() - 1])]
-        at = m.end()
-    if not out:
-        return None
-    out.append(text[at:])
-    starts.append(base_start[at:])
-    ends.append(base_end[at:])
-    return _Layer("".join(out), np.concatenate(starts), np.concatenate(ends), layer.way)
+        units = list(_PERCENT_BYTE.finditer(token[0]))
+        data = b"".join(_percent(u[0]) if len(u[0]) == 3 else u[0] for u in units)
+        for content, first, last in _compressed(data):
+            place = layer.original(token.start() + units[first].start(), token.start() + units[last - 1].end())
+            yield _Layer(content, *place, layer.way, True)
 
 
-def _percent(part: str) -> str:
-    return _as_text(bytes.fromhex(part.replace("%", "")))
+def _decoded(run: bytes, skipped: int = 0) -> Data:
+    """A base64 run without its line ends and fill characters, from the character ``skipped`` on."""
+    end = len(run) - ((len(run) - skipped) % 4 == 1)
 
+    def chunks() -> Iterator[bytes]:
+        for at in range(skipped, end, _STEP):
+            part = run[at : min(at + _STEP, end)]
+            yield base64.b64decode(part + b"=" * (-len(part) % 4), b"-_")
 
-def _unicode(part: str) -> str | None:
-    if part[1] == "u":
-        units = b"".join(int(x, 16).to_bytes(2, "little") for x in part.split("\\u")[1:])
-        return units.decode("utf-16-le", "replace")
-    points = [int(x, 16) for x in part.split("\\U")[1:]]
-    return "".join(map(chr, points)) if all(p < 0x110000 and not 0xD800 <= p < 0xE000 for p in points) else None
+    return _held(chunks())
 
 
 def _opened(layer: _Layer) -> Iterator[_Layer]:
     """Layers one step further in."""
-    text = layer.text
-    if "%" in text and (new := _replaced(layer, _PERCENT, _percent)):
-        yield new
-    if ("\\u" in text or "\\U" in text) and (new := _replaced(layer, _UNICODE, _unicode)):
+    data = layer.data
+    if layer.blob:
+        for content, first, last in _compressed(data):
+            yield _Layer(content, *layer.original(first, last), layer.way, True)
+    if data.find(b"%") >= 0:
+        if not layer.blob:
+            yield from _percent_streams(layer)
+        if new := _replaced(layer, _PERCENT, _percent):
+            yield new
+    if (data.find(b"\\u") >= 0 or data.find(b"\\U") >= 0) and (new := _replaced(layer, _UNICODE, _unicode)):
         yield new
-    for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            body = body[:-1]
-        try:
-            data = base64.b64decode(body + "=" * (-len(body) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        start, end = layer.original(*m.span())
-        opened = False
-        for part in _compressed(data):
-            opened = True
-            yield _Layer(_as_text(part), start, end, layer.way)
+    for m in _BASE64.finditer(data):
+        run = m[0].rstrip(b"=").replace(b"+", b"-").replace(b"/", b"_")
+        new = _decoded(run)
         # bytes that are not text hold no secret; text shows few control characters
-        if not opened and (new := _readable(data)) is not None:
-            yield _Layer(new, start, end, layer.way)
+        if _MAGIC.match(new) or _readable(new):
+            yield _Layer(new, *layer.original(*m.span()), layer.way, True)
 
 
-def _readable(data: bytes) -> str | None:
+def _readable(data: Data) -> bool:
     try:
-        text = data.decode("utf-8")
+        text = str(data, "utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return False
+    return all(c.isprintable() or c in "\t\n\r" for c in text)
 
 
 def all_spans(text: str) -> list[Span]:
     """Base spans and those found in unwrapped layers, mapped to the text; each once, in order."""
     found = set(base_spans(text))
-    # the worklist holds what is still to be opened at each depth, so one part of a layer is held at a time
-    work = [_opened(_Layer(text, None, None, frozenset()))]
+    # a layer that comes again with the same content and place would show the same again
+    seen = set()
+    # the worklist holds what is still to be opened at each depth, so one layer is held at a time
+    work = [_opened(_Layer(text.encode("utf-8", "surrogatepass"), None, None, frozenset(), False))]
     while work:
         new = next(work[-1], None)
         if new is None:
             work.pop()
             continue
-        mark = hashlib.blake2b(new.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if not new.text or mark in new.way:
+        if not new.data:
+            continue
+        mark = new.mark()
+        if mark in new.way or (known := (mark, new.place())) in seen:
             continue
+        seen.add(known)
         new.way |= {mark}
-        for start, end, kind in base_spans(new.text):
+        for start, end, kind in _byte_spans(new.data):
             first, last = new.original(start, end)
             found.add((first, last, kind))
         work.append(_opened(new))

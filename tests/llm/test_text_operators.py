@@ -1,12 +1,15 @@
 """Operators on single texts against plain restatements, the tokenizers library and exact round trips."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import html
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -142,6 +145,57 @@ def test_secret_scan_ends_and_handles_odd_texts(spark):
     assert found[3].spans == f"assign:0:{len(SECRET)}" and found[1].spans == ""
 
 
+def plain_layers(data):
+    """Everything inside, by plain recursion over whole decodings."""
+    yield data
+    for open_all in (gzip.decompress, bz2.decompress, lzma.decompress, zlib.decompress):
+        try:
+            yield from plain_layers(open_all(data))
+        except (OSError, EOFError, lzma.LZMAError, zlib.error):
+            pass
+    if re.fullmatch(rb"[A-Za-z0-9+/]{16,}={0,2}", data):
+        yield from plain_layers(base64.b64decode(data))
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        lambda s: gzip.compress(gzip.compress(s)),
+        lambda s: lzma.compress(zlib.compress(s)),
+        lambda s: bz2.compress(base64.b64encode(gzip.compress(lzma.compress(s)))),
+        lambda s: gzip.compress(b"first") + gzip.compress(s),
+        lambda s: bz2.compress(b"first") + bz2.compress(s),
+        lambda s: lzma.compress(b"first") + lzma.compress(s),
+        lambda s: gzip.compress(s[:12]) + gzip.compress(s[12:]),
+    ],
+)
+def test_nested_and_joined_compression_is_unwrapped(wrap):
+    data = wrap(SECRET.encode())
+    inner = base64.b64encode(data).decode()
+    assert any(SECRET.encode() in x for x in plain_layers(inner.encode()))
+    text = f"é before {inner} after"
+    assert (9, 9 + len(inner), 0) in secrets.all_spans(text)
+    quoted = urllib.parse.quote(data, safe="")
+    spans = secrets.all_spans(f"é before {quoted} after")
+    assert any(kind == 0 and 9 <= start and end <= 9 + len(quoted) for start, end, kind in spans)
+
+
+@pytest.mark.parametrize("held", [1 << 10, 1 << 24])
+def test_runs_over_the_border_of_held_layers(monkeypatch, held):
+    monkeypatch.setattr(secrets, "_HELD", held)
+    monkeypatch.setattr(secrets, "_STEP", 1 << 8)
+    noise_ = random.Random(5).randbytes(3000)
+    for middle in (base64.b64encode(gzip.compress(noise_ + SECRET.encode())), gzip.compress(noise_ + SECRET.encode())):
+        inner = base64.b64encode(gzip.compress(b"word " * 200 + middle + b" word" * 200)).decode()
+        assert (2, 2 + len(inner), 0) in secrets.all_spans(f"a {inner} b")
+
+
+def test_long_run_over_sixteen_megabytes():
+    run = base64.b64encode(b"x" * 150_000 + SECRET.encode())
+    inner = base64.b64encode(gzip.compress(b"word " * ((1 << 24) // 5 - 20_000) + run + b" end")).decode()
+    assert (0, len(inner), 0) in secrets.all_spans(inner)
+
+
 def author(seed, toxic):
     pick = random.Random(seed)
     words = ["".join(pick.choice("aeiorstnl") for _ in range(pick.randint(2, 8))) for _ in range(60)]

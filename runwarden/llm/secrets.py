@@ -1,7 +1,8 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist of layers starts with the text. Every layer is scanned with the base patterns; its percent-encoded,
-backslash-u, base64 and compressed parts are unwrapped into further layers until nothing new appears. A layer
+backslash-u, base64, UTF-16 and compressed parts are unwrapped into further layers until nothing new appears,
+whether or not a layer is text. A layer
 whose content has been seen on its own way down is not opened again, so cycles end. Every layer carries, for
 each of its bytes, the span of the original text that it came from; spans are code points, end exclusive.
 """
@@ -17,6 +18,7 @@ import re
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ _PERCENT_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|.", re.S)
 _UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+")
 _BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
+# UTF-16 of either order; what is looked for has at least 16 characters, all ASCII
+_WIDE = re.compile(rb"\0?(?:[\t\n\r\x20-\x7e]\0){15,}[\t\n\r\x20-\x7e]?")
 # layers over this many bytes are kept in an unnamed temporary file instead of memory
 _HELD = 1 << 24
 _STEP = 1 << 20
@@ -237,14 +241,15 @@ def _unicode(part: bytes) -> bytes | None:
     return "".join(map(chr, points)).encode() if good else None
 
 
-def _percent_streams(layer: _Layer) -> Iterator[_Layer]:
-    """Compressed data in the percent-encoded words of a text; in blobs it is seen once they are decoded in place."""
+def _percent_words(layer: _Layer) -> Iterator[_Layer]:
+    """Compressed data and UTF-16 in the percent-encoded words of a text; in blobs both are seen once decoded in place."""
     for token in _PERCENT_TOKEN.finditer(layer.data):
         if b"%" not in token[0]:
             continue
         units = list(_PERCENT_BYTE.finditer(token[0]))
         data = b"".join(_percent(u[0]) if len(u[0]) == 3 else u[0] for u in units)
-        for content, first, last in _compressed(data):
+        wide = ((m[0].replace(b"\0", b""), *m.span()) for m in _WIDE.finditer(data))
+        for content, first, last in chain(_compressed(data), wide):
             place = layer.original(token.start() + units[first].start(), token.start() + units[last - 1].end())
             yield _Layer(content, *place, layer.way, True)
 
@@ -267,27 +272,18 @@ def _opened(layer: _Layer) -> Iterator[_Layer]:
     if layer.blob:
         for content, first, last in _compressed(data):
             yield _Layer(content, *layer.original(first, last), layer.way, True)
+        for m in _WIDE.finditer(data):
+            yield _Layer(m[0].replace(b"\0", b""), *layer.original(*m.span()), layer.way, True)
     if data.find(b"%") >= 0:
         if not layer.blob:
-            yield from _percent_streams(layer)
+            yield from _percent_words(layer)
         if new := _replaced(layer, _PERCENT, _percent):
             yield new
     if (data.find(b"\\u") >= 0 or data.find(b"\\U") >= 0) and (new := _replaced(layer, _UNICODE, _unicode)):
         yield new
     for m in _BASE64.finditer(data):
         run = m[0].rstrip(b"=").replace(b"+", b"-").replace(b"/", b"_")
-        new = _decoded(run)
-        # bytes that are not text hold no secret; text shows few control characters
-        if _MAGIC.match(new) or _readable(new):
-            yield _Layer(new, *layer.original(*m.span()), layer.way, True)
-
-
-def _readable(data: Data) -> bool:
-    try:
-        text = str(data, "utf-8")
-    except UnicodeDecodeError:
-        return False
-    return all(c.isprintable() or c in "\t\n\r" for c in text)
+        yield _Layer(_decoded(run), *layer.original(*m.span()), layer.way, True)
 
 
 def all_spans(text: str) -> list[Span]:

@@ -196,6 +196,23 @@ def test_long_run_over_sixteen_megabytes():
     assert (0, len(inner), 0) in secrets.all_spans(inner)
 
 
+@pytest.mark.parametrize(
+    "data",
+    [
+        *(f"{c} some text, {SECRET}".encode() for c in "\xa0\ufeff\xad\u200d\x0c\x1b"),
+        f"é {SECRET} ü".encode("utf-16"),
+        f"é {SECRET} ü".encode("utf-16-be"),
+        b"\x00" + SECRET.encode("utf-16-le"),
+        b"\x80\xff\x00\x07" + b"AKIA" + b"Q" * 16 + b"\x00\xfe",
+        base64.b64encode(f"\xa0{SECRET}".encode()) + b"\xff",
+    ],
+)
+def test_decoded_layers_need_not_be_text(data):
+    inner = base64.b64encode(data).decode()
+    spans = secrets.all_spans(f"a {inner} b")
+    assert [(start, end) for start, end, _ in spans] == [(2, 2 + len(inner))]
+
+
 def author(seed, toxic):
     pick = random.Random(seed)
     words = ["".join(pick.choice("aeiorstnl") for _ in range(pick.randint(2, 8))) for _ in range(60)]

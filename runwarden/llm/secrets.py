@@ -40,7 +40,12 @@ _PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 _PERCENT_TOKEN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[^\s%])+")
 _PERCENT_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|.", re.S)
 _UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+")
-_BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{16,}={0,2}")
+# at least 16 characters of one run, or of runs on lines that follow each other
+_BASE64 = re.compile(
+    rb"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_\r\n-]{16})[A-Za-z0-9+/_-]++(?:[\r\n]++[A-Za-z0-9+/_-]++)*+={0,2}"
+)
+_LINE = re.compile(rb"[A-Za-z0-9+/_-]++={0,2}")
+_LEAST = 16
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 # UTF-16 of either order; what is looked for has at least 16 characters, all ASCII
 _WIDE = re.compile(rb"\0?(?:[\t\n\r\x20-\x7e]\0){15,}[\t\n\r\x20-\x7e]?")
@@ -84,6 +89,7 @@ class _Layer:
 
     def __init__(self, data: Data, start, end, way: frozenset, blob: bool) -> None:
         self.data, self.start, self.end, self.way, self.blob = data, start, end, way, blob
+        self.plain = start is None and data.isascii()
 
     def each(self) -> tuple[np.ndarray, np.ndarray]:
         """The span of every byte; in the text it is that of the byte's character."""
@@ -95,7 +101,7 @@ class _Layer:
     def original(self, start: int, end: int) -> tuple[int, int]:
         if isinstance(self.start, int):
             return self.start, self.end
-        if self.start is None and self.data.isascii():
+        if self.plain:
             return start, end
         starts, ends = self.each()
         return int(starts[start]), int(ends[end - 1])
@@ -246,24 +252,31 @@ def _percent_words(layer: _Layer) -> Iterator[_Layer]:
     for token in _PERCENT_TOKEN.finditer(layer.data):
         if b"%" not in token[0]:
             continue
+        data = _PERCENT.sub(lambda m: _percent(m[0]), token[0])
+        if not _MAGIC.search(data) and not _WIDE.search(data):
+            continue
         units = list(_PERCENT_BYTE.finditer(token[0]))
-        data = b"".join(_percent(u[0]) if len(u[0]) == 3 else u[0] for u in units)
         wide = ((m[0].replace(b"\0", b""), *m.span()) for m in _WIDE.finditer(data))
         for content, first, last in chain(_compressed(data), wide):
             place = layer.original(token.start() + units[first].start(), token.start() + units[last - 1].end())
             yield _Layer(content, *place, layer.way, True)
 
 
-def _decoded(run: bytes, skipped: int = 0) -> Data:
-    """A base64 run without its line ends and fill characters, from the character ``skipped`` on."""
-    end = len(run) - ((len(run) - skipped) % 4 == 1)
+def _decoded(run: bytes) -> Iterator[tuple[Data, int]]:
+    """(content, characters skipped) of a base64 run, read from each of its first four characters.
 
-    def chunks() -> Iterator[bytes]:
+    What starts anywhere in the run is inside one of the four, since the bytes before it do not matter.
+    """
+    run = run.rstrip(b"=").replace(b"+", b"-").replace(b"/", b"_")
+
+    def chunks(skipped: int) -> Iterator[bytes]:
+        end = len(run) - ((len(run) - skipped) % 4 == 1)
         for at in range(skipped, end, _STEP):
             part = run[at : min(at + _STEP, end)]
             yield base64.b64decode(part + b"=" * (-len(part) % 4), b"-_")
 
-    return _held(chunks())
+    for skipped in range(4):
+        yield _held(chunks(skipped)), skipped
 
 
 def _opened(layer: _Layer) -> Iterator[_Layer]:
@@ -282,8 +295,33 @@ def _opened(layer: _Layer) -> Iterator[_Layer]:
     if (data.find(b"\\u") >= 0 or data.find(b"\\U") >= 0) and (new := _replaced(layer, _UNICODE, _unicode)):
         yield new
     for m in _BASE64.finditer(data):
-        run = m[0].rstrip(b"=").replace(b"+", b"-").replace(b"/", b"_")
-        yield _Layer(_decoded(run), *layer.original(*m.span()), layer.way, True)
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        for start, end in lines:
+            if end - start >= _LEAST:
+                for new, _ in _decoded(data[start:end]):
+                    yield _Layer(new, *layer.original(start, end), layer.way, True)
+        if len(lines) > 1:
+            yield from _joined_lines(layer, lines)
+
+
+def _joined_lines(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer]:
+    """Base64 over line ends; each byte has the span of the lines that its characters are on."""
+    sizes = np.array([end - start for start, end in lines])
+    whole = b"".join(layer.data[start:end] for start, end in lines)
+    if len(whole) < _LEAST:
+        return
+    line = np.repeat(np.arange(len(lines)), sizes)
+    places = [layer.original(start, end) for start, end in lines]
+    same = len(set(places)) == 1
+    starts, ends = np.array(places).T
+    for new, skipped in _decoded(whole):
+        if same:
+            yield _Layer(new, *places[0], layer.way, True)
+            continue
+        # byte i comes from the bits 8 i to 8 i + 7, six to a character
+        first = np.arange(len(new)) * 8 // 6 + skipped
+        last = (np.arange(len(new)) * 8 + 7) // 6 + skipped
+        yield _Layer(new, starts[line[first]], ends[line[last]], layer.way, True)
 
 
 def all_spans(text: str) -> list[Span]:

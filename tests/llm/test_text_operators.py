@@ -185,7 +185,7 @@ def test_runs_over_the_border_of_held_layers(monkeypatch, held):
     monkeypatch.setattr(secrets, "_HELD", held)
     monkeypatch.setattr(secrets, "_STEP", 1 << 8)
     noise_ = random.Random(5).randbytes(3000)
-    for middle in (base64.b64encode(gzip.compress(noise_ + SECRET.encode())), gzip.compress(noise_ + SECRET.encode())):
+    for middle in (base64.b64encode(noise_ + gzip.compress(SECRET.encode())), gzip.compress(noise_ + SECRET.encode())):
         inner = base64.b64encode(gzip.compress(b"word " * 200 + middle + b" word" * 200)).decode()
         assert (2, 2 + len(inner), 0) in secrets.all_spans(f"a {inner} b")
 
@@ -213,6 +213,31 @@ def test_decoded_layers_need_not_be_text(data):
     assert [(start, end) for start, end, _ in spans] == [(2, 2 + len(inner))]
 
 
+@pytest.mark.parametrize("before", ["https://h/cb/", "key_", "id-", "a+", "/", "x", "xy", "xyz", "name/of-some_kind+"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, lambda s: s.decode().encode("utf-16")])
+def test_base64_behind_other_characters_of_its_alphabet(before, pack):
+    run = before + base64.b64encode(pack(SECRET.encode())).decode()
+    spans = secrets.all_spans(f"a {run} b")
+    assert spans and all(kind == 0 and 2 <= start and end == 2 + len(run) for start, end, kind in spans)
+
+
+@pytest.mark.parametrize("width", [12, 64, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_base64_over_line_ends(width, end):
+    for data in (b"," * 40 + SECRET.encode() + b"," * 99, gzip.compress(random.Random(1).randbytes(200) + SECRET.encode())):
+        run = base64.b64encode(data).decode()
+        lines = [run[i : i + width] for i in range(0, len(run), width)]
+        starts = [4 + i * (width + len(end)) for i in range(len(lines))]
+        ends = [start + len(line) for start, line in zip(starts, lines, strict=True)]
+        spans = secrets.all_spans("é a " + end.join(lines) + " b")
+        assert spans and all(start in starts and stop in ends for start, stop, _ in spans)
+        if data[:1] == b",":
+            at = 40 * 8 // 6 // width, ((40 + len(SECRET)) * 8 - 1) // 6 // width
+            assert (starts[at[0]], ends[at[1]], 0) in spans
+        else:
+            assert (starts[0], ends[-1], 0) in spans
+
+
 def author(seed, toxic):
     pick = random.Random(seed)
     words = ["".join(pick.choice("aeiorstnl") for _ in range(pick.randint(2, 8))) for _ in range(60)]

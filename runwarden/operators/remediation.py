@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.functions import snapshots
+from runwarden.operators.baselines import pipeline_name
 from runwarden.operators.keyed import flag_latest
-from runwarden.operators.telemetry import since
+from runwarden.operators.telemetry import current_vs_history, since
 
 RECENCY_COLUMNS = ("updated_at", "created_at", "order_ts", "event_ts")
 
@@ -113,6 +114,30 @@ def schema_ddl(tables: DataFrame) -> DataFrame:
     )
 
 
+def task_schemas(telemetry: DataFrame, as_of: Column, lookback_hours: float | None = None) -> DataFrame:
+    """``(table_name, expected, current)`` of every pipeline and task: its oldest earlier snapshot and its newest run's."""
+    flagged = current_vs_history(telemetry.filter(since("ended_at", as_of, lookback_hours)))
+    snap = F.nullif("schema_snapshot_json", F.lit(""))
+    earlier = F.when(F.try_parse_json(snap).isNotNull() & ~F.col("is_current"), F.struct("ended_at", "run_id"))
+    tasks = flagged.groupBy(pipeline_name().alias("table_name"), "task_name").agg(
+        snapshots.parsed(F.min_by(snap, earlier)).alias("expected"),
+        snapshots.parsed(F.max(F.when(F.col("is_current"), snap))).alias("current"),
+    )
+    return tasks.select("table_name", "expected", "current")
+
+
+def merged_ddl(tables: DataFrame) -> DataFrame:
+    """One row per table with the distinct statements of all its rows in ``tables``, restoring ones first."""
+    single = schema_ddl(tables).select("table_name", F.explode_outer("ddl_statements").alias("statement"))
+    none = F.concat(F.lit("-- No additive DDL required for "), F.col("table_name"))
+    wanted = F.when(F.col("statement") != none, F.col("statement"))
+    found = single.groupBy("table_name").agg(F.array_sort(F.collect_set(wanted)).alias("found"))
+    first = F.filter("found", lambda x: x.startswith("ALTER "))
+    rest = F.filter("found", lambda x: ~x.startswith("ALTER "))
+    statements = F.when(F.size("found") > 0, F.concat(first, rest)).otherwise(F.array(none))
+    return found.select("table_name", statements.alias("ddl_statements"))
+
+
 def rename_pairs(expected: Mapping[str, str], df: DataFrame) -> dict[str, str]:
     """Lost column -> new column of the same type, read from the schemas alone."""
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}

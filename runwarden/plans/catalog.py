@@ -25,7 +25,7 @@ from runwarden.operators import (
 )
 from runwarden.plans import prove
 from runwarden.sources import storage
-from runwarden.sources.tables import PRODUCT_SCHEMA, Tables
+from runwarden.sources.tables import MONTH_HOURS, PRODUCT_SCHEMA, Tables
 from runwarden.streaming import jobs
 
 Plan = Callable[[Tables], DataFrame]
@@ -564,8 +564,8 @@ def correlate_commits(t: Tables) -> DataFrame:
 
 @plan
 def commits_since_success(t: Tables) -> DataFrame:
-    """Only commits after the last good run; failing pipelines have older ones."""
-    good = evidence.last_success(t.telemetry.filter(F.col("ended_at") < F.lit("2024-01-02 00:00:00").cast("timestamp")))
+    """Only commits after the last good run of all telemetry; a healthy pipeline may have none."""
+    good = evidence.last_success(t.telemetry)
     rows = evidence.correlate_commits(t.telemetry.select("pipeline_key"), t.commits, after=good)
     return rows.select("pipeline_key", "sha", "committed_at", "rank")
 
@@ -632,14 +632,9 @@ def replay_window(t: Tables) -> DataFrame:
 
 @plan
 def schema_ddl(t: Tables) -> DataFrame:
-    """Statements for every pipeline, comparing its current snapshot with its oldest one."""
-    pairs = t.scored().groupBy("pipeline").agg(
-        # of several tasks, one that drifted
-        F.max_by("snapshot", (F.size(F.array_except(F.map_keys("snapshot"), F.map_keys("previous"))))).alias("current"),
-        F.any_value("previous").alias("expected"),
-    )
-    tables = pairs.select(F.col("pipeline").alias("table_name"), "expected", "current")
-    return remediation.schema_ddl(tables).select("table_name", F.array_join("ddl_statements", "\n").alias("ddl_text"))
+    """Statements for every pipeline, comparing the current snapshot of each task with that task's oldest one."""
+    tables = remediation.task_schemas(t.telemetry, t.as_of, MONTH_HOURS)
+    return remediation.merged_ddl(tables).select("table_name", F.array_join("ddl_statements", "\n").alias("ddl_text"))
 
 
 @plan

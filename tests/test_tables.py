@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -5,8 +6,9 @@ from helpers import NOW, as_of, plan_of, run
 from pyspark.sql import functions as F
 
 from runwarden import schemas
-from runwarden.operators import analytics, logs, medallion, perturb, quality, remediation, telemetry
+from runwarden.operators import analytics, logs, medallion, perturb, quality, remediation, rules, telemetry
 from runwarden.operators.keyed import flag_latest, latest_per_key
+from runwarden.plans import catalog
 from runwarden.sources import storage
 from runwarden.streaming import jobs
 
@@ -77,6 +79,55 @@ def test_renamed_column_is_proposed_and_restored(spark):
     assert ddl["v"] == ["-- No additive DDL required for v"]
 
 
+def test_ddl_of_all_tasks_of_a_pipeline(spark, monkeypatch):
+    a = {"id": "int", "kind": "string"}
+    renamed, lost, more, other = {"id": "int", "kind_v2": "string"}, {"id": "int"}, {**a, "extra": "date"}, {"x": "int"}
+    pairs = [("p", "t1", a, a), ("p", "t2", a, renamed), ("p", "t3", a, lost), ("p", "t4", a, more), ("p", "t5", other, other)]
+    pairs += [("p", "t6", a, renamed), ("q", "t1", a, a), ("q", "t2", None, a), ("r", "t1", None, None)]
+    rows = []
+    for i, (pipeline, task, *both) in enumerate(pairs):
+        for day, columns in enumerate(both):
+            rows.append((f"{i}-{day}", pipeline, task, NOW - timedelta(days=2 - day), columns and json.dumps(columns)))
+
+    class Given:
+        telemetry = spark.createDataFrame(
+            rows, "run_id string, pipeline_key string, task_name string, ended_at timestamp, schema_snapshot_json string"
+        ).selectExpr("*", "'SUCCESS' status", "1L rows_out", "1L duration_ms", "'' metadata_json")
+        as_of = as_of()
+
+        def scored(self):
+            return rules.scored_runs(self.telemetry, as_of(), None)
+
+    monkeypatch.setattr(catalog, "Tables", lambda *_: Given())
+    found = {r.table_name: r.ddl_text.split("\n") for r in catalog.queries()["schema_ddl"](spark, "").collect()}
+    assert found == {
+        "p": [
+            "ALTER TABLE p ADD COLUMN kind STRING COMMENT 'restored alias for kind_v2'",
+            "-- REVIEW: ALTER TABLE p DROP COLUMN extra;  -- destructive, not auto-applied",
+            "-- REVIEW: p lost column kind",
+        ],
+        "q": ["-- No additive DDL required for q"],
+        "r": ["-- No additive DDL required for r"],
+    }
+
+
+def test_commits_since_the_true_last_success(spark, monkeypatch):
+    at = [datetime(2024, 1, day) for day in (1, 5, 20, 25)]
+
+    class Given:
+        telemetry = spark.createDataFrame(
+            [("p", "SUCCESS", at[0]), ("p", "SUCCESS", at[2]), ("p", "FAILED", at[3])],
+            "pipeline_key string, status string, ended_at timestamp",
+        )
+        commits = spark.createDataFrame(
+            [("old", "m", "a", at[1], ["src/demo/x.py"]), ("new", "m", "a", at[3], ["src/demo/x.py"])],
+            "sha string, message string, author string, committed_at timestamp, files array<string>",
+        )
+
+    monkeypatch.setattr(catalog, "Tables", lambda *_: Given())
+    assert [r.sha for r in catalog.queries()["commits_since_success"](spark, "").collect()] == ["new"]
+
+
 def test_checks_fuse_into_one_scan_per_table(spark):
     df = orders(spark)
     checks = [c for c in quality.SHIPPED_CHECKS if c.table == "demo.silver.orders"]

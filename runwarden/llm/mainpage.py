@@ -38,15 +38,25 @@ _CLOSED_BY = {
     "th": ("td", "th"),
     "option": ("option",),
 }
+# what may stand in a head; anything else ends it, as any text does
+_HEAD = frozenset("html head title base basefont bgsound link meta noframes script style noscript template".split())
+# elements of HTML that end an open svg, and elements of svg that may hold HTML
+_ENDS_SVG = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr "
+    "ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_SVG_HTML = frozenset("foreignobject desc title".split())
 _HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr select menu".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|math|object|head)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?[a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",
     re.S | re.I,
 )
+_OPENING = re.compile(r"<(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+_TITLE_END = re.compile(r"</title\s*>", re.I)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -89,11 +99,14 @@ def _class_words(attributes: str) -> tuple[str, ...]:
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks with text, in page order; scripts, styles, comments and the head give none."""
+    """The leaf blocks with text, in page order; scripts, styles, comments, drawings and the head give none."""
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     links = linked = 0
+    in_head, title_ends = False, True
+    # open svg elements, and how many elements with HTML are open inside them
+    svg = svg_html = 0
 
     def close_block() -> None:
         nonlocal linked
@@ -112,17 +125,57 @@ def blocks(page: str) -> list[Block]:
             if stack[i][0] in within:
                 return
 
-    for m in _TOKEN.finditer(page):
+    tokens = _TOKEN.finditer(page)
+    while (m := next(tokens, None)) is not None:
         text = m[4]
         if text is not None:
+            if svg or (in_head and not text.strip()):
+                continue
+            in_head = False
             text = html.unescape(text) if "&" in text else text
             parts.append(text)
             if links:
                 linked += len(text)
             continue
         if m[2] is None:
+            # in a drawing, a script or style may be closed by its own tag
+            if svg and m[1] and (opening := _OPENING.match(page, m.start()))[0].endswith("/>"):
+                tokens = _TOKEN.finditer(page, opening.end())
             continue
         tag = m[2].lower()
+        if svg:
+            name, closing, empty = tag.lstrip("/"), tag[0] == "/", m[3].endswith("/")
+            if name == "svg":
+                svg += -1 if closing else 0 if empty else 1
+                svg_html = svg_html if svg else 0
+                continue
+            if name in _SVG_HTML:
+                svg_html = max(0, svg_html - 1) if closing else svg_html if empty else svg_html + 1
+                continue
+            if svg_html or not (any(name == x for x, _ in stack) if closing else name in _ENDS_SVG):
+                continue
+            svg = 0
+        if in_head:
+            if tag == "title":
+                end = _TITLE_END.search(page, m.end()) if title_ends else None
+                title_ends = end is not None
+                # a title that is left open ends with the text up to the next tag
+                after = page.find("<", m.end())
+                tokens = _TOKEN.finditer(page, end.end() if end else after if after >= 0 else len(page))
+                continue
+            if tag == "/head":
+                in_head = False
+                continue
+            if tag in _HEAD or (tag[0] == "/" and tag not in ("/body", "/html")):
+                continue
+            in_head = False
+        if tag == "head":
+            close_block()
+            in_head = True
+            continue
+        if tag == "svg":
+            svg = 0 if m[3].endswith("/") else 1
+            continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":

@@ -303,6 +303,37 @@ def test_main_page_never_fails(page):
     mainpage.extract(page, mainpage.trained())
 
 
+ARTICLE = "<article><h1>Title here</h1><p>First sentence of it.</p><p>Second sentence of it.</p></article>"
+MAIN_TEXT = "Title here First sentence of it. Second sentence of it."
+
+
+@pytest.mark.parametrize(
+    "before",
+    [
+        "<html><head><title>T</title><body>",
+        "<html><head><title>T <b> t</title><meta charset=utf-8><style>p{}</style>",
+        "<head><title>T<body>",
+        "<head><link rel=x></head><body><svg class='a' viewBox=\"0 0\"/>",
+        "<body><svg><style/><path d=''/><text>drawn</text></svg>",
+        "<body><svg><svg><title>drawn</title></svg><text>drawn</text></svg>",
+        "<body><svg><foreignObject><p>drawn</p></foreignObject></svg>",
+        "<body><div><svg><path></div>",
+        "<body><svg><path>",
+        "<body><math/>",
+        "<body><object data=x>",
+    ],
+)
+def test_main_page_open_head_and_empty_drawings(before):
+    texts = " ".join(b.text for b in mainpage.blocks(before + ARTICLE))
+    assert texts == MAIN_TEXT
+    assert mainpage.extract(before + ARTICLE, mainpage.trained()) == MAIN_TEXT
+
+
+def test_main_page_math_and_object_text():
+    page = ARTICLE.replace("First", "<math><mi>x</mi><mo>=</mo><mn>1</mn></math> <object data=y>shown</object> First")
+    assert mainpage.extract(page, mainpage.trained()) == MAIN_TEXT.replace("First", "x=1 shown First")
+
+
 def test_main_page_matches_articles_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     found = {r.page_id: r.text for r in mainpage.main_text(pages).collect()}

@@ -139,6 +139,8 @@ def train(
     found = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(
         F.broadcast(chosen), "id"
     )
+    # rows that share an id are one text, that with the smallest hash
+    found = found.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Cache(word_features)

@@ -258,6 +258,16 @@ def test_toxicity_on_held_out_texts(spark):
     assert toxicity.train(given, labels) == model
 
 
+def test_toxicity_takes_one_text_of_each_id(spark, monkeypatch):
+    rows = [(1, f"hot {i}", "b", i) for i in range(500)] + [(2, "idiot", "b", 1), (3, None, "b", 2)]
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: ([x.tolist() for x in texts], toxic.tolist()))
+    given = docs(spark, rows)
+    texts, toxic = toxicity.train(given, labels)
+    assert sorted(toxic) == [0, 0, 1] and len(texts) == 3
+    assert toxicity.train(given.orderBy("text"), labels) == (texts, toxic)
+
+
 def test_toxicity_without_labels(spark):
     given = docs(spark, [(1, None, "b", 1), (2, "idiot", "b", 1)])
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")

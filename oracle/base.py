@@ -304,7 +304,7 @@ PARTS: dict[str, str] = {
               ON f.job_run_id = 'prove-' || t.f AND f.failure_type = t.f)""",
     "commit_rows": """
         SELECT sha1('commit:' || p_partkey) AS sha, p_name AS message, p_brand AS author,
-               TIMESTAMP '2024-01-01' + to_minutes(p_partkey) AS committed_at,
+               TIMESTAMP '2024-01-01' + to_minutes(CAST(p_partkey * 7919 % 44640 AS INTEGER)) AS committed_at,
                CASE p_partkey % 4 WHEN 0 THEN 'src/demo' WHEN 1 THEN 'src/ops' WHEN 2 THEN 'src/detection'
                  ELSE 'docs' END || '/' || lower(p_type) || '.py,README.md' AS files
         FROM part""",

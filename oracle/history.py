@@ -14,6 +14,13 @@ SQL = {
                CASE WHEN from_status IS NULL THEN 'incident not found' WHEN from_status = to_status THEN 'noop'
                     ELSE 'applied' END AS outcome
         FROM changes""",
+    "pipeline_status_chain": """
+        SELECT *, row_number() OVER w - 1 AS n_before,
+               last_value(to_status IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS status_before
+        FROM (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS request_id,
+                     'flow-' || (l_partkey % 6 % 4) AS flow, CASE WHEN l_linenumber % 3 <> 0 THEN l_linestatus END AS to_status,
+                     l_orderkey % 3600 AS second FROM lineitem)
+        WINDOW w AS (PARTITION BY flow ORDER BY second, request_id)""",
     "current_status": "SELECT incident_id, status, changed_at FROM status_now",
     "latest_proposal": "SELECT * FROM proposals",
     "apply_approvals": "SELECT * FROM decided",
@@ -82,7 +89,7 @@ SQL = {
         FROM hinted, (SELECT DISTINCT pipeline_key FROM runs) WHERE hint = 'src/demo' AND rank <= 5""",
     "commits_since_success": """
         SELECT p.pipeline_key, substr(sha, 1, 12) AS sha, committed_at, rank
-        FROM hinted, (SELECT pipeline_key, max(ended_at) FILTER (ended_at < TIMESTAMP '2024-01-02') AS good
+        FROM hinted, (SELECT pipeline_key, max(ended_at) FILTER (status = 'SUCCESS') AS good
                       FROM runs GROUP BY 1) p
         WHERE hint = 'src/demo' AND rank <= 5 AND (good IS NULL OR committed_at > good)""",
     "rca_report": "SELECT * FROM report",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwarden import fixed
 from runwarden.functions import snapshots
+from runwarden.operators.keyed import micros, order_number
+from runwarden.operators.quantiles import exact_quantiles
+from runwarden.operators.scan import running
 
 
 def pipeline_name(column: str = "pipeline_key") -> Column:
@@ -18,6 +21,11 @@ def metadata_null_rate(metadata: str = "metadata_json") -> Column:
     return F.from_json(F.coalesce(F.nullif(F.col(metadata), F.lit("")), F.lit("{}")), "null_rate double")["null_rate"]
 
 
+def _run_order() -> Column:
+    """Newer runs sort later; of runs that ended at the same time, by a hash of their id."""
+    return order_number((micros(F.col("ended_at")), 17), (F.pmod(F.xxhash64("run_id"), F.lit(10**18)), 18))
+
+
 def _numeric(value: Column) -> Column:
     """(n, mean, population sigma, last value) of the non-NULL values of a group."""
     v = value.cast("double")
@@ -25,40 +33,42 @@ def _numeric(value: Column) -> Column:
         F.count(v).alias("n"),
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("sigma"),
-        F.max_by(v, F.when(v.isNotNull(), F.struct("ended_at", "run_id"))).alias("last"),
+        F.max_by(v, F.when(v.isNotNull(), _run_order())).alias("last"),
     )
 
 
 def baselines(history: DataFrame, successful_only: bool = False, newest_snapshot: bool = False) -> DataFrame:
-    """All baselines of a pipeline's past runs in one aggregation.
+    """All baselines of a pipeline's past runs.
 
     ``(pipeline, volume, null_rate, duration, previous)``; ``previous`` is the oldest readable schema
     snapshot, or the newest one. Everything combines map-side, so a pipeline with very many runs costs
-    one row per map task.
+    one row per map task, and one per distinct snapshot.
     """
     rows = history.filter(F.upper("status") == "SUCCESS") if successful_only else history
-    snap = F.nullif("schema_snapshot_json", F.lit(""))
-    readable = F.when(F.try_parse_json(snap).isNotNull(), F.struct("ended_at", "run_id"))
-    pick = F.max_by if newest_snapshot else F.min_by
-    return rows.groupBy(pipeline_name().alias("pipeline")).agg(
+    rows = rows.withColumn("pipeline", pipeline_name())
+    numbers = rows.groupBy("pipeline").agg(
         _numeric(F.col("rows_out")).alias("volume_base"),
         _numeric(metadata_null_rate()).alias("null_base"),
         _numeric(F.col("duration_ms")).alias("duration_base"),
-        snapshots.parsed(pick(snap, readable)).alias("previous"),
     )
+    pick = F.max if newest_snapshot else F.min
+    snap = F.nullif("schema_snapshot_json", F.lit(""))
+    seen = rows.select("pipeline", snap.alias("_snap"), _run_order().alias("_at")).where("_snap is not null")
+    seen = seen.groupBy("pipeline", "_snap").agg(pick("_at").alias("_at"))
+    seen = seen.where(F.try_parse_json("_snap").isNotNull())
+    listed = F.array_sort(F.collect_list(F.struct("_at", "_snap")))
+    chosen = seen.groupBy("pipeline").agg(F.element_at(listed, -1 if newest_snapshot else 1)["_snap"].alias("_snap"))
+    return numbers.join(chosen, "pipeline", "left").withColumn("previous", snapshots.parsed(F.col("_snap"))).drop("_snap")
 
 
 def iqr_volumes(telemetry: DataFrame, fence: float = fixed.IQR_FENCE) -> DataFrame:
     """Runs whose volume lies outside the quartile fences of the pipeline's past runs.
 
-    Takes rows flagged by ``current_vs_history``. Equal volumes are counted first, so the percentile
-    works on the distinct volumes of a pipeline.
+    Takes rows flagged by ``current_vs_history``.
     """
     past = telemetry.filter(~F.col("is_current") & F.col("rows_out").isNotNull())
     counts = past.groupBy(pipeline_name().alias("pipeline"), "rows_out").agg(F.count("*").alias("n"))
-    quartiles = counts.groupBy("pipeline").agg(
-        F.percentile("rows_out", F.array(F.lit(0.25), F.lit(0.75)), F.col("n")).alias("q")
-    )
+    quartiles = exact_quantiles(counts, ["pipeline"], "rows_out", (0.25, 0.75), "n")
     q1, q3 = F.col("q")[0], F.col("q")[1]
     bounds = quartiles.select(
         "pipeline",
@@ -82,45 +92,22 @@ def iqr_volumes(telemetry: DataFrame, fence: float = fixed.IQR_FENCE) -> DataFra
 def running_baseline(telemetry: DataFrame, value: str = "rows_out") -> DataFrame:
     """Every run with the baseline of the runs before it, per (pipeline, task).
 
-    Sums of whole numbers are exact, so they are taken per day first and only the day totals run along
-    the whole history; inside a day the window is bounded by that day's runs.
+    Sums of whole numbers are exact, so it doesn't show how they are grouped along a long history.
     """
-    keys = ["pipeline_key", "task_name"]
     v = F.col(value).cast("decimal(38,0)")
-    rows = telemetry.filter(F.col(value).isNotNull()).withColumn("_day", F.to_date("ended_at"))
-    before = (Window.unboundedPreceding, -1)
-    days = rows.groupBy(*keys, "_day").agg(
-        F.count("*").alias("n"),
-        F.sum(v).alias("s"),
-        F.sum(v * v).alias("q"),
-        F.max_by(value, F.struct("ended_at", "run_id")).alias("l"),
-    )
-    over_days = Window.partitionBy(*keys).orderBy("_day").rowsBetween(*before)
-    earlier = days.select(
-        *keys,
-        "_day",
-        *[F.coalesce(F.sum(c).over(over_days), F.lit(0)).alias(f"_{c}0") for c in ("n", "s", "q")],
-        F.last("l").over(over_days).alias("_l0"),
-    )
-    today = Window.partitionBy(*keys, "_day").orderBy("ended_at", "run_id").rowsBetween(*before)
-    inside = rows.select(
-        "*",
-        F.count("*").over(today).alias("_n"),
-        F.coalesce(F.sum(v).over(today), F.lit(0)).alias("_s"),
-        F.coalesce(F.sum(v * v).over(today), F.lit(0)).alias("_q"),
-        F.last(value).over(today).alias("_l"),
+    rows = running(
+        telemetry.filter(F.col(value).isNotNull()),
+        ["pipeline_key", "task_name"],
+        ["ended_at", "run_id"],
+        totals={"_n": F.lit(1).cast("long"), "_s": v, "_q": v * v},
+        lasts={"_l": F.col(value)},
     )
-    both = inside.join(earlier, [*keys, "_day"])
-    n = F.col("_n") + F.col("_n0")
-    s, q = (F.col("_s") + F.col("_s0")).cast("double"), (F.col("_q") + F.col("_q0")).cast("double")
+    n, s, q = F.col("_n"), F.col("_s").cast("double"), F.col("_q").cast("double")
     mean = F.try_divide(s, n.cast("double"))
     spread = F.when(n > 0, F.greatest(F.try_divide(q, n.cast("double")) - mean * mean, F.lit(0.0)))
-    return both.withColumn(
+    return rows.withColumn(
         "baseline",
         F.struct(
-            n.alias("n"),
-            mean.alias("mean"),
-            F.sqrt(spread).alias("sigma"),
-            F.coalesce("_l", "_l0").cast("double").alias("last"),
+            n.alias("n"), mean.alias("mean"), F.sqrt(spread).alias("sigma"), F.col("_l").cast("double").alias("last")
         ),
-    ).drop("_day", "_n", "_s", "_q", "_l", "_n0", "_s0", "_q0", "_l0")
+    ).drop("_n", "_s", "_q", "_l")

@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from runwarden import fixed
 from runwarden.functions import decisions, text
-from runwarden.operators.keyed import latest_per_key, previous_value
+from runwarden.operators.keyed import first_rows, latest_per_key, micros, order_number
+from runwarden.operators.scan import previous_value
 
 
 def incident_id(run: Column) -> Column:
     return text.record_id(F.lit("incident"), run)
 
 
+_TIES = ("detected_by", "evidence_json")
+
+
 def _record_order() -> Column:
-    """Order in which signals of a run are recorded: priority, then rule, then evidence."""
-    return F.struct(
-        decisions.class_priority(F.col("failure_type")).alias("priority"),
-        F.col("rule_rank"),
-        F.col("detected_at"),
-        F.col("detected_by"),
-        F.col("evidence_json"),
+    """Order in which signals of a run are recorded: priority, then rule, then time; evidence settles ties."""
+    return order_number(
+        (decisions.class_priority(F.col("failure_type")), 3),
+        (F.col("rule_rank"), 4),
+        (micros(F.col("detected_at")), 17),
     )
 
 
@@ -32,16 +34,17 @@ def incidents(signals: DataFrame) -> DataFrame:
     priority, the primary class. Minima combine map-side, so a run with very many signals costs one row
     per map task.
     """
-    first = F.min_by(F.struct("pipeline_key", "severity", "failure_type"), _record_order())
-    rows = signals.groupBy("job_run_id").agg(first.alias("f"), F.min("detected_at").alias("detected_at"))
-    promoted = F.col("f.failure_type").isin(*fixed.PROMOTED_CLASSES)
+    first = first_rows(signals, ["job_run_id"], _record_order(), ("pipeline_key", "severity", "failure_type"), _TIES)
+    times = signals.groupBy("job_run_id").agg(F.min("detected_at").alias("detected_at"))
+    rows = first.join(times, "job_run_id")
+    promoted = F.col("failure_type").isin(*fixed.PROMOTED_CLASSES)
     return rows.select(
         incident_id(F.col("job_run_id")).alias("incident_id"),
         "job_run_id",
         "detected_at",
-        "f.pipeline_key",
-        F.col("f.failure_type").alias("primary_failure_type"),
-        F.when(promoted, "high").otherwise(F.col("f.severity")).alias("severity"),
+        "pipeline_key",
+        F.col("failure_type").alias("primary_failure_type"),
+        F.when(promoted, "high").otherwise(F.col("severity")).alias("severity"),
         F.lit("OPEN").alias("status"),
         F.lit(None).cast("timestamp").alias("agent_started_at"),
         F.lit(None).cast("string").alias("rca_report_path"),
@@ -51,18 +54,17 @@ def incidents(signals: DataFrame) -> DataFrame:
 
 def incident_signals(signals: DataFrame) -> DataFrame:
     """Unique (incident, class, detector); of repeated signals the first evidence is kept."""
-    rows = signals.groupBy("job_run_id", "failure_type", "detected_by").agg(
-        F.min_by(F.struct("evidence_json", "detected_at", "rule_rank"), _record_order()).alias("s")
-    )
+    keys = ["job_run_id", "failure_type", "detected_by"]
+    rows = first_rows(signals, keys, _record_order(), ("evidence_json", "detected_at", "rule_rank"), _TIES)
     iid = incident_id(F.col("job_run_id"))
     return rows.select(
         text.record_id(F.lit("signal"), iid, F.col("failure_type"), F.col("detected_by")).alias("signal_id"),
         iid.alias("incident_id"),
         "failure_type",
         "detected_by",
-        "s.detected_at",
-        "s.evidence_json",
-        "s.rule_rank",
+        "detected_at",
+        "evidence_json",
+        "rule_rank",
     )
 
 
@@ -124,21 +126,21 @@ def refresh_primary(existing: DataFrame, signals: DataFrame) -> DataFrame:
 def incident_upsert(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Insert new runs; for known runs take class and pipeline from the incoming row and reopen.
 
-    Both sides hold one row per run, so a single grouping replaces a merge.
+    Both sides hold one row per run, so they meet in one full outer join on the run.
     """
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    old = [F.max(F.when(F.col("_new") == 0, F.struct(*existing.columns))).alias("o")]
-    new = [F.max(F.when(F.col("_new") == 1, F.struct(*existing.columns))).alias("n")]
+    old, new = existing.alias("o"), incoming.withColumn("_new", F.lit(True)).alias("n")
+    both = old.join(new, F.col("o.job_run_id") == F.col("n.job_run_id"), "full_outer")
     overwritten = {"primary_failure_type", "pipeline_key"}
+    arrived, known = F.col("n._new").isNotNull(), F.col("o.job_run_id").isNotNull()
     out = []
     for c in existing.columns:
         if c == "status":
-            out.append(F.when(F.col("n").isNotNull(), "OPEN").otherwise(F.col("o.status")).alias(c))
+            out.append(F.when(arrived, "OPEN").otherwise(F.col("o.status")).alias(c))
         elif c in overwritten:
-            out.append(F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
+            out.append(F.when(arrived, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c))
         else:
-            out.append(F.when(F.col("o").isNotNull(), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
-    return both.groupBy(F.col("job_run_id").alias("_run")).agg(*old, *new).select(*out)
+            out.append(F.when(known, F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c))
+    return both.select(*out)
 
 
 def incident_signals_join(incident_rows: DataFrame, signals: DataFrame) -> DataFrame:
@@ -196,19 +198,13 @@ def current_status(events: DataFrame) -> DataFrame:
     )
 
 
-def _hour(column: str) -> Column:
-    return F.date_trunc("hour", column)
-
-
 def apply_status_changes(status: DataFrame, requests: DataFrame) -> DataFrame:
     """Outcome of every requested change: ``applied``, ``noop`` or ``incident not found``.
 
     ``status`` has one row per incident. Each request starts from the status the request before it led
     to, so a whole batch is decided at once.
     """
-    chained = previous_value(
-        requests, ["incident_id"], ["changed_at", "request_id"], "to_status", "_before", _hour("changed_at")
-    )
+    chained = previous_value(requests, ["incident_id"], ["changed_at", "request_id"], "to_status", "_before")
     known = chained.join(status.select("incident_id", F.col("status").alias("_start")), "incident_id", "left")
     origin = F.when(F.col("_start").isNotNull(), F.coalesce("_before", "_start"))
     return known.select(
@@ -264,12 +260,7 @@ def apply_approvals(
     rows = rows.withColumn("remediation_type", F.when(F.col("_known"), resolved_type))
     leads_to = F.when(~approve, "INVESTIGATING").when(F.col("remediation_type") == "diagnosis_only", "RESOLVED")
     rows = previous_value(
-        rows.withColumn("_to", leads_to),
-        ["incident_id"],
-        ["decided_at", "decision_id"],
-        "_to",
-        "_before",
-        _hour("decided_at"),
+        rows.withColumn("_to", leads_to), ["incident_id"], ["decided_at", "decision_id"], "_to", "_before"
     )
     before = F.coalesce("_before", "_start")
     refused = approve & ~F.coalesce(before.isin(*fixed.APPROVABLE_STATUSES), F.lit(False))

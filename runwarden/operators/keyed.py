@@ -65,34 +65,32 @@ def flag_latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], fla
     return heads.unionByName(rest).drop(salt, first)
 
 
-def previous_value(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    out: str,
-    block: Column,
+def order_number(*parts: tuple[Column, int]) -> Column:
+    """One decimal that sorts like ``parts``, whole numbers from 0, each with its greatest number of digits.
+
+    Minima of a decimal combine in a hash aggregation, those of a struct or text only by sorting.
+    """
+    return F.concat(*[F.lpad(value.cast("string"), digits, "0") for value, digits in parts]).cast("decimal(38,0)")
+
+
+def micros(at: Column) -> Column:
+    """A timestamp from 1970 on as a number of at most 17 digits."""
+    return F.unix_micros(at)
+
+
+def first_rows(
+    df: DataFrame, keys: Sequence[str], number: Column, columns: Sequence[str], tie: Sequence[str] = ()
 ) -> DataFrame:
-    """Last non-NULL ``value`` of the rows before each row of a key, NULL when there is none.
+    """``keys`` and ``columns`` of the row of each key with the least ``number``, then the least ``tie``.
 
-    Done in two steps so that a hot key is spread over its blocks. ``block`` must be non-decreasing in
-    the first order column (a truncated timestamp). A row takes the value from its own block, else the
-    value carried over from the blocks before, of which only one row each is shuffled.
+    The least number is found by a hash aggregation that combines before the shuffle, and the row is fetched by a
+    join: only rows of that number are ordered by text.
     """
-    b = "_block"
-    before = (Window.unboundedPreceding, -1)
-    marked = df.withColumn(b, block)
-    inner = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(*before)
-    known = F.when(F.col(value).isNotNull(), F.struct(*order))
-    tails = marked.groupBy(*keys, b).agg(F.max_by(value, known).alias("_tail"))
-    over_blocks = Window.partitionBy(*keys).orderBy(b).rowsBetween(*before)
-    carried = tails.select(*keys, b, F.last("_tail", ignorenulls=True).over(over_blocks).alias("_carry"))
-    within = marked.withColumn("_in", F.last(value, ignorenulls=True).over(inner))
-    return (
-        within.join(carried, [*keys, b], "left")
-        .withColumn(out, F.coalesce("_in", "_carry"))
-        .drop(b, "_in", "_carry")
-    )
+    held = [c for c in dict.fromkeys([*tie, *columns]) if c not in keys]
+    rows = df.select(*keys, *held, number.alias("_number"))
+    least = rows.groupBy(*keys).agg(F.min("_number").alias("_number"))
+    met = rows.join(least, [*keys, "_number"])
+    return latest_per_key(met, keys, [F.col(c) for c in held]).select(*keys, *[c for c in columns if c not in keys])
 
 
 def presence(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -23,7 +23,12 @@ def task_log_explode(payloads: DataFrame, payload: str, collected_at: Column) ->
     parsed = payloads.select(
         F.from_json(payload, schemas.RUNS_PAYLOAD).alias("p"), collected_at.alias("collected_at")
     )
-    runs = parsed.select("collected_at", F.explode("p.runs").alias("r"))
+    return failed_tasks(parsed.select("p.runs", "collected_at"))
+
+
+def failed_tasks(listings: DataFrame) -> DataFrame:
+    """One row per failed task of listings ``(runs, collected_at)`` whose runs are already typed."""
+    runs = listings.select("collected_at", F.explode("runs").alias("r"))
     tasks = runs.select("collected_at", "r", F.explode("r.tasks").alias("t"))
     job = F.coalesce(F.col("r.job_id").cast("string"), F.lit("None"))
     run = F.coalesce(F.col("r.run_id").cast("string"), F.lit("None"))

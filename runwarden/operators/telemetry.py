@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from runwarden import fixed, schemas
 from runwarden.functions import snapshots
 from runwarden.operators.keyed import latest_per_key, ranked_top
+from runwarden.operators.quantiles import exact_quantiles
 
 
 def since(column: str, as_of: Column, hours: float | None) -> Column:
@@ -102,7 +103,8 @@ def slow_runs(telemetry: DataFrame, days: int = 7, factor: float = fixed.SLOW_FA
     """Runs slower than ``factor`` times the median of the pipeline's previous ``days`` calendar days.
 
     Durations are first counted per (pipeline, day, duration). Those counts, not the runs, are handed to
-    the days they serve as baseline for, so the work is linear however busy a pipeline is.
+    the days they serve as baseline for, and the median is found by narrowing its interval, so the work is
+    linear and no task holds the durations of a busy pipeline.
     """
     runs = telemetry.withColumn("run_date", F.to_date("ended_at"))
     counts = runs.groupBy("pipeline_key", "run_date", "duration_ms").agg(F.count("*").alias("n"))
@@ -113,9 +115,8 @@ def slow_runs(telemetry: DataFrame, days: int = 7, factor: float = fixed.SLOW_FA
         ),
     )
     served = served.groupBy("pipeline_key", "run_date", "duration_ms").agg(F.sum("n").alias("n"))
-    medians = served.groupBy("pipeline_key", "run_date").agg(
-        F.percentile("duration_ms", F.lit(0.5), F.col("n")).alias("median_ms")
-    )
+    medians = exact_quantiles(served, ["pipeline_key", "run_date"], "duration_ms", (0.5,), "n")
+    medians = medians.select("pipeline_key", "run_date", F.col("q")[0].alias("median_ms"))
     return runs.join(medians, ["pipeline_key", "run_date"]).filter(
         F.col("duration_ms") > F.lit(factor) * F.col("median_ms")
     ).select("run_id", "pipeline_key", "task_name", "run_date", "duration_ms", "median_ms")

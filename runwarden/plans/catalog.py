@@ -20,6 +20,7 @@ from runwarden.operators import (
     remediation,
     retrieval,
     rules,
+    scan,
     scoring,
     telemetry,
 )
@@ -160,7 +161,7 @@ def sample_bad_records(t: Tables) -> DataFrame:
 # -- logs ---------------------------------------------------------------------------
 @plan
 def task_log_explode(t: Tables) -> DataFrame:
-    return t.task_logs
+    return logs.task_log_explode(t.payloads, "payload", F.col("collected_at"))
 
 
 @plan
@@ -412,6 +413,25 @@ def current_status(t: Tables) -> DataFrame:
     return incidents.current_status(t.worked_events).select("incident_id", "status", "changed_at")
 
 
+@plan
+def pipeline_status_chain(t: Tables) -> DataFrame:
+    """Status requests per pipeline, all of one hour: a handful of keys own all rows, and one hour holds them."""
+    flow = F.concat(F.lit("flow-"), F.col("l_partkey") % 6 % 4)
+    requests = t.table("lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("request_id"),
+        flow.alias("flow"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linestatus")).alias("to_status"),
+        (F.col("l_orderkey") % 3600).alias("second"),
+    )
+    return scan.running(
+        requests,
+        ["flow"],
+        ["second", "request_id"],
+        totals={"n_before": F.lit(1).cast("long")},
+        lasts={"status_before": F.col("to_status")},
+    )
+
+
 @plan
 def latest_proposal(t: Tables) -> DataFrame:
     return incidents.latest_proposal(t.proposal_audit).select("incident_id", "remediation_type", "created_at")

@@ -40,6 +40,7 @@ PRODUCT_SCHEMA = {
 _EPOCH_2020 = 1577836800
 _EPOCH_2024 = 1704067200
 _EPOCH_FEB = 1706745600
+_MONTH_MINUTES = 31 * 24 * 60
 
 
 def _at(base: int, seconds: Column) -> Column:
@@ -243,8 +244,8 @@ class Tables:
         )
 
     @cached_property
-    def payloads(self) -> DataFrame:
-        """Job-run listings as JSON text: one run with two tasks per line item."""
+    def listings(self) -> DataFrame:
+        """Job-run listings: one run with two tasks per line item."""
         flag, line = F.col("l_returnflag"), F.col("l_linestatus")
         crashed = (flag == "A") & (line == "O")
         bucket = F.col("l_partkey") % 6
@@ -291,14 +292,16 @@ class Tables:
             F.array(load, publish).alias("tasks"),
         )
         seconds = F.col("l_orderkey") % 30 * 86400 + F.col("l_linenumber") * 3600 + F.col("l_partkey") % 3600
-        return self.wide("lineitem").select(
-            F.to_json(F.struct(F.array(run).alias("runs"))).alias("payload"),
-            _at(_EPOCH_2024, seconds).alias("collected_at"),
-        )
+        return self.wide("lineitem").select(F.array(run).alias("runs"), _at(_EPOCH_2024, seconds).alias("collected_at"))
+
+    @property
+    def payloads(self) -> DataFrame:
+        """The listings as JSON text, as a job service hands them out."""
+        return self.listings.select(F.to_json(F.struct("runs")).alias("payload"), "collected_at")
 
     @cached_property
     def task_logs(self) -> DataFrame:
-        return logs.task_log_explode(self.payloads, "payload", F.col("collected_at"))
+        return logs.failed_tasks(self.listings)
 
     @cached_property
     def dq_results(self) -> DataFrame:
@@ -343,11 +346,11 @@ class Tables:
 
     @cached_property
     def incidents(self) -> DataFrame:
-        return incidents.incidents(self.signals)
+        return incidents.incidents(self.at("signals"))
 
     @cached_property
     def incident_signals(self) -> DataFrame:
-        return incidents.incident_signals(self.signals)
+        return incidents.incident_signals(self.at("signals"))
 
     @cached_property
     def opened_events(self) -> DataFrame:
@@ -438,7 +441,7 @@ class Tables:
             F.sha1(F.concat(F.lit("commit:"), F.col("p_partkey"))).alias("sha"),
             F.concat_ws("\n", "p_name", "p_type").alias("message"),
             F.col("p_brand").alias("author"),
-            _at(_EPOCH_2024, F.col("p_partkey") * 60).alias("committed_at"),
+            _at(_EPOCH_2024, F.col("p_partkey") * 7919 % _MONTH_MINUTES * 60).alias("committed_at"),
             F.array(F.concat(area, F.lit("/"), F.lower("p_type"), F.lit(".py")), F.lit("README.md")).alias("files"),
         )
 

@@ -302,6 +302,21 @@ PARTS: dict[str, str] = {
               FROM prove_found f FULL OUTER JOIN (VALUES ('job_crash'), ('schema_drift'), ('duplicate_explosion'),
                 ('null_spike'), ('volume_anomaly'), ('late_data')) t(f)
               ON f.job_run_id = 'prove-' || t.f AND f.failure_type = t.f)""",
+    "customer_travel": """
+        SELECT 'demo.silver.customers' AS table_name, count(*) AS current_count, count(*) FILTER (k % 7 <> 0) AS earlier_count,
+               count(*) FILTER (k % 7 = 0) AS n_added, count(*) FILTER (k % 7 <> 0 AND k % 2 = 0) AS n_changed, 0 AS n_removed
+        FROM (SELECT CAST(customer_id AS BIGINT) AS k FROM customers_silver)""",
+    "table_evidence": """
+        SELECT table_name, (SELECT 'customer_id=' || string_agg(customer_id, ',' ORDER BY customer_id) FROM (
+                 SELECT customer_id FROM customers_silver WHERE CAST(customer_id AS BIGINT) % 2 = 0
+                 ORDER BY customer_id LIMIT 5)) AS sampled,
+               'current=' || current_count || ' earlier=' || earlier_count || ' added=' || n_added || ' changed=' || n_changed
+                 || ' removed=' || n_removed AS compared
+        FROM customer_travel""",
+    "looked_at": """
+        SELECT run_id, sampled, compared
+        FROM (SELECT run_id, arg_min(table_name, CASE failure_type WHEN 'duplicate_explosion' THEN 2
+                WHEN 'null_spike' THEN 3 ELSE 5 END) AS table_name FROM class_of GROUP BY 1) JOIN table_evidence USING (table_name)""",
     "commit_rows": """
         SELECT sha1('commit:' || p_partkey) AS sha, p_name AS message, p_brand AS author,
                TIMESTAMP '2024-01-01' + to_minutes(CAST(p_partkey * 7919 % 44640 AS INTEGER)) AS committed_at,
@@ -389,12 +404,14 @@ PARTS["report"] = """
                'Pipeline `' || m.pipeline_key || '` and downstream consumers of its silver/gold tables.' AS blast_radius,
                'primary_failure_type=' || m.primary_failure_type || '|signals=[' || s.classes || ']|dq_failures='
                  || coalesce(q.n, 0) || '|task_logs=' || coalesce(l.n, 0) || '|schema_diff='
-                 || coalesce(d.txt, 'insufficient schema snapshots') AS evidence,
+                 || coalesce(d.txt, 'insufficient schema snapshots')
+                 || coalesce('|sampled_bad_records=' || e.sampled, '') || coalesce('|time_travel=' || e.compared, '') AS evidence,
                substr(c.sha, 1, 12) AS suspected_commit_sha,
                m.remediation_type || ': ' || m.parameters AS remediation_proposal,
                h.runbook_path AS cited_runbook,
-               6 AS tool_trace_len
+               CASE WHEN e.run_id IS NULL THEN 6 ELSE 8 END AS tool_trace_len
         FROM mapped m
+        LEFT JOIN looked_at e ON e.run_id = m.job_run_id
         JOIN (SELECT incident_id, string_agg(failure_type, ', ' ORDER BY failure_type) AS classes
               FROM (SELECT DISTINCT incident_id, failure_type FROM signal_table) GROUP BY 1) s USING (incident_id)
         LEFT JOIN (SELECT run_id, count(*) AS n FROM dq_facts WHERE NOT passed GROUP BY 1) q ON q.run_id = m.job_run_id

@@ -39,7 +39,7 @@ SQL = {
                (5, 'correlate_github_commits', false), (6, 'sample_bad_records', true),
                (7, 'time_travel_compare', true), (8, 'search_runbooks', false), (9, 'save_rca_report', false),
                (10, 'propose_remediation', false)) s(i, tool, extra)
-        WHERE NOT s.extra
+        WHERE NOT s.extra OR contains(evidence, 'time_travel=')
         UNION ALL
         SELECT incident_id, 'approval', decided_at, decision FROM decided WHERE error IS NULL""",
     "detection_scorecard": """
@@ -128,7 +128,37 @@ SQL = {
              (VALUES ('update_incident_status'), ('query_run_history'), ('get_dq_failures'), ('read_task_logs'),
                      ('diff_schema'), ('correlate_github_commits'), ('search_runbooks'), ('save_rca_report'),
                      ('propose_remediation')) s(tool)
-        GROUP BY 1""",
+        GROUP BY 1
+        UNION ALL
+        SELECT tool, count(*) FROM report, (VALUES ('sample_bad_records'), ('time_travel_compare')) s(tool)
+        WHERE contains(evidence, 'time_travel=') GROUP BY 1""",
+    "mirror_merge": """
+        SELECT incident_id, primary_failure_type, s.status, s.changed_at
+        FROM incident_table i JOIN status_now s USING (incident_id)""",
+    "mirror_as_of": """
+        SELECT TIMESTAMP '2024-01-16' AS as_of, 'OPEN' AS status, count(*) AS n FROM incident_table
+        WHERE detected_at < TIMESTAMP '2024-01-16' HAVING count(*) > 0
+        UNION ALL SELECT TIMESTAMP '2024-02-01', status, count(*) FROM status_now GROUP BY 2""",
+    "mirror_compare": """
+        SELECT 'incidents' AS table_name, count(*) AS current_count, count(*) FILTER (early) AS earlier_count,
+               count(*) FILTER (NOT early) AS n_added, count(*) FILTER (early AND moved) AS n_changed, 0 AS n_removed
+        FROM (SELECT i.detected_at < TIMESTAMP '2024-01-16' AS early, s.changed_at > i.detected_at AS moved
+              FROM incident_table i JOIN status_now s USING (incident_id))""",
+    "time_travel_customers": "SELECT * FROM customer_travel",
+    "claimed_incidents": """
+        SELECT incident_id, CASE WHEN rn <= 100 THEN 'agent-1' ELSE 'agent-2' END AS claimed_by,
+               TIMESTAMP '2024-01-30' AS agent_started_at
+        FROM (SELECT incident_id, row_number() OVER (ORDER BY i.detected_at, incident_id) AS rn
+              FROM incident_table i JOIN status_now s USING (incident_id) WHERE s.status = 'OPEN') WHERE rn <= 200""",
+    "mirror_sync": """
+        SELECT source || '_mirror' AS mirror, source, true AS ok, CAST(n AS BIGINT) AS row_count, CAST(NULL AS VARCHAR) AS error
+        FROM (SELECT 'incidents' AS source, (SELECT count(*) FROM incident_table) AS n
+              UNION ALL SELECT 'incident_signals', (SELECT count(*) FROM signal_table)
+              UNION ALL SELECT 'incident_status_events', (SELECT count(*) FROM events_all)
+              UNION ALL SELECT 'approvals', (SELECT count(*) FROM decided WHERE error IS NULL)
+              UNION ALL SELECT 'agent_actions', (SELECT sum(9 + CASE WHEN contains(evidence, 'time_travel=') THEN 2 ELSE 0 END) FROM report)
+              UNION ALL SELECT 'audit_log', (SELECT count(*) FROM incident_table)
+                + (SELECT count(*) + count(*) FILTER (pipeline_key = 'reviews_enrichment') FROM mapped))""",
     "incident_trend": """
         SELECT CAST(date_trunc('day', detected_at) AS TIMESTAMP) AS period, primary_failure_type, count(*) AS n
         FROM incident_table GROUP BY 1, 2""",

@@ -279,6 +279,20 @@ def rca_report(
     )
 
 
+def sample_text(bad: DataFrame, table_name: str, key: str) -> DataFrame:
+    """``(table_name, sampled)`` from a bounded sample of a table's bad records: their keys."""
+    keys = F.array_sort(F.collect_list(F.col(key).cast("string")))
+    found = bad.agg(F.count(F.lit(1)).alias("n"), F.concat(F.lit(f"{key}="), F.array_join(keys, ",")).alias("sampled"))
+    return found.where("n > 0").select(F.lit(table_name).alias("table_name"), "sampled")
+
+
+def travel_text(compared: DataFrame) -> DataFrame:
+    """``(table_name, compared)`` from the comparison of two versions of a table."""
+    counts = ("current_count", "earlier_count", "n_added", "n_changed", "n_removed")
+    told = [F.concat(F.lit(f"{c.removeprefix('n_').removesuffix('_count')}="), F.coalesce(F.col(c).cast("string"), F.lit("none"))) for c in counts]
+    return compared.select("table_name", F.concat_ws(" ", *told).alias("compared"))
+
+
 def rca_markdown(reports: DataFrame) -> DataFrame:
     """Reports as Markdown text."""
 

@@ -25,8 +25,8 @@ from runwarden.operators import (
     telemetry,
 )
 from runwarden.plans import prove
-from runwarden.sources import storage
-from runwarden.sources.tables import MONTH_HOURS, PRODUCT_SCHEMA, Tables
+from runwarden.sources import storage, versions
+from runwarden.sources.tables import LAST_DAY, MIDDLE, MIRRORED_AT, MONTH_HOURS, PRODUCT_SCHEMA, Tables
 from runwarden.streaming import jobs
 
 Plan = Callable[[Tables], DataFrame]
@@ -600,6 +600,10 @@ def _reports(t: Tables) -> DataFrame:
         t.telemetry,
         evidence.correlate_commits(t.at("incidents").select("pipeline_key"), t.commits),
         _runbook_hits(t),
+        evidence.sample_text(
+            quality.sample_bad_records(t.holed_customers, ["customer_id"]), "demo.silver.customers", "customer_id"
+        ),
+        evidence.travel_text(t.customer_versions),
     )
 
 
@@ -748,6 +752,53 @@ def mirror_sync(t: Tables) -> DataFrame:
     )
 
 
+# -- versions ---------------------------------------------------------------------------------
+@plan
+def mirror_merge(t: Tables) -> DataFrame:
+    """The incident mirror after one merge of the rows that changed since its first load."""
+    table = t.incident_mirror()
+    rows = table.read()
+    table.drop()
+    return rows
+
+
+@plan
+def mirror_as_of(t: Tables) -> DataFrame:
+    """Incidents per status as the mirror stood after its first load and after the merge."""
+    table = t.incident_mirror()
+    parts = [
+        table.read(at).groupBy("status").agg(F.count("*").alias("n")).withColumn("as_of", F.lit(at).cast("timestamp"))
+        for at in (MIDDLE, MIRRORED_AT)
+    ]
+    table.drop()
+    return parts[0].unionByName(parts[1])
+
+
+@plan
+def mirror_compare(t: Tables) -> DataFrame:
+    """What the merge added and changed, found in the buckets that two versions don't share."""
+    table = t.incident_mirror()
+    found = table.compare(MIRRORED_AT, MIDDLE, "incidents")
+    table.drop()
+    return found
+
+
+@plan
+def time_travel_customers(t: Tables) -> DataFrame:
+    return t.customer_versions
+
+
+@plan
+def claimed_incidents(t: Tables) -> DataFrame:
+    """Batches of open incidents that two investigators claimed one after the other."""
+    table = t.claimed_incidents()
+    for agent in ("agent-1", "agent-2"):
+        versions.claim(table, agent, LAST_DAY, 100)
+    rows = table.read().where("claimed_by is not null")
+    table.drop()
+    return rows.select("incident_id", "claimed_by", "agent_started_at")
+
+
 @plan
 def stream_task_logs(t: Tables) -> DataFrame:
     return jobs.streamed_task_logs(t)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
 from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +13,14 @@ from runwarden import fixed, schemas
 from runwarden.functions import text
 from runwarden.operators import evidence, incidents, logs, medallion, perturb, quality, rules
 from runwarden.operators.keyed import spread
-from runwarden.session import fresh_dir
+from runwarden.session import staged
+from runwarden.sources.versions import VersionedTable
 
 # All derived operations rows fall into January 2024; detection runs at the end of it.
 AS_OF = "2024-01-31 00:00:00"
 MONTH_HOURS = 31 * 24
+MIDDLE, DAY_BEFORE, LAST_DAY = datetime(2024, 1, 16), datetime(2024, 1, 29), datetime(2024, 1, 30)
+MIRRORED_AT = datetime(2024, 2, 1)
 
 # --- fixed values: how the test tables stand in for monitored ones -------------------
 PIPELINE_OF_EVENT = {
@@ -62,10 +67,7 @@ class Tables:
 
     def at(self, name: str) -> DataFrame:
         if name not in self._staged:
-            df = getattr(self, name)
-            path = fresh_dir(self.spark, f"stages/{name}")
-            df.write.parquet(path)
-            self._staged[name] = self.spark.read.schema(df.schema).parquet(path)
+            self._staged[name] = staged(getattr(self, name), f"stages/{name}")
         return self._staged[name]
 
     def table(self, name: str) -> DataFrame:
@@ -430,6 +432,44 @@ class Tables:
         joined = self.at("incidents").join(now, "incident_id", "left")
         return joined.withColumn("status", F.coalesce("_now", "status")).select(*self.at("incidents").columns)
 
+    # -- versions ------------------------------------------------------------------------
+    def _versioned(self, name: str, key: str, order: str) -> VersionedTable:
+        return VersionedTable(self.spark, f"{name}_{uuid.uuid4().hex}", [key], order)
+
+    def incident_mirror(self) -> VersionedTable:
+        """A mirror loaded in the middle of the month and brought up to date once by the rows that changed."""
+        opened = self.at("incidents").select(
+            "incident_id", "primary_failure_type", "status", F.col("detected_at").alias("changed_at")
+        )
+        table = self._versioned("incident_mirror", "incident_id", "changed_at")
+        table.replace(opened.where(F.col("changed_at") < F.lit(MIDDLE).cast("timestamp")), MIDDLE, buckets=8)
+        now = incidents.current_status(self.worked_events).select("incident_id", "status", "changed_at")
+        known = opened.select("incident_id", "primary_failure_type", F.col("changed_at").alias("_opened"))
+        late = (F.col("changed_at") > F.col("_opened")) | (F.col("_opened") >= F.lit(MIDDLE).cast("timestamp"))
+        table.merge(known.join(now, "incident_id").where(late), MIRRORED_AT)
+        return table
+
+    def claimed_incidents(self) -> VersionedTable:
+        """Current incidents, of which two investigators have claimed a batch each."""
+        table = self._versioned("incident_claims", "incident_id", "updated_at")
+        rows = self.current_incidents.withColumns(
+            {"claimed_by": F.lit(None).cast("string"), "updated_at": F.col("detected_at")}
+        )
+        table.replace(rows, MIDDLE, buckets=8)
+        return table
+
+    @cached_property
+    def customer_versions(self) -> DataFrame:
+        """What a day changed in the customers: six in seven were known, the others came, every second lost its email."""
+        key = F.col("customer_id").cast("long")
+        table = self._versioned("customers", "customer_id", "updated_at")
+        table.replace(self.silver_customers.where(key % 7 != 0), DAY_BEFORE, buckets=8)
+        later = self.holed_customers.where((key % 7 == 0) | F.col("email").isNull())
+        table.merge(later.withColumn("updated_at", F.col("updated_at") + F.make_dt_interval(F.lit(30))), LAST_DAY)
+        compared = table.compare(LAST_DAY, DAY_BEFORE, "demo.silver.customers")
+        table.drop()
+        return compared
+
     # -- investigation --------------------------------------------------------------------
     @cached_property
     def commits(self) -> DataFrame:

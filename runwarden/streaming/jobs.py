@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from runwarden import fixed, schemas
@@ -93,48 +91,60 @@ def late_share(events: DataFrame, window: str = "1 hour", limit: float = fixed.L
 
 
 # -- telemetry -----------------------------------------------------------------------------
-class StreamTelemetry(StreamingQueryListener):
-    """Turns the progress of streaming queries into telemetry rows, counts dropped late rows."""
-
-    def __init__(self, pipeline_key: str) -> None:
-        self.pipeline_key, self.rows = pipeline_key, []
-
-    def onQueryStarted(self, event) -> None:
-        pass
-
-    def onQueryIdle(self, event) -> None:
-        pass
-
-    def onQueryTerminated(self, event) -> None:
-        pass
-
-    def onQueryProgress(self, event) -> None:
-        p = event.progress
-        dropped = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
-        observed = p.observedMetrics.get("telemetry") if p.observedMetrics else None
-        self.rows.append(
-            {
-                "run_id": f"{p.runId}-{p.batchId}",
-                "pipeline_key": self.pipeline_key,
-                "task_name": p.name or "stream",
-                "started_at": p.timestamp,
-                "duration_ms": p.batchDuration,
-                "rows_in": p.numInputRows,
-                "rows_out": None if observed is None else observed["rows"],
-                "metadata_json": json.dumps({"dropped_by_watermark": dropped}),
-            }
-        )
+class TelemetrySink:
+    """Writes every micro-batch with a row about it; ``folder`` and its checkpoint name one stream for good.
 
-    def to_telemetry(self, spark: SparkSession) -> DataFrame:
-        raw = "run_id string, pipeline_key string, task_name string, started_at string, duration_ms bigint, "
-        raw += "rows_in bigint, rows_out bigint, metadata_json string"
-        rows = spark.createDataFrame(self.rows, raw)
-        start = F.to_timestamp("started_at")
-        span = F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), (F.col("duration_ms") / 1000).cast("decimal(18,6)")
-        )
-        done = rows.withColumn("started_at", start).withColumn("ended_at", start + span)
-        return schemas.conform(done.withColumn("status", F.lit("SUCCESS")), schemas.TASK_TELEMETRY)
+    Rows older than the watermark, the newest event time of earlier batches less ``delay_minutes``, go to a table of
+    their own. What earlier batches reached is read from the rows about them, so a stream that is started again goes
+    on with the same watermark, and a batch that is run again writes the same files.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, pipeline_key: str, at: str, delay_minutes: int) -> None:
+        self.spark, self.folder, self.pipeline_key, self.at, self.delay = spark, folder, pipeline_key, at, delay_minutes
+
+    _ABOUT = (
+        "pipeline_key string, batch long, rows_in long, rows_out long, late_rows long, newest timestamp, watermark timestamp"
+    )
+
+    def about(self) -> DataFrame:
+        """One row per micro-batch so far."""
+        return self.spark.read.schema(self._ABOUT).parquet(f"{self.folder}/about/batch=*")
+
+    def _part(self, kind: str, batch_id: int) -> str:
+        return f"{self.folder}/{kind}/batch={batch_id}"
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        reached = F.lit(None).cast("timestamp")
+        if batch_id:
+            before = self.about().where(F.col("batch") < batch_id).agg(F.max("newest")).first()[0]
+            reached = F.lit(before).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(self.delay))
+        late = F.coalesce(F.col(self.at) < reached, F.lit(False))
+        marked = batch.withColumn("_late", late)
+        marked.write.mode("overwrite").partitionBy("_late").parquet(self._part("rows", batch_id))
+        written = self.spark.read.schema(marked.schema).parquet(self._part("rows", batch_id))
+        written.agg(
+            F.lit(self.pipeline_key).alias("pipeline_key"),
+            F.lit(batch_id).cast("long").alias("batch"),
+            F.count(F.lit(1)).alias("rows_in"),
+            F.count_if(~F.col("_late")).alias("rows_out"),
+            F.count_if("_late").alias("late_rows"),
+            F.max(self.at).alias("newest"),
+            reached.alias("watermark"),
+        ).coalesce(1).write.mode("overwrite").parquet(self._part("about", batch_id))
+
+    def rows(self, schema, late: bool = False) -> DataFrame:
+        """Rows of all batches, those in time or those behind the watermark."""
+        kept = self.spark.read.schema(schema.add("_late", "boolean")).option("basePath", f"{self.folder}/rows")
+        return kept.parquet(f"{self.folder}/rows/batch=*").where(F.col("_late") == late).drop("_late", "batch")
+
+
+def watched(events: DataFrame, sink: TelemetrySink, checkpoint: str) -> StreamingQuery:
+    return (
+        events.writeStream.foreachBatch(sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 # -- runs over the given tables, to completion -----------------------------------------------
@@ -157,14 +167,15 @@ def streamed_task_logs(t: Tables) -> DataFrame:
 
 
 def streamed_signals(t: Tables) -> DataFrame:
-    """Incidents of a stream over the job logs, all rules applied with each batch."""
+    """Incidents of a stream over the job logs and of one scheduled pass over telemetry and checks.
+
+    A batch sees only its own logs; the rules on telemetry and checks run once, beside the stream.
+    """
     live = _StreamTables(t.spark, t.folder)
     sink, state = fresh_dir(t.spark, "stream/signals"), fresh_dir(t.spark, "stream/state")
-
-    def detect(batch: DataFrame) -> DataFrame:
-        return rules.all_signals(dataclasses.replace(t.inputs(), logs=batch))
-
-    _finish(detect_stream(logs.task_log_explode(live.payloads, "payload", F.col("collected_at")), sink, state, detect))
+    _finish(detect_stream(logs.task_log_explode(live.payloads, "payload", F.col("collected_at")), sink, state))
+    scheduled = rules.all_signals(dataclasses.replace(t.inputs(), logs=t.task_logs.limit(0)))
+    scheduled.write.parquet(f"{sink}/batch=scheduled")
     return schemas.conform(streamed_incidents(t.spark, sink), schemas.INCIDENTS)
 
 
@@ -191,28 +202,24 @@ def streamed_late_share(t: Tables) -> DataFrame:
     return newest.select("window_start", "n", "late", F.round("pct_late", 6).alias("pct_late"))
 
 
+ARRIVALS = 4  # parts in which the month's events reach the stream; one event in fifty comes a part later
+
+
 def streamed_telemetry(t: Tables) -> DataFrame:
-    """Telemetry rows of a stream over the events table, one per micro-batch."""
-    listener = StreamTelemetry("events_clickstream")
-    t.spark.streams.addListener(listener)
-    try:
-        sink, state = fresh_dir(t.spark, "stream/events"), fresh_dir(t.spark, "stream/state")
-        live = _StreamTables(t.spark, t.folder).raw_events()
-        query = (
-            live.observe("telemetry", F.count(F.lit(1)).alias("rows"))
-            .writeStream.queryName("events_copy")
-            .format("parquet")
-            .option("path", sink)
-            .option("checkpointLocation", state)
-            .trigger(availableNow=True)
-            .start()
-        )
-        _finish(query)
-        # progress reaches the listener over its own bus
-        t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
-    finally:
-        t.spark.streams.removeListener(listener)
-    return listener.to_telemetry(t.spark)
+    """What every micro-batch of a stream over the events brought, counted by the stream itself.
+
+    Events arrive in parts by day of the month, one file folder after the other.
+    """
+    part = F.least(F.floor((F.dayofmonth("ts") - 1) / 8) + (F.col("event_id") % 50 == 0).cast("int"), F.lit(ARRIVALS - 1))
+    inbox = fresh_dir(t.spark, "stream/inbox")
+    events = t.table("events").withColumn("_part", part)
+    sink = TelemetrySink(t.spark, fresh_dir(t.spark, "stream/watched"), "events_clickstream", "ts", fixed.LATE_MINUTES)
+    state = fresh_dir(t.spark, "stream/state")
+    schema = schemas.GIVEN["events"]
+    for k in range(ARRIVALS):
+        events.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(inbox)
+        _finish(watched(t.spark.readStream.schema(schema).parquet(inbox), sink, state))
+    return sink.about()
 
 
 def recorded_telemetry(t: Tables) -> DataFrame:

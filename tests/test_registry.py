@@ -6,7 +6,7 @@ from runwarden.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS_ONLY = {
-    "telemetry_rows", "stream_telemetry",
+    "telemetry_rows",
 }
 
 

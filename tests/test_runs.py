@@ -6,8 +6,8 @@ import pytest
 from helpers import NOW
 from pyspark.sql import functions as F
 
-from runwarden import fixed
-from runwarden.operators import perturb, quality
+from runwarden import fixed, schemas
+from runwarden.operators import incidents, perturb, quality
 from runwarden.plans import runs
 from runwarden.sources import storage
 from runwarden.sources.tables import Tables
@@ -39,13 +39,21 @@ def test_null_spike_from_perturbation_to_resolution(spark):
     status = {r.incident_id: r.status for r in runs._status(store).collect()}
     assert status == {iid: "AWAITING_APPROVAL"}
 
+    claimed = store.read("incidents").collect()[0]
+    assert claimed.agent_started_at == NOW + timedelta(minutes=1)  # the claim is written
+    assert runs.claim_incidents(store, "second", lit(2), 10).count() == 0
+
+    params = fixed.REMEDIATIONS["null_spike"][1]
+    with pytest.raises(ValueError, match="not approved"):
+        runs.execute_remediation(store, iid, "quarantine_reprocess", params, "customers", lit(3))
+    assert store.read("customers").count() == n
+
     approve = spark.createDataFrame(
         [("d1", iid, "approved", "me", NOW + timedelta(minutes=5))],
         "decision_id string, incident_id string, decision string, decided_by string, decided_at timestamp",
     )
     outcome = runs.decide(store, approve).collect()[0]
     assert outcome.remediation_type == "quarantine_reprocess" and outcome.error is None
-    params = fixed.REMEDIATIONS["null_spike"][1]
     done = runs.execute_remediation(store, iid, outcome.remediation_type, params, "customers", lit(9))
     assert done["kept_rows"] + done["quarantined_rows"] == n and done["quarantined_rows"] == n // 2
     assert store.read("customers").filter("email IS NULL").count() == 0
@@ -73,3 +81,16 @@ def test_medallion_run_counts_layers(spark):
     counts = runs.run_medallion(store, raw)
     assert counts["raw_orders"] == 6000 and counts["fact_orders"] == counts["orders"] == 4599
     assert counts["dim_customer"] == 150 and counts["dim_product"] == 180
+
+
+def test_two_investigators_split_the_open_incidents(spark):
+    spark.sql("CREATE SCHEMA IF NOT EXISTS split_db")
+    store = storage.TableStore(spark, "split", "split_db")
+    opened = [(f"i{k}", f"r{k}", NOW + timedelta(minutes=k), "orders_ingest", "late_data", "medium", "OPEN", None, None, None) for k in range(9)]
+    rows = spark.createDataFrame(opened, schemas.INCIDENTS)
+    store.replace("incidents", rows)
+    store.append("incident_status_events", incidents.opened_events(rows), schemas.STATUS_EVENTS)
+    first = [r.incident_id for r in runs.claim_incidents(store, "a", lit(60), 4).orderBy("detected_at").collect()]
+    second = [r.incident_id for r in runs.claim_incidents(store, "b", lit(61), 4).orderBy("detected_at").collect()]
+    assert (first, second) == (["i0", "i1", "i2", "i3"], ["i4", "i5", "i6", "i7"])
+    assert [r.incident_id for r in runs.claim_incidents(store, "a", lit(62), 4).collect()] == ["i8"]

@@ -285,3 +285,60 @@ def test_recorder_records_success_and_failure(spark):
     ok, bad = seen[0].collect()[0], seen[1].collect()[0]
     assert ok.status == "SUCCESS" and ok.rows_out == 40 and "order_id" in ok.schema_snapshot_json
     assert bad.status == "FAILED" and bad.error_class == "ZeroDivisionError" and "1 / 0" in bad.stacktrace
+
+
+def test_free_expressions_share_one_scan(spark):
+    spark.range(100).selectExpr("id", "id % 3 = 0 AS third").createOrReplaceTempView("free_view")
+    sql = ("count(*) FILTER (WHERE third)", "avg(id)", "count(DISTINCT id % 7)", "percentile(id, 0.5)", "max(id) - min(id)")
+    checks = [quality.Check(f"c{i}", "t", "m", ">", 7.0, expression=e) for i, e in enumerate(sql)]
+    found = quality.measured(spark, {"t": spark.table("free_view")}, checks)
+    assert [r.observed_value for r in found.orderBy("check_name").collect()] == [34.0, 49.5, 7.0, 49.5, 99.0]
+    assert [r.passed for r in found.orderBy("check_name").collect()] == [True, True, False, True, True]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
+def test_checks_are_loaded_from_a_file(spark, tmp_path):
+    listed = [
+        {"name": "a", "table": "t", "metric_field": "m", "comparator": "<=", "threshold": 3, "expression": "count(*)"},
+        {"name": "b", "table": "t", "metric_field": "m", "comparator": "==", "threshold": 0, "kind": "null_count", "column": "x"},
+    ]
+    path = tmp_path / "checks.yml"
+    path.write_text(json.dumps({"checks": listed}))  # JSON is YAML too
+    checks = storage.load_checks(str(path))
+    rows = quality.measured(spark, {"t": spark.createDataFrame([(1,), (None,)], "x int")}, checks)
+    assert {r.check_name: (r.observed_value, r.passed) for r in rows.collect()} == {"a": (2.0, True), "b": (1.0, False)}
+    path.write_text("{}")
+    with pytest.raises(ValueError, match="No checks"):
+        storage.load_checks(str(path))
+
+
+def test_reports_are_written_as_json_and_markdown(spark, tmp_path):
+    columns = ("incident_id", "summary", "root_cause", "root_cause_type", "blast_radius", "suspected_commit_sha", "remediation_proposal", "cited_runbook")
+    reports = spark.createDataFrame([tuple(f"{c}!" for c in columns)], ", ".join(f"{c} string" for c in columns))
+    storage.write_reports(reports.withColumn("evidence", F.array(F.lit("one"), F.lit("two"))), str(tmp_path))
+    row = spark.read.json(f"{tmp_path}/json").collect()[0]
+    assert row.summary == "summary!" and row.evidence == ["one", "two"]
+    text = spark.read.parquet(f"{tmp_path}/markdown").collect()[0].markdown
+    assert text.startswith("# RCA") and "- one\n- two" in text and "root_cause!" in text
+
+
+def test_rows_behind_the_watermark_go_to_their_own_table(spark, tmp_path):
+    source, state = f"{tmp_path}/in", f"{tmp_path}/state"
+    schema = "event_id long, ts timestamp"
+    sink = jobs.TelemetrySink(spark, f"{tmp_path}/sink", "p", "ts", 60)
+
+    def arrive(*hours):
+        rows = [(i, None if h is None else NOW + timedelta(hours=h)) for i, h in enumerate(hours)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        again = jobs.TelemetrySink(spark, f"{tmp_path}/sink", "p", "ts", 60)  # a new process
+        jobs.watched(spark.readStream.schema(schema).parquet(source), again, state).awaitTermination()
+
+    arrive(0, 5)
+    arrive(6, 4.5, 3.5, None)
+    arrive(4.9, 5.1)
+    about = sink.about().orderBy("batch").collect()
+    assert [(r.rows_in, r.rows_out, r.late_rows) for r in about] == [(2, 2, 0), (4, 3, 1), (2, 1, 1)]
+    assert about[2].watermark == NOW + timedelta(hours=5)
+    late = sink.rows(spark.createDataFrame([], schema).schema, late=True)
+    assert sorted(r.ts for r in late.collect()) == [NOW + timedelta(hours=3.5), NOW + timedelta(hours=4.9)]

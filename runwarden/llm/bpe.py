@@ -40,9 +40,9 @@ def byte_characters() -> list[str]:
 class Cache(dict):
     """Keeps what ``make`` gave for a key. When full, the entries used since the last time it was full stay."""
 
-    def __init__(self, make: Callable[[str], bytes]) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int = CACHED) -> None:
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
@@ -54,7 +54,7 @@ class Cache(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > CACHED:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
 

@@ -31,37 +31,52 @@ CUT = 512
 PIECES_PER_GROUP = 4096
 
 
-_LATIN_END = "\u0250"
+_LATIN_END = 0x250
+_BEYOND_LATIN = re.compile(f"[{chr(_LATIN_END)}-\U0010ffff]")
+_CACHED_PIECES = 400_000  # with their ids some 80 MB, and as many that were used lately
+
+
+def _latin_class(of: regex.Pattern) -> str:
+    """A character class of the matching characters below U+0250 and of their lower-case forms."""
+    found = {c for n in range(_LATIN_END) for c in chr(n) + chr(n).lower() if of.match(c)}
+    return "".join(map(re.escape, sorted(found)))
 
 
 class WordTokens:
-    """Ids of the tokenizers library for a vocabulary that drops white space, by distinct word.
+    """Ids of the tokenizers library for a vocabulary that drops white space, by distinct piece.
 
-    No token spans white space there, so the ids of a text are those of its words one after another. A new
-    word of Latin letters is lower-cased and split by the file's own pattern, and its pieces go straight to
-    the library's merge model; other words go through the whole library. Texts that hold a special token's
-    string, or white space outside ASCII, go to the library whole.
+    No token spans white space there, and the file's own pattern splits a lower-cased text into the pieces that
+    are merged. A text of Latin letters is split as a whole and each new piece goes straight to the library's merge
+    model; of other texts, words with letters beyond go through the whole library. Texts that hold a special
+    token's string, or white space outside ASCII, go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.pieces = Cache(self._word), Cache(self._piece)
+        self.words, self.pieces = Cache(self._word), Cache(self._piece, _CACHED_PIECES)
         special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.pattern = self._own_pattern()
         self.characters = byte_characters()
 
-    def _own_pattern(self) -> regex.Pattern | None:
-        """The file's split pattern, if its other steps are lower-casing, composing and dropping white space."""
+    def _own_pattern(self) -> re.Pattern | None:
+        """The file's split pattern for Latin letters, if its other steps are lower-casing, composing and dropping white space."""
         made = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
         split, *rest = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         plain = [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["use_regex"]
         if steps != ["NFC", "Replace", "Lowercase"] or split.get("type") != "Split" or not plain:
             return None
-        return regex.compile(split["pattern"]["Regex"])
+        found = split["pattern"]["Regex"]
+        for name in (r"\p{L}", r"\p{N}"):
+            found = found.replace(f"[{name}]", name).replace(name, f"[{name}]")
+            inside = _latin_class(regex.compile(name))
+            # inside a negated class the properties stand without brackets of their own
+            found = re.sub(r"\[\^([^\]]*)\[" + re.escape(name) + r"\]", lambda m, x=inside: f"[^{m[1]}{x}", found)
+            found = found.replace(f"[{name}]", f"[{inside}]")
+        return re.compile(found)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -71,18 +86,20 @@ class WordTokens:
             piece = "".join(map(self.characters.__getitem__, piece.encode()))
         return array("I", [x.id for x in self.tokenizer.model.tokenize(piece)]).tobytes()
 
+    def _latin(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower())))
+
     def _word(self, word: str) -> bytes:
-        if self.pattern is None or max(word) >= _LATIN_END:
-            return self._library(word)
-        low = word.lower() if word.isascii() else "".join(c.lower() for c in word)
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(low)))
+        return self._library(word) if _BEYOND_LATIN.search(word) else self._latin(word)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         self.words.turn()
         self.pieces.turn()
-        if OTHER_SPACE.search(text) or self.special.search(text):
+        if self.pattern is None or OTHER_SPACE.search(text) or self.special.search(text):
             return self._library(text)
+        if not _BEYOND_LATIN.search(text):
+            return self._latin(text)
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -122,11 +139,36 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
         sums[0], nodes[0] = sizes[key], key
         return sums, nodes
 
+    def joined(a: int, b: int) -> int:
+        nonlocal made
+        halves[made] = a, b
+        made += 1
+        return n + made - 1
+
+    def inserted(values: np.ndarray, at: int, value: int) -> np.ndarray:
+        """``values`` without the last, and ``value`` at a position."""
+        out = np.empty(windows, np.int64)
+        out[:at], out[at], out[at + 1 :] = values[:at], value, values[at:-1]
+        return out
+
     queue = [(-size, key) for key, size in enumerate(sizes)]
     heapq.heapify(queue)
     key = n
     while len(queue) > 1:
-        (sums, nodes), (sums2, nodes2) = part(heapq.heappop(queue)[1]), part(heapq.heappop(queue)[1])
+        one, two = heapq.heappop(queue)[1], heapq.heappop(queue)[1]
+        single = one if one < n else two
+        if single < n:
+            # a single size goes to the emptiest window of the other partition, and only that window moves
+            sums, nodes = part(two if single == one else one)
+            value, node = int(sums[-1]) + sizes[single], int(nodes[-1])
+            at = windows - 1 - int(np.searchsorted(sums[-2::-1], value)) if windows > 1 else 0
+            sums, nodes = inserted(sums, at, value), inserted(nodes, at, single if node < 0 else joined(node, single))
+            sums -= sums[-1]
+            parts[key] = sums, nodes
+            heapq.heappush(queue, (-int(sums[0]), key))
+            key += 1
+            continue
+        (sums, nodes), (sums2, nodes2) = part(one), part(two)
         sums, nodes2 = sums + sums2[::-1], nodes2[::-1]
         both = np.flatnonzero((nodes >= 0) & (nodes2 >= 0))
         mixed = np.maximum(nodes, nodes2)

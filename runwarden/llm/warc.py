@@ -108,32 +108,28 @@ def write(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Archives:
     decided = keyed.join(shared, "digest", "left").select(
         *keyed.columns, kind.alias("record_type"), F.when(later, F.col("first_id")).alias("refers_to")
     )
-    decided.write.parquet(f"{folder}/heads")
-    heads = spark.read.parquet(f"{folder}/heads").withColumn("header", _header(F.col("record_type")))
-
-    _placed(heads).write.parquet(f"{folder}/index")
-
-    # A header and its page meet in the task that writes the archive; pages are shuffled once. Repeated rows of
-    # one page come headers first and have equal payloads, so the k-th header and the k-th payload belong together.
-    # Payloads are compressed on the way.
-    lines = heads.select(
-        "archive",
-        "page_id",
-        "digest",
-        F.lit(0).alias("part"),
-        "url",
-        "record_type",
-        F.col("header").cast("binary").alias("content"),
-    ).unionByName(
+    _placed(decided).write.parquet(f"{folder}/index")
+    index = spark.read.parquet(f"{folder}/index")
+
+    # What the index knows of a record and its page meet in the task that writes the archive, where the header is
+    # made; pages are shuffled once. Repeated rows of one page come headers first and have equal payloads, so the
+    # k-th header and the k-th payload belong together. Payloads are compressed on the way.
+    told = ("url", "record_type", "refers_to", "payload_bytes")
+    none = {c: F.lit(None).cast(index.schema[c].dataType) for c in told}
+    lines = index.select("archive", "page_id", "digest", F.lit(0).alias("part"), *told).withColumn(
+        "content", F.lit(None).cast("binary")
+    )
+    lines = lines.unionByName(
         rows.select(archive, "page_id", "digest", "html")
         .mapInArrow(_packed, f"archive int, page_id {page_kind}, digest binary, content binary")
-        .withColumns({"part": F.lit(1), "url": F.lit(None).cast("string"), "record_type": F.lit(None).cast("string")})
+        .withColumns({"part": F.lit(1), **none})
     )
     # partition k becomes file part-k
     lines = lines.repartitionById(archives, "archive").sortWithinPartitions(*_PLACE, "part", "url")
-    records = lines.select("record_type", "content").mapInArrow(_records, "value string")
+    header = F.when(F.col("part") == 0, _header(F.col("record_type")).cast("binary")).otherwise(F.col("content"))
+    records = lines.select("record_type", header.alias("content")).mapInArrow(_records, "value string")
     records.write.option("lineSep", _END).text(f"{folder}/archives")
-    return Archives(spark.read.parquet(f"{folder}/index"), _files(spark, f"{folder}/archives"))
+    return Archives(index, _files(spark, f"{folder}/archives"))
 
 
 _PLACE = ("archive", "page_id", "digest")
@@ -168,9 +164,10 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _placed(heads: DataFrame) -> DataFrame:
+def _placed(decided: DataFrame) -> DataFrame:
     body = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0)
-    sized = heads.withColumn("length", (F.octet_length("header") + body + len(_END)).cast("long")).drop("header")
+    header = F.octet_length(_header(F.col("record_type")))
+    sized = decided.withColumn("length", (header + body + len(_END)).cast("long"))
     in_archive = (
         Window.partitionBy("archive")
         .orderBy("page_id", "digest", "url")

@@ -140,6 +140,20 @@ SQL = {
         UNION ALL SELECT run_id, 4, task_name, 'zscore', CAST(rows_out AS VARCHAR) FROM scored WHERE v_z >= 3
         UNION ALL SELECT run_id, 5, task_name, 'zscore', NULL FROM scored WHERE r_z >= 3
         UNION ALL SELECT run_id, 6, 'event_type_v2', 'event_type', 'value' FROM drift""",
+    "telemetry_rows": """
+        SELECT name || '-run' AS run_id, name AS pipeline_key, 'load' AS task_name, 'SUCCESS' AS status,
+               CAST(n_in AS BIGINT) AS rows_in, CAST(n_out AS BIGINT) AS rows_out, round(nulls / n_out, 6) AS null_rate, columns
+        FROM (
+          SELECT 'customers' AS name, (SELECT count(*) + count(*) FILTER (c_custkey % 3 = 0) FROM customer) AS n_in,
+                 (SELECT count(*) FROM customers_silver) AS n_out, 0 AS nulls,
+                 'customer_id,email,full_name,country,created_at,updated_at' AS columns
+          UNION ALL SELECT 'products', (SELECT count(*) + count(*) FILTER (p_partkey % 3 = 0) FROM part),
+                 (SELECT count(*) FROM products_silver), 0, 'product_id,sku,name,category,price_usd,is_active,updated_at'
+          UNION ALL SELECT 'events', (SELECT count(*) + count(*) FILTER (event_id % 3 = 0) FROM events),
+                 (SELECT count(*) FROM events_silver), (SELECT count(*) FILTER (product_id IS NULL) FROM events_silver),
+                 'event_id,customer_id,product_id,event_type,event_ts,process_ts,lag_minutes'
+          UNION ALL SELECT 'reviews', (SELECT count(*) + count(*) FILTER (length(text) % 3 = 0) FROM conversations),
+                 (SELECT count(*) FROM reviews_silver), 0, 'review_id,customer_id,product_id,rating,review_text,review_ts')""",
     "dim_failure_type": """
         SELECT failure_type, count(*) AS n_signals, min(detected_at) AS first_seen, max(detected_at) AS last_seen,
                min(prio) AS priority,
@@ -194,3 +208,5 @@ SQL = {
                      row_number() OVER (PARTITION BY pipeline_key ORDER BY contains(snap, '_v2') DESC) AS rn
               FROM flagged WHERE is_current) f WHERE rn = 1 GROUP BY 1""",
 }
+
+SQL["stream_running_baseline"] = SQL["running_baseline"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -175,7 +175,7 @@ def snapshot_compare(snaps: DataFrame, as_of: Column, table: str, days_back: int
 class TelemetryRecorder:
     """Runs a DataFrame-returning task, writes its output and records one telemetry row.
 
-    Rows and null share are counted while the output is written (``observe``), not by a second scan.
+    Rows in, rows out and null share are counted while the output is written (``observe``), not by a second scan.
     """
 
     def __init__(self, spark: SparkSession, sink: Callable[[DataFrame], None]) -> None:
@@ -186,15 +186,18 @@ class TelemetryRecorder:
         run_id: str,
         pipeline_key: str,
         task_name: str,
-        task: Callable[[], DataFrame],
+        task: Callable[..., DataFrame],
         write: Callable[[DataFrame], None],
         null_column: str | None = None,
+        inputs: Mapping[str, DataFrame] | None = None,
     ) -> None:
+        """``task`` gets the tables of ``inputs`` by name; their rows, as the task reads them, are ``rows_in``."""
         row = dict.fromkeys(schemas.TASK_TELEMETRY.names)
         started, clock = datetime.now(UTC).replace(tzinfo=None), time.perf_counter()
         row.update(run_id=run_id, pipeline_key=pipeline_key, task_name=task_name, metadata_json="{}")
         try:
-            df = task()
+            read = {name: Observation() for name in inputs or {}}
+            df = task(**{n: inputs[n].observe(o, F.count(F.lit(1)).alias("rows")) for n, o in read.items()})
             seen = Observation()
             null_share = (
                 F.avg(F.col(null_column).isNull().cast("double")) if null_column else F.lit(None).cast("double")
@@ -203,6 +206,7 @@ class TelemetryRecorder:
             got = seen.get
             row.update(
                 status="SUCCESS",
+                rows_in=sum(o.get["rows"] for o in read.values()) if read else None,
                 rows_out=got["rows"],
                 schema_snapshot_json=json.dumps({f.name: f.dataType.simpleString() for f in df.schema.fields}),
             )

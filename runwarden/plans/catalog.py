@@ -878,6 +878,21 @@ def stream_signals(t: Tables) -> DataFrame:
     )
 
 
+@plan
+def stream_running_baseline(t: Tables) -> DataFrame:
+    """The running baselines again, kept as state of a stream instead of computed over the history."""
+    return jobs.streamed_baseline(t).select(
+        "run_id",
+        "task_name",
+        "rows_out",
+        "n",
+        F.round("mean", 4).alias("mean"),
+        F.round("sigma", 4).alias("sigma"),
+        F.col("d.mode").alias("mode"),
+        F.col("d.is_anomaly").alias("is_anomaly"),
+    )
+
+
 @plan
 def stream_late_share(t: Tables) -> DataFrame:
     return jobs.streamed_late_share(t)

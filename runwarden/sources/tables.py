@@ -52,6 +52,14 @@ def _at(base: int, seconds: Column) -> Column:
     return F.timestamp_seconds(F.lit(base) + seconds)
 
 
+def _with_older(raw: DataFrame, number: Column, recency: str, outdated: str) -> DataFrame:
+    """``raw`` and, for every third number, an older version of the row with an outdated text."""
+    older = raw.where(number % 3 == 0).withColumns(
+        {recency: F.col(recency) - F.make_dt_interval(F.lit(1)), outdated: F.concat(F.lit("outdated "), outdated)}
+    )
+    return raw.unionByName(older)
+
+
 class Tables:
     """Lazy views of one data folder. Every property is a plan; nothing runs until it is used.
 
@@ -154,6 +162,23 @@ class Tables:
             _at(_EPOCH_2024, F.col("turn") * 3600).alias("review_ts"),
         )
 
+    # -- bronze as it lands: a third of the rows also arrived in an older version ----------
+    @property
+    def landed_customers(self) -> DataFrame:
+        return _with_older(self.raw_customers, F.col("customer_id").cast("long"), "updated_at", "email")
+
+    @property
+    def landed_products(self) -> DataFrame:
+        return _with_older(self.raw_products, F.col("product_id").cast("long"), "updated_at", "category")
+
+    @property
+    def landed_events(self) -> DataFrame:
+        return _with_older(self.raw_events(), F.col("event_id").cast("long"), "process_ts", "event_type")
+
+    @property
+    def landed_reviews(self) -> DataFrame:
+        return _with_older(self.raw_reviews, F.length("review_text"), "review_ts", "review_text")
+
     # -- silver and gold -----------------------------------------------------------
     @cached_property
     def silver_orders(self) -> DataFrame:
@@ -163,19 +188,19 @@ class Tables:
 
     @cached_property
     def silver_customers(self) -> DataFrame:
-        return medallion.silver_customers(self.raw_customers)
+        return medallion.silver_customers(self.landed_customers)
 
     @cached_property
     def silver_products(self) -> DataFrame:
-        return medallion.silver_products(self.raw_products)
+        return medallion.silver_products(self.landed_products)
 
     @cached_property
     def silver_events(self) -> DataFrame:
-        return medallion.silver_events(self.raw_events())
+        return medallion.silver_events(self.landed_events)
 
     @cached_property
     def silver_reviews(self) -> DataFrame:
-        return medallion.silver_reviews(self.raw_reviews)
+        return medallion.silver_reviews(self.landed_reviews)
 
     @cached_property
     def fact_orders(self) -> DataFrame:

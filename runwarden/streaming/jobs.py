@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from runwarden import fixed, schemas
+from runwarden.functions import decisions
 from runwarden.operators import incidents, logs, medallion, rules
 from runwarden.operators.telemetry import TelemetryRecorder
 from runwarden.session import fresh_dir
@@ -90,6 +95,56 @@ def late_share(events: DataFrame, window: str = "1 hour", limit: float = fixed.L
     )
 
 
+# -- running baselines ------------------------------------------------------------------------
+_BASELINE = "pipeline_key string, task_name string, run_id string, rows_out long, n long, mean double, sigma double, last double"
+
+
+def _with_baseline(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Each new run of one task with the count, mean, spread and last value of the runs before it."""
+    n, total, squares, last = state.get if state.exists else (0, "0", "0", None)
+    total, squares = int(total), int(squares)  # whole numbers of any size, so the sums stay exact
+    out = []
+    runs = pd.concat(list(frames)).sort_values(["ended_at", "run_id"])
+    for run_id, value in zip(runs["run_id"], runs["rows_out"], strict=True):
+        mean = total / n if n else None
+        sigma = math.sqrt(max(float(squares) / n - mean * mean, 0.0)) if n else None
+        value = int(value)
+        out.append((*key, run_id, value, n, mean, sigma, last))
+        n, total, squares, last = n + 1, total + value, squares + value * value, float(value)
+    state.update((n, str(total), str(squares), last))
+    yield pd.DataFrame(out, columns=[c.split()[0] for c in _BASELINE.split(", ")])
+
+
+def baseline_stream(runs: DataFrame, sink: str, checkpoint: str, repeats: str = "31 days") -> StreamingQuery:
+    """Runs scored as they arrive against all earlier runs of their task, of which only four numbers are kept.
+
+    A run that arrives again within ``repeats`` of event time counts once. Runs of one batch are taken in time
+    order; a batch holds none older than those before it.
+    """
+    fresh = (
+        runs.where("rows_out is not null")
+        .withWatermark("ended_at", repeats)
+        .dropDuplicatesWithinWatermark(["run_id", "task_name"])
+    )
+    scored = fresh.groupBy("pipeline_key", "task_name").applyInPandasWithState(
+        _with_baseline, _BASELINE, "n long, total string, squares string, last double", "append", "NoTimeout"
+    )
+    return (
+        scored.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", sink)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def decided(scored: DataFrame) -> DataFrame:
+    """Volume decisions of scored runs."""
+    baseline = F.struct("n", "mean", "sigma", "last")
+    return scored.withColumn("d", decisions.volume_decision(F.col("rows_out").cast("double"), baseline))
+
+
 # -- telemetry -----------------------------------------------------------------------------
 class TelemetrySink:
     """Writes every micro-batch with a row about it; ``folder`` and its checkpoint name one stream for good.
@@ -222,14 +277,34 @@ def streamed_telemetry(t: Tables) -> DataFrame:
     return sink.about()
 
 
+def streamed_baseline(t: Tables) -> DataFrame:
+    """Every run of the month scored when it arrived: a week at a time, the week before sent once more."""
+    inbox, sink, state = (fresh_dir(t.spark, f"stream/{x}") for x in ("inbox", "baselines", "state"))
+    runs = t.at("telemetry").withColumn("_week", F.least(F.floor((F.dayofmonth("ended_at") - 1) / 7), F.lit(ARRIVALS - 1)))
+    schema = t.at("telemetry").schema
+    for week in range(ARRIVALS):
+        sent = runs.where((F.col("_week") == week) | (F.col("_week") == week - 1)).drop("_week")
+        sent.write.mode("append").parquet(inbox)
+        _finish(baseline_stream(t.spark.readStream.schema(schema).parquet(inbox), sink, state))
+    return decided(t.spark.read.schema(_BASELINE).parquet(sink))
+
+
 def recorded_telemetry(t: Tables) -> DataFrame:
-    """Telemetry rows of two batch tasks over the given tables."""
+    """Telemetry rows of the silver layer's tasks over the given tables, with the rows they read and wrote."""
     out: list[DataFrame] = []
     recorder = TelemetryRecorder(t.spark, out.append)
-    for name, task, column in (
-        ("silver_orders", lambda: t.silver_orders, "customer_id"),
-        ("silver_customers", lambda: t.holed_customers, "email"),
-    ):
+    tasks = (
+        ("customers", medallion.silver_customers, t.landed_customers, "email"),
+        ("products", medallion.silver_products, t.landed_products, "sku"),
+        ("events", medallion.silver_events, t.landed_events, "product_id"),
+        ("reviews", medallion.silver_reviews, t.landed_reviews, "review_text"),
+    )
+    for name, task, raw, column in tasks:
         path = fresh_dir(t.spark, f"recorded/{name}")
-        recorder.run(f"{name}-run", name, "load", task, lambda df, p=path: df.write.parquet(p), column)
-    return out[0].unionByName(out[1]).drop("started_at", "ended_at", "duration_ms")
+        recorder.run(f"{name}-run", name, "load", task, lambda df, p=path: df.write.parquet(p), column, {"raw": raw})
+    rows = reduce(DataFrame.unionByName, out)
+    null_rate = F.round(F.get_json_object("metadata_json", "$.null_rate").cast("double"), 6)
+    columns = F.array_join(F.map_keys(F.from_json("schema_snapshot_json", "map<string,string>")), ",")
+    return rows.select(
+        "run_id", "pipeline_key", "task_name", "status", "rows_in", "rows_out", null_rate.alias("null_rate"), columns.alias("columns")
+    )

@@ -5,15 +5,11 @@ from oracle import statements
 from runwarden.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-ROWS_ONLY = {
-    "telemetry_rows",
-}
 
 
-def test_every_query_has_sql_unless_it_is_a_sink_or_stream():
+def test_every_query_has_sql():
     own = set(catalog.queries())
-    assert own - set(statements()) == ROWS_ONLY
-    assert set(statements()) <= own
+    assert own == set(statements())
     assert own <= set(contract.queries()) and set(contract.oracle_sql()) <= set(contract.queries())
 
 

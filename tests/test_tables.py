@@ -279,7 +279,7 @@ def test_recorder_records_success_and_failure(spark):
     seen = []
     rec = telemetry.TelemetryRecorder(spark, seen.append)
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
-    rec.run("r1", "p", "t", lambda: orders(spark), sink, "customer_id")
+    rec.run("r1", "p", "t", lambda raw: raw.limit(40), sink, "customer_id", {"raw": orders(spark)})
     with pytest.raises(ZeroDivisionError):
         rec.run("r2", "p", "t", lambda: 1 / 0, sink)
     ok, bad = seen[0].collect()[0], seen[1].collect()[0]

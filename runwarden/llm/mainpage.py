@@ -47,9 +47,11 @@ _ENDS_SVG = frozenset(
 )
 _SVG_HTML = frozenset("foreignobject desc title".split())
 _HOLDERS = frozenset("ul ol dl table tbody thead tfoot tr select menu".split())
+_CHOICES = frozenset("select optgroup option datalist".split())
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|iframe)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    # a comment also ends at <!--> and <!--->, and at --!>
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(script|style|noscript|template|iframe|textarea)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?[a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>"
     r"|<[!?/][^>]*>"
     r"|([^<]+|<)",
@@ -131,6 +133,9 @@ def blocks(page: str) -> list[Block]:
         if text is not None:
             if svg or (in_head and not text.strip()):
                 continue
+            # what a list offers to choose from is a form's
+            if stack and stack[-1][0] in _CHOICES:
+                continue
             in_head = False
             text = html.unescape(text) if "&" in text else text
             parts.append(text)

@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import html
+import itertools
 import lzma
 import random
 import re
@@ -354,6 +355,42 @@ def test_main_page_matches_articles_of_the_given_pages(spark):
         assert found[row.page_id] == " ".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        "<!-->", "<!--->", "<!-- a --!>", "<!-- <p>hidden</p> -->", "<!--a-->", "<textarea>typed <p>in</p></textarea>",
+        "<select><option>one<option>two</select>", "<datalist><option>one</option></datalist>",
+    ],
+)
+def test_main_page_comments_and_fields_inside(inside):
+    page = ARTICLE.replace("</p><p>Second", f"</p>{inside}<p>Second") + "<!-- the end -->"
+    assert mainpage.extract(page, mainpage.trained()) == MAIN_TEXT
+
+
+def test_viterbi_equals_all_label_sequences():
+    chain = mainpage.trained()
+    (t00, t01), (t10, t11) = chain.transitions
+    moves = {(0, 0): t00, (0, 1): t01, (1, 0): t10, (1, 1): t11}
+
+    def score(parts, labels):
+        told = sum(sum(chain.weights.get(f, 0.0) for f in mainpage.features(b)) for b, y in zip(parts, labels, strict=True) if y)
+        return told + sum(moves[pair] for pair in itertools.pairwise(labels))
+
+    for page in mainpage.labelled_pages(40, seed=77):
+        parts = [b for b, _ in page][:9]
+        best = max(score(parts, labels) for labels in itertools.product((0, 1), repeat=len(parts)))
+        assert score(parts, chain.decode(parts)) == pytest.approx(best)
+
+
+def test_main_page_repeats_clashes_and_long_pages(spark):
+    long = "<body>" + ARTICLE.replace("First sentence of it.", "Long sentence here. " * 60_000)
+    rows = [(1, "u", ARTICLE, "t", 3), (1, "u", ARTICLE, "t", 3), (2, "v", long, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    found = sorted((r.page_id, r.n_chars, r.text[:10]) for r in mainpage.main_text(pages).collect())
+    assert found[:2] == [(1, len(MAIN_TEXT), "Title here")] * 2 and found[2][1] > 1_100_000
+    assert mainpage.main_text(pages.limit(0)).count() == 0
+
+
 def test_main_page_null(spark):
     pages = spark.createDataFrame([(1, None, None), (None, "u", "")], "page_id long, url string, html string")
     assert [(r.text, r.n_chars) for r in mainpage.main_text(pages).collect()] == [("", 0), ("", 0)]
@@ -371,3 +408,14 @@ def test_words_and_shingles_do_not_depend_on_segments(monkeypatch):
         for i, word in enumerate(text.split()):
             assert by_text.setdefault(word, words[start + i]) == words[start + i]
     assert len(set(by_text.values())) == len(by_text)
+
+
+def test_long_words_of_regular_order_differ():
+    """Sums modulo 2**64 can't tell a Thue-Morse word from its complement."""
+    for size in (64, 65, 1024, 2048, 4096):
+        order = [bin(i).count("1") % 2 for i in range(size)]
+        words = [bytes(97 + x for x in order), bytes(98 - x for x in order)]
+        hashes, _ = hashing.word_hashes(words)
+        assert hashes[0] != hashes[1]
+        again, _ = hashing.word_hashes([b"a " + words[0] + b" b " + words[1]])
+        assert (again[[1, 3]] == hashes).all()

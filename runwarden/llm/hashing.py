@@ -7,6 +7,7 @@ the longest text times a constant above the hashes themselves.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 _SEGMENT = 1 << 21
+_LONG_WORD = 64  # bytes
 
 
 class _Powers:
@@ -68,7 +70,12 @@ def _segment_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.multiply(raw.astype(np.uint64) + np.uint64(1), up[:-1], out=sums[1:])
     np.cumsum(sums, out=sums)
-    return mix((sums[end] - sums[start]) * down[start]), start
+    hashes = mix((sums[end] - sums[start]) * down[start])
+    # sums modulo 2**64 can be equal for different words of very regular, long order
+    for i in np.flatnonzero(end - start > _LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]], digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes, start
 
 
 def _segments(data: bytes) -> Iterator[tuple[int, bytes]]:

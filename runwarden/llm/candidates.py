@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from runwarden.llm import minhash
 from runwarden.llm.graph import components
-from runwarden.llm.tables import stage
+from runwarden.llm.tables import lean, stage
 
 BLOCK = 8192  # texts of one bucket that one task compares; their sketches take a megabyte
 FAMILY_BLOCK = 1024  # texts of one family on one side of a comparison; their full sets meet in a task
@@ -153,7 +153,7 @@ def links(
 
     small = buckets.where(F.col("size") <= BLOCK).select("key", F.lit(0).alias("block"), "id").join(sketch, "id")
     together = small.select("key", "block", "id", "sketch").repartition("key").sortWithinPartitions("key", "id")
-    forest = together.mapInArrow(lambda x: _spanning(x, by), f"a {kind}, b {kind}")
+    forest = together.mapInArrow(lean(lambda x: _spanning(x, by)), f"a {kind}, b {kind}")
     # a bucket too large for one task is one family
     large = buckets.where(F.col("size") > BLOCK)
     star = large.join(large.groupBy("key").agg(F.min("id").alias("first")), "key")
@@ -180,4 +180,4 @@ def links(
     )
     keys = ("family", "low", "high")
     dealt = placed.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return stage(dealt.mapInArrow(lambda x: _exact(x, by, least), f"a {kind}, b {kind}"), "confirmed")
+    return stage(dealt.mapInArrow(lean(lambda x: _exact(x, by, least)), f"a {kind}, b {kind}"), "confirmed")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from runwarden.llm.hashing import as_bytes, shingles
-from runwarden.llm.tables import slices
+from runwarden.llm.tables import lean, slices
 
 _BLOCK = 1 << 15
 
@@ -91,4 +91,4 @@ def full_sets(docs: DataFrame, width: int, lower: bool) -> DataFrame:
                     [part.column(0), pa.array([_small(x) for x in found], pa.binary())], ["id", "members"]
                 )
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, members binary")
+    return docs.select("id", "text").mapInArrow(lean(run), f"id {kind}, members binary")

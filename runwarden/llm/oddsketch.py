@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from runwarden.llm import candidates, minhash
 from runwarden.llm.graph import components
 from runwarden.llm.hashing import as_bytes, mix, shingles
-from runwarden.llm.tables import slices, stage
+from runwarden.llm.tables import lean, slices, stage
 
 LEAST = (80, 100)
 # A pair of likeness 0.8 agrees in a band with chance 0.8**5; it shares none with chance (1 - 0.328)**48 = 5e-9.
@@ -76,7 +76,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     return docs.mapInArrow(
-        run, f"id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary"
+        lean(run), f"id {kind}, n_shingles long, set_key binary, bands array<long>, sketch binary"
     )
 
 

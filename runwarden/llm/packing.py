@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from runwarden.llm.bpe import OTHER_SPACE, Cache, byte_characters
-from runwarden.llm.tables import slices, stage
+from runwarden.llm.tables import lean, slices, stage
 
 CAPACITY = 2048
 CUT = 512
@@ -33,7 +33,7 @@ PIECES_PER_GROUP = 4096
 
 _LATIN_END = 0x250
 _BEYOND_LATIN = re.compile(f"[{chr(_LATIN_END)}-\U0010ffff]")
-_CACHED_PIECES = 400_000  # with their ids some 80 MB, and as many that were used lately
+_CACHED_PIECES = 300_000  # with their ids some 50 MB, and as many that were used lately
 
 
 def _latin_class(of: regex.Pattern) -> str:
@@ -238,7 +238,7 @@ def pieces(
         codec.words.older, codec.pieces.older = {}, {}
 
     return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(
-        run, schema
+        lean(run), schema
     )
 
 

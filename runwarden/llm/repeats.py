@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm.hashing import as_bytes, inside, mix, windows, word_hashes
-from runwarden.llm.tables import slices, stage
+from runwarden.llm.tables import lean, slices, stage
 from runwarden.session import fresh_dir
 
 WIDTH = 35
@@ -68,7 +68,7 @@ def _write_batches(docs: DataFrame, text_column: str) -> tuple[DataFrame, int]:
     # Equal bucketing lets answers meet the texts without moving the texts again.
     name = f"llm_batches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = docs.mapInArrow(run, "batch long, n_words long, rows binary")
+    stored = docs.mapInArrow(lean(run), "batch long, n_words long, rows binary")
     stored.write.bucketBy(buckets, "batch").option("path", fresh_dir(spark, "llm-batches")).option(
         "compression", "none"
     ).saveAsTable(name)
@@ -134,7 +134,7 @@ def _probes(batches: DataFrame, text_column: str, block: int, groups: int) -> Da
                 )
 
     return batches.select("batch", "rows").mapInArrow(
-        run, "grp int, batch long, hashes binary, repeated binary, blocks binary"
+        lean(run), "grp int, batch long, hashes binary, repeated binary, blocks binary"
     )
 
 
@@ -241,7 +241,7 @@ def _windows_of(joined: DataFrame, text_column: str, width: int, block: int, gro
                 )
 
     return joined.select("batch", "rows", "hits").mapInArrow(
-        run, "grp int, batch long, hashes binary, repeated binary, more binary"
+        lean(run), "grp int, batch long, hashes binary, repeated binary, more binary"
     )
 
 
@@ -322,13 +322,13 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", width: int = WIDT
     groups = max(1, -(-n_words // ENTRIES_PER_GROUP))
 
     probes = _probes(batches, text_column, block, groups).repartition("grp").sortWithinPartitions("grp")
-    hits = stage(probes.mapInArrow(_anchors, "batch long, hits binary"), "anchors")
+    hits = stage(probes.mapInArrow(lean(_anchors), "batch long, hits binary"), "anchors")
     hits = hits.groupBy("batch").agg(F.collect_list("hits").alias("hits"))
     joined = batches.join(hits, "batch", "left")
 
     candidates = _windows_of(joined, text_column, width, block, groups)
     together = candidates.repartition("grp").sortWithinPartitions("grp")
-    marks = stage(together.mapInArrow(_confirmed, "batch long, grp int, bits binary"), "windows")
+    marks = stage(together.mapInArrow(lean(_confirmed), "batch long, grp int, bits binary"), "windows")
     marks = marks.groupBy("batch").agg(F.collect_list(F.struct("grp", "bits")).alias("marks"))
     answered = joined.join(marks, "batch", "left").select("rows", "hits", "marks")
     names = [*docs.columns, *added]
@@ -363,5 +363,5 @@ def remove_repeats(docs: DataFrame, text_column: str = "text", width: int = WIDT
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return answered.mapInArrow(run, f"{schema}, {_ADDED}")
+    return answered.mapInArrow(lean(run), f"{schema}, {_ADDED}")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm.bpe import Cache
-from runwarden.llm.tables import adding, slices
+from runwarden.llm.tables import adding, lean, slices
 
 TRAINING_ROWS = 12_000  # labelled texts that the model is fitted on, at most
 FEATURES_KEPT = 6_000
@@ -155,7 +155,7 @@ def train(
                     [pa.array(features, pa.list_(pa.int32())), part.column(2)], names=["features", "toxic"]
                 )
 
-    got = found.select("id", "text", "toxic").mapInArrow(run, "features array<int>, toxic int").toArrow()
+    got = found.select("id", "text", "toxic").mapInArrow(lean(run), "features array<int>, toxic int").toArrow()
     texts = [x.values.to_numpy() for x in got.column("features")]
     # repeated runs see the rows in any order; the sums of the fit must not depend on it
     toxic = got["toxic"].to_numpy()

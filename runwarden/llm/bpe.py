@@ -40,7 +40,7 @@ def byte_characters() -> list[str]:
 class Cache(dict):
     """Keeps what ``make`` gave for a key. When full, the entries used since the last time it was full stay."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int = CACHED) -> None:
+    def __init__(self, make: Callable[[str], bytes], most: int | None = None) -> None:
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
@@ -54,7 +54,7 @@ class Cache(dict):
         return found
 
     def turn(self) -> None:
-        if len(self) > self.most:
+        if len(self) > (self.most or CACHED):
             self.older = dict(self)
             self.clear()
 

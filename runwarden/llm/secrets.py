@@ -1,10 +1,12 @@
 """Secrets in texts and in what is encoded inside them.
 
 A worklist of layers starts with the text. Every layer is scanned with the base patterns; its percent-encoded,
-backslash-u, base64, UTF-16 and compressed parts are unwrapped into further layers until nothing new appears,
-whether or not a layer is text. A layer
-whose content has been seen on its own way down is not opened again, so cycles end. Every layer carries, for
-each of its bytes, the span of the original text that it came from; spans are code points, end exclusive.
+escaped, base64, UTF-16 and compressed parts are unwrapped into further layers until nothing new appears, whether
+or not a layer is text. Escapes are those of program texts, URLs and markup (``_ESCAPES``). Base64 may run over line
+ends, indents, spaces and written-out line ends. Data deflated without a header bear no mark, so they are opened only
+where they fill a whole base64 run. A layer whose content has been seen on its own way down is not opened again, so
+cycles end. Every layer carries, for each of its bytes, the span of the original text that it came from; spans are
+code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -39,13 +41,27 @@ _KEYWORD = re.compile(rb"passw|secret|token|api_?key")
 _PERCENT = re.compile(rb"(?:%[0-9A-Fa-f]{2})+")
 _PERCENT_TOKEN = re.compile(rb"(?:%[0-9A-Fa-f]{2}|[^\s%])+")
 _PERCENT_BYTE = re.compile(rb"%[0-9A-Fa-f]{2}|.", re.S)
-_UNICODE = re.compile(rb"(?:\\u[0-9A-Fa-f]{4})+|(?:\\U[0-9A-Fa-f]{8})+")
+# Escapes of characters, by form; runs of one form are decoded together, so that surrogates meet.
+_UNITS = (rb"\\u([0-9A-Fa-f]{4})", rb"%u([0-9A-Fa-f]{4})")
+_POINTS = (rb"\\U([0-9A-Fa-f]{8})", rb"\\u\{([0-9A-Fa-f]{1,6})\}", rb"&#[xX]([0-9A-Fa-f]{1,8});", rb"&#([0-9]{1,9});")
+_OCTETS = rb"\\x([0-9A-Fa-f]{2})"
+_NAMES = {b"&amp;": b"&", b"&lt;": b"<", b"&gt;": b">", b"&quot;": b'"', b"&apos;": b"'"}
+_ESCAPES = re.compile(
+    b"|".join([*(b"(?:" + x.replace(b"(", b"(?:") + b")+" for x in (*_UNITS, *_POINTS, _OCTETS)), *_NAMES])
+)
 # at least 16 characters of one run, or of runs on lines that follow each other
 _BASE64 = re.compile(
     rb"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_\r\n-]{16})[A-Za-z0-9+/_-]++(?:[\r\n]++[A-Za-z0-9+/_-]++)*+={0,2}"
 )
 _LINE = re.compile(rb"[A-Za-z0-9+/_-]++={0,2}")
 _LEAST = 16
+# pieces of at least 16 characters, but for the last, between white space and written-out line ends
+_PIECES = re.compile(
+    rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:(?:\s|\\[nrt])++[A-Za-z0-9+/_-]{16,}+)*+"
+    rb"(?:(?:\s|\\[nrt])++[A-Za-z0-9+/_-]++)?={0,2}"
+)
+_PIECE = re.compile(rb"(?:\s|\\[nrt])++|([A-Za-z0-9+/_-]++={0,2})")
+_SPACED = re.compile(rb"[\x20\t\v\f\\]")
 _MAGIC = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\x00")
 # UTF-16 of either order; what is looked for has at least 16 characters, all ASCII
 _WIDE = re.compile(rb"\0?(?:[\t\n\r\x20-\x7e]\0){15,}[\t\n\r\x20-\x7e]?")
@@ -195,6 +211,23 @@ def _compressed(data: Data) -> Iterator[tuple[Data, int, int]]:
             yield content, m.start(), streams.at if streams.whole else len(data)
 
 
+def _inflated(data: Data) -> Data | None:
+    """Content of deflated bytes without a header, if they are nothing but one such stream."""
+    if data[:1] and data[0] & 6 == 6:  # no such kind of block
+        return None
+    opener = zlib.decompressobj(-15)
+
+    def chunks() -> Iterator[bytes]:
+        for at in range(0, len(data), _STEP):
+            yield from _Streams._emptied(opener, data[at : at + _STEP])
+
+    try:
+        content = _held(chunks())
+    except zlib.error:
+        return None
+    return content if opener.eof and not opener.unused_data else None
+
+
 def _replaced(layer: _Layer, pattern: re.Pattern, decode: Callable[[bytes], bytes | None]) -> _Layer | None:
     """The layer with each match decoded in place and the rest kept, or None if nothing changes."""
     data, one = layer.data, isinstance(layer.start, int)
@@ -238,11 +271,18 @@ def _percent(part: bytes) -> bytes:
     return bytes.fromhex(part.replace(b"%", b"").decode())
 
 
-def _unicode(part: bytes) -> bytes | None:
-    if part[1:2] == b"u":
-        units = b"".join(int(x, 16).to_bytes(2, "little") for x in part.split(b"\\u")[1:])
-        return units.decode("utf-16-le", "replace").encode()
-    points = [int(x, 16) for x in part.split(b"\\U")[1:]]
+def _unescaped(part: bytes) -> bytes | None:
+    """What a run of escapes of one form stands for; None if it is no text."""
+    if part in _NAMES:
+        return _NAMES[part]
+    for form in _UNITS:
+        if re.match(form, part):
+            units = b"".join(int(x, 16).to_bytes(2, "little") for x in re.findall(form, part))
+            return units.decode("utf-16-le", "replace").encode()
+    if re.match(_OCTETS, part):
+        return bytes(int(x, 16) for x in re.findall(_OCTETS, part))
+    form = next(x for x in _POINTS if re.match(x, part))
+    points = [int(x, 10 if form == _POINTS[-1] else 16) for x in re.findall(form, part)]
     good = all(p < 0x110000 and not 0xD800 <= p < 0xE000 for p in points)
     return "".join(map(chr, points)).encode() if good else None
 
@@ -292,20 +332,28 @@ def _opened(layer: _Layer) -> Iterator[_Layer]:
             yield from _percent_words(layer)
         if new := _replaced(layer, _PERCENT, _percent):
             yield new
-    if (data.find(b"\\u") >= 0 or data.find(b"\\U") >= 0) and (new := _replaced(layer, _UNICODE, _unicode)):
+    marks = (b"\\u", b"\\U", b"\\x", b"%u", b"&")
+    if any(data.find(x) >= 0 for x in marks) and (new := _replaced(layer, _ESCAPES, _unescaped)):
         yield new
     for m in _BASE64.finditer(data):
         lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
         for start, end in lines:
             if end - start >= _LEAST:
-                for new, _ in _decoded(data[start:end]):
-                    yield _Layer(new, *layer.original(start, end), layer.way, True)
+                place = layer.original(start, end)
+                for new, skipped in _decoded(data[start:end]):
+                    yield _Layer(new, *place, layer.way, True)
+                    if not skipped and (inner := _inflated(new)):
+                        yield _Layer(inner, *place, layer.way, True)
         if len(lines) > 1:
             yield from _joined_lines(layer, lines)
+    for m in _PIECES.finditer(data):
+        if _SPACED.search(m[0]):
+            pieces = [(m.start() + x.start(1), m.start() + x.end(1)) for x in _PIECE.finditer(m[0]) if x[1]]
+            yield from _joined_lines(layer, pieces)
 
 
 def _joined_lines(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Layer]:
-    """Base64 over line ends; each byte has the span of the lines that its characters are on."""
+    """Base64 in several pieces; each byte has the span of the pieces that its characters are in."""
     sizes = np.array([end - start for start, end in lines])
     whole = b"".join(layer.data[start:end] for start, end in lines)
     if len(whole) < _LEAST:
@@ -315,6 +363,8 @@ def _joined_lines(layer: _Layer, lines: list[tuple[int, int]]) -> Iterator[_Laye
     same = len(set(places)) == 1
     starts, ends = np.array(places).T
     for new, skipped in _decoded(whole):
+        if not skipped and (inner := _inflated(new)):
+            yield _Layer(inner, layer.original(*lines[0])[0], layer.original(*lines[-1])[1], layer.way, True)
         if same:
             yield _Layer(new, *places[0], layer.way, True)
             continue

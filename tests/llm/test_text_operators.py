@@ -239,6 +239,54 @@ def test_base64_over_line_ends(width, end):
             assert (starts[0], ends[-1], 0) in spans
 
 
+ESCAPES = [
+    lambda s: "".join(f"%u{ord(c):04x}" for c in s),
+    lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+    lambda s: "".join(f"\\U{ord(c):08X}" for c in s),
+    lambda s: "".join(f"\\x{b:02x}" for b in s.encode()),
+    lambda s: "".join(f"&#{ord(c)};" for c in s),
+    lambda s: "".join(f"&#x{ord(c):X};" for c in s),
+    lambda s: html.escape("".join(f"&#{ord(c)};" for c in s)),
+    lambda s: s.replace("=", "=&quot;"),
+]
+
+
+@pytest.mark.parametrize("wrap", ESCAPES)
+@pytest.mark.parametrize("outer", [str, lambda s: base64.b64encode(s.encode()).decode(), lambda s: urllib.parse.quote(s, safe="")])
+def test_escapes_are_unwrapped(wrap, outer):
+    inner = outer(wrap(SECRET))
+    assert (9, 9 + len(inner), 0) in secrets.all_spans(f"é before {inner} after")
+
+
+def test_escapes_of_characters_beyond_the_first_plane():
+    for escaped in ("\\ud83d\\ude00", "%ud83d%ude00", "\\U0001F600", "\\u{1f600}", "&#x1F600;", "&#128512;", "\\xf0\\x9f\\x98\\x80"):
+        assert secrets._ESCAPES.fullmatch(escaped.encode())
+        assert secrets._unescaped(escaped.encode()).decode() == "\U0001f600"
+    for wrong in (b"&#999999999;", b"&#xd800;", b"\\UFFFFFFFF"):
+        assert secrets._unescaped(wrong) is None
+
+
+@pytest.mark.parametrize("between", [" ", "\n    ", "\\n", "\\r\\n", "\r\n\t"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, lambda s: zlib.compress(s)[2:-4]])
+def test_base64_in_pieces(between, pack):
+    run = base64.b64encode(pack(b", " * 40 + random.Random(1).randbytes(90).hex().upper().encode() + SECRET.encode())).decode()
+    pieces = [run[i : i + 64] for i in range(0, len(run), 64)]
+    text = between.join(pieces)
+    spans = [x for x in secrets.all_spans(f"é a {text} b") if x[2] == 0]
+    assert spans and all(4 <= start and end <= 4 + len(text) for start, end, _ in spans)
+
+
+def test_deflated_without_header():
+    data = zlib.compress(SECRET.encode() + b" and more words" * 9)[2:-4]
+    inner = base64.b64encode(data).decode()
+    assert (2, 2 + len(inner), 0) in secrets.all_spans(f"a {inner} b")
+    # nothing is found in words and numbers that are no such data
+    pick = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZghijklmnopqrstuvwxyz+/"
+    for _ in range(20_000):
+        assert not secrets.all_spans("".join(pick.choices(letters, k=pick.randint(16, 40))))
+
+
 def author(seed, toxic):
     pick = random.Random(seed)
     words = ["".join(pick.choice("aeiorstnl") for _ in range(pick.randint(2, 8))) for _ in range(60)]

@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm.bpe import Cache
-from runwarden.llm.tables import adding, lean, slices
+from runwarden.llm.tables import adding, lean, slices, stage
 
 TRAINING_ROWS = 12_000  # labelled texts that the model is fitted on, at most
-FEATURES_KEPT = 6_000
 _SPACE_BITS = 22
 _LEAST_TEXTS = 4
 _GRADES = 4
@@ -96,30 +95,30 @@ def _information(with_toxic: np.ndarray, count: np.ndarray, share: float) -> np.
     return 2 * (first + clean * np.log(np.maximum(clean, 1) / (count * (1 - share))))
 
 
+def telling(features: np.ndarray, count: np.ndarray, with_toxic: np.ndarray, n_toxic: int, n_texts: int) -> np.ndarray:
+    """The features whose likelihood ratio is above what chance reaches about once among so many.
+
+    Of the ``count`` texts that have a feature, ``with_toxic`` are toxic.
+    """
+    ratio = _information(with_toxic, count, n_toxic / n_texts)
+    return features[ratio >= 2 * np.log(max(2, len(features)))]
+
+
 def fit(texts: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """The model of distinct hashed features per text and labels 0/1."""
+    """The model of the distinct telling features of each text and labels 0/1."""
     if not len(texts) or toxic.min() == toxic.max():
         return Model({}, (30.0, 31.0, 32.0))
-    # counts over the whole space of hashes take less memory than sorting all features
-    flat = np.concatenate(texts)
-    count = np.bincount(flat, minlength=1 << _SPACE_BITS)
-    with_toxic = np.bincount(np.concatenate([x for x, t in zip(texts, toxic, strict=True) if t]), minlength=len(count))
+    rows = np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    features, columns = np.unique(np.concatenate(texts), return_inverse=True)
+    count = np.bincount(columns, minlength=len(features))
+    with_toxic = np.bincount(columns, toxic[rows], minlength=len(features))
     n_toxic, n_clean = toxic.sum(), len(toxic) - toxic.sum()
     odds = np.log((with_toxic + 0.5) / (n_toxic + 1)) - np.log((count - with_toxic + 0.5) / (n_clean + 1))
-    often = np.flatnonzero(count >= _LEAST_TEXTS)
-    rank = _information(with_toxic[often], count[often], n_toxic / len(toxic))
-    # so many features are tried that chance alone reaches this ratio about once
-    best = np.argsort(-rank, kind="stable")[:FEATURES_KEPT]
-    chosen = often[best[rank[best] >= 2 * np.log(max(2, len(often)))]]
-    place = np.full(len(count), -1, dtype=np.int32)
-    place[chosen] = np.arange(len(chosen))
-    kept = [place[x][place[x] >= 0] for x in texts]
-    rows, columns = np.repeat(np.arange(len(texts)), list(map(len, kept))), np.concatenate(kept)
-    markers = np.bincount(rows, odds[chosen][columns] > 2.0, minlength=len(texts))
+    markers = np.bincount(rows, odds[columns] > 2.0, minlength=len(texts))
     cuts = np.quantile(markers[toxic == 1], [1 / 3, 2 / 3])
     grades = np.where(toxic == 1, 1 + np.searchsorted(cuts, markers, side="left"), 0).astype(np.int64)
-    weights, thresholds = fit_ordinal(rows, columns, grades, len(chosen))
-    return Model(dict(zip(chosen.tolist(), weights.tolist(), strict=True)), tuple(thresholds.tolist()))
+    weights, thresholds = fit_ordinal(rows, columns, grades, len(features))
+    return Model(dict(zip(features.tolist(), weights.tolist(), strict=True)), tuple(thresholds.tolist()))
 
 
 def train(
@@ -127,9 +126,10 @@ def train(
 ) -> Model:
     """Fits on at most ``most`` labelled texts, those with the smallest hash of the id; null labels don't count.
 
-    The chosen labels are few by that bound and therefore broadcast; the driver gets hashed features only.
+    The chosen labels are few by that bound and therefore broadcast. Spark counts the features; the driver gets one
+    row for each feature of the hash space (2**22 at most) that enough texts have, then the telling ones of each text.
     """
-    chosen = (
+    chosen_labels = (
         labels.where("toxic is not null")
         .groupBy(F.col(id_column).alias("id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -137,10 +137,33 @@ def train(
         .limit(most)
     )
     found = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(
-        F.broadcast(chosen), "id"
+        F.broadcast(chosen_labels), "id"
     )
     # rows that share an id are one text, that with the smallest hash
     found = found.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    featured = stage(_featured(found), "labelled")
+    counts = (
+        featured.select(F.explode("features").alias("feature"), "toxic")
+        .groupBy("feature")
+        .agg(F.count(F.lit(1)).alias("count"), F.sum("toxic").alias("with_toxic"))
+        .where(F.col("count") >= _LEAST_TEXTS)
+        .toArrow()
+        .sort_by("feature")
+    )
+    n = featured.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("texts")).first()
+    chosen = np.empty(0, np.int32)
+    if n["texts"] and 0 < n["toxic"] < n["texts"]:
+        chosen = telling(*(counts[c].to_numpy() for c in ("feature", "count", "with_toxic")), n["toxic"], n["texts"])
+    got = _only(featured, chosen).toArrow()
+    texts = [x.values.to_numpy() for x in got.column("features")]
+    # repeated runs see the rows in any order; the sums of the fit must not depend on it
+    toxic = got["toxic"].to_numpy()
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), len(texts[i]), toxic[i]))
+    return fit([texts[i] for i in order], toxic[order].astype(np.int64))
+
+
+def _featured(texts: DataFrame) -> DataFrame:
+    """Columns features (distinct, rising), toxic."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Cache(word_features)
@@ -155,12 +178,19 @@ def train(
                     [pa.array(features, pa.list_(pa.int32())), part.column(2)], names=["features", "toxic"]
                 )
 
-    got = found.select("id", "text", "toxic").mapInArrow(lean(run), "features array<int>, toxic int").toArrow()
-    texts = [x.values.to_numpy() for x in got.column("features")]
-    # repeated runs see the rows in any order; the sums of the fit must not depend on it
-    toxic = got["toxic"].to_numpy()
-    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), len(texts[i]), toxic[i]))
-    return fit([texts[i] for i in order], toxic[order].astype(np.int64))
+    return texts.select("id", "text", "toxic").mapInArrow(lean(run), "features array<int>, toxic int")
+
+
+def _only(featured: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """The rows with those of their features that are chosen; both rise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.intersect1d(x.values.to_numpy(), chosen, assume_unique=True) for x in batch.column(0)]
+            own = pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([own, batch.column(1)], names=["features", "toxic"])
+
+    return featured.mapInArrow(lean(run), "features array<int>, toxic int")
 
 
 _GRADED = "severity double, p_toxic double, grade int, toxic boolean"

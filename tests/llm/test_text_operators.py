@@ -317,6 +317,29 @@ def test_toxicity_takes_one_text_of_each_id(spark, monkeypatch):
     assert toxicity.train(given.orderBy("text"), labels) == (texts, toxic)
 
 
+def test_no_telling_feature_is_dropped(spark):
+    # every toxic text has all of many words that clean texts never have
+    words = ["".join(x) for x in itertools.product("aeiou", "bcdfg", "klmno", "prstu", "aeiou", "z")]
+    toxic_text, clean_text = " ".join(words), "clean words of every day"
+    given = docs(spark, [(i, toxic_text if i % 2 else clean_text, "b", i) for i in range(60)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(given, labels)
+    # a feature that hashes like one of the clean text is in every text and tells nothing
+    both = [{f for w in x.split() for f in toxicity.word_features(w)} for x in (toxic_text, clean_text)]
+    assert both[0] ^ both[1] == set(model.weights) and len(model.weights) > 6000
+
+
+def test_telling_features_are_those_of_plain_counts():
+    random_ = np.random.default_rng(2)
+    count = random_.integers(4, 50, 500)
+    with_toxic = random_.binomial(count, random_.random(500))
+    expected = []
+    for i, (n, k) in enumerate(zip(count.tolist(), with_toxic.tolist(), strict=True)):
+        ratio = sum(x * np.log(x / (n * share)) for x, share in ((k, 0.25), (n - k, 0.75)) if x)
+        expected += [i] if 2 * ratio >= 2 * np.log(500) else []
+    assert toxicity.telling(np.arange(500), count, with_toxic, 25, 100).tolist() == expected
+
+
 def test_toxicity_without_labels(spark):
     given = docs(spark, [(1, None, "b", 1), (2, "idiot", "b", 1)])
     labels = spark.createDataFrame([(1, 1, None)], "doc_id long, quality int, toxic int")

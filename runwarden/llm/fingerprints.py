@@ -14,20 +14,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runwarden.llm import candidates, minhash
 from runwarden.llm.graph import components
-from runwarden.llm.hashing import as_bytes, mix, shingles
-from runwarden.llm.tables import slices, stage
+from runwarden.llm.hashing import as_bytes, shingles
+from runwarden.llm.tables import lean, slices, stage
 
 WIDTH = 5
 PERMUTATIONS = 256
 LEAST = (80, 100)
-# A pair of likeness 0.8 shares no band of four values with chance (1 - 0.8**4)**64 = 2e-15.
-ROWS, BANDS = 4, 64
-LEAST_ESTIMATE = 0.67  # five standard deviations of the estimate below 0.8
+# A pair of likeness 0.8 shares no band of four values with chance (1 - 0.8**4)**32 = 5e-8. Bands are made of 16 bits of
+# each value, so the values that are kept for the estimate are all that travels.
+ROWS, BANDS = 4, 32
+LEAST_ESTIMATE = 0.62  # five standard deviations of the estimate below 0.8; 0 confirms all pairs that share a band
 _SEED = 5
 
 
@@ -60,10 +61,24 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     return own.mapInArrow(run, f"id {kind}, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sketches(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The signature whose bands are joined: 16 low bits of ROWS * BANDS permutations, band after band."""
+    return (minhash.signatures(hashes, first, ROWS * BANDS, _SEED) & np.uint32(0xFFFF)).astype("<u2")
+
+
+def _bands(sketch: str) -> Column:
+    """Keys of the bands of a packed signature."""
+    size = 2 * ROWS
+    return F.array(*[F.xxhash64(F.substring(sketch, k * size + 1, size), F.lit(k)) for k in range(BANDS)])
+
+
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_estimate: float = LEAST_ESTIMATE
+) -> DataFrame:
     """Columns id, component_id: near-duplicate classes at Jaccard 0.8 over five-word shingles.
 
-    Texts of equal sets are one class. Candidates share a band; their likeness is confirmed on full sets.
+    Texts of equal sets are one class. Candidates share a band; their likeness is confirmed on full sets, the
+    likelier ones by their signatures first, those estimated below ``least_estimate`` not at all (0: none).
     Texts without words are alone; rows that share an id count as linked; rows without id follow their set.
     """
     own = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -73,31 +88,25 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         for batch in batches:
             for part in slices(batch, 1):
                 hashes, first = shingles(as_bytes(part.column(1).to_pylist(), lower=True), WIDTH)
-                signature = minhash.signatures(hashes, first, PERMUTATIONS, _SEED)
-                band = np.zeros((len(signature), BANDS), np.uint64)
-                for k in range(ROWS):
-                    band = mix(band ^ signature[:, k::ROWS].astype(np.uint64))
-                band = mix(band + np.arange(BANDS, dtype=np.uint64))
-                ends = pa.array(np.arange(0, band.size + 1, BANDS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([minhash.set_key(x) for x in minhash.sets(hashes, first)], pa.binary()),
-                        pa.ListArray.from_arrays(ends, pa.array(band.view(np.int64).ravel())),
-                        pa.array([x.tobytes() for x in signature], pa.binary()),
+                        pa.array([x.tobytes() for x in sketches(hashes, first)], pa.binary()),
                     ],
-                    names=["id", "set_key", "bands", "sketch"],
+                    names=["id", "set_key", "sketch"],
                 )
 
-    signed = stage(own.mapInArrow(run, f"id {kind}, set_key binary, bands array<long>, sketch binary"), "signed")
+    signed = stage(own.mapInArrow(lean(run), f"id {kind}, set_key binary, sketch binary"), "signed")
     classes = stage(
         signed.where("set_key is not null")
         .groupBy("set_key")
-        .agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    by = candidates.Likeness(np.uint32, likeness, LEAST_ESTIMATE)
-    linked = components(candidates.links(own, classes.where("id is not null"), WIDTH, True, LEAST, by))
+    by = candidates.Likeness(np.uint16, likeness, least_estimate)
+    known = classes.where("id is not null").withColumn("bands", _bands("sketch"))
+    linked = components(candidates.links(own, known, WIDTH, True, LEAST, by))
     of_class = classes.select("set_key", "id").join(linked, "id", "left")
     of_class = of_class.select("set_key", F.coalesce("component_id", "id").alias("component_id"))
     return (
@@ -115,13 +124,18 @@ def edited(text: str, following: str) -> str:
 
 _COMPARED = (
     "doc_id {id}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-    "near_edited double, near_next double"
+    "near_edited double, near_next double, component_id {id}"
 )
 
 
-def compared_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def compared_with_next(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: DataFrame | None = None
+) -> DataFrame:
     """Every text against its edited version and against the next document, by falling id; the last meets the first.
 
+    With ``classes``, the result of ``near_duplicates``, rows also get the component_id of their id (the smallest
+    if there are several, null without id); the classes travel to the texts, so the result needs no join.
+
     Ids are numbers. They are cut into blocks at approximate quantiles, and a block also gets the first document
     of the next one, so texts are shuffled once (compressed) and no task needs more than its block, read in
     order. Rows of equal id follow each other in a fixed order; null ids come last; a null text counts as empty.
@@ -139,7 +153,7 @@ def compared_with_next(docs: DataFrame, id_column: str = "doc_id", text_column:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                ids = part.column(0).to_pylist()
+                ids, classed = part.column(0).to_pylist(), part.column(3).to_pylist()
                 rows = []
                 for i, text in enumerate(part.column(1).to_pylist()):
                     packed = None if text is None else zlib.compress(text.encode("utf-8", "surrogatepass"), 1)
@@ -147,37 +161,51 @@ def compared_with_next(docs: DataFrame, id_column: str = "doc_id", text_column:
                     block = last
                     if ids[i] is not None:
                         block = min(last, len(bounds) - bisect_left(rising, ids[i]) - 1)
-                    rows.append((block, 0, ids[i], packed))
-                    if not bounds or ids[i] == bounds[block]:
-                        rows.append((block - 1 if block else last, 1, ids[i], packed))
+                    rows.append((block, 0, ids[i], packed, i))
+                    if not classed[i] and (not bounds or ids[i] == bounds[block]):
+                        rows.append((block - 1 if block else last, 1, ids[i], packed, i))
+                source = pa.array([r[4] for r in rows], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int32()),
                         pa.array([r[1] for r in rows], pa.int32()),
                         pa.array([r[2] for r in rows], part.column(0).type),
                         pa.array([r[3] for r in rows], pa.binary()),
+                        part.column(2).take(source),
+                        part.column(3).take(source),
                     ],
-                    names=["block", "late", "id", "packed"],
+                    names=["block", "late", "id", "packed", "component_id", "classed"],
                 )
 
-    placed = own.mapInArrow(place, f"block int, late int, id {kind}, packed binary").repartition("block")
-    order = placed.sortWithinPartitions("block", "late", F.col("id").desc_nulls_last(), "packed")
-    return order.mapInArrow(_compare, _COMPARED.format(id=kind))
+    rows = own.select("id", "text", F.lit(None).cast(kind).alias("component_id"), F.lit(False).alias("classed"))
+    if classes is not None:
+        least = classes.where("id is not null").groupBy("id").agg(F.min("component_id").alias("component_id"))
+        rows = rows.union(least.select("id", F.lit(None).cast("string"), "component_id", F.lit(True)))
+    schema = f"block int, late int, id {kind}, packed binary, component_id {kind}, classed boolean"
+    placed = rows.mapInArrow(lean(place), schema).repartition("block")
+    # the class of an id comes before its texts
+    order = placed.sortWithinPartitions("block", "late", F.col("id").desc_nulls_last(), F.desc("classed"), "packed")
+    compared = order.mapInArrow(lean(_compare), _COMPARED.format(id=kind))
+    return compared if classes is not None else compared.drop("component_id")
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = None
     run: list[tuple] = []  # documents of one block in order, the last of them still without its next
     held, block, closed = 0, None, False
+    last_class = None, None
     for batch in batches:
         kind = batch.schema.field(2).type
-        for at, late, doc, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for at, late, doc, packed, component, classed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if at != block:
                 run, held, block, closed = [], 0, at, False
+            if classed:
+                last_class = doc, component
+                continue
             if closed:
                 continue
             text = "" if packed is None else zlib.decompress(packed).decode("utf-8", "surrogatepass")
-            run.append((doc, text))
+            run.append((doc, text, last_class[1] if doc == last_class[0] else None))
             held += len(text)
             # a block ends with the first document of the next block
             if late or held > 4_000_000:
@@ -188,20 +216,21 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(run: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    texts = [text for _, text in run]
+    texts = [text for _, text, _ in run]
     new = [edited(text, following) for text, following in zip(texts[:-1], texts[1:], strict=True)]
     own = signatures(texts)
     changed = signatures(new)
     digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in new]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([doc for doc, _ in run[:-1]], kind),
+            pa.array([doc for doc, *_ in run[:-1]], kind),
             pa.array(list(map(len, texts[:-1])), pa.int64()),
             pa.array(digests, pa.string()),
             pa.array([as_string(x) for x in own[:-1]], pa.string()),
             pa.array([as_string(x) for x in changed], pa.string()),
             pa.array(likeness(own[:-1], changed), pa.float64()),
             pa.array(likeness(own[:-1], own[1:]), pa.float64()),
+            pa.array([component for *_, component in run[:-1]], kind),
         ],
         names=[x.split()[0] for x in _COMPARED.split(", ")],
     )

@@ -32,7 +32,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compared_with_next(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return fingerprints.compared_with_next(docs, classes=fingerprints.near_duplicates(docs))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

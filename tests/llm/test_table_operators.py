@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from runwarden.llm import candidates, fingerprints, graph, oddsketch, packing, queries, repeats, vectors, warc
+from runwarden.llm import candidates, fingerprints, graph, minhash, oddsketch, packing, queries, repeats, vectors, warc
 
 WORDS = ["".join(random.Random(i).choice("abcdefghij") for _ in range(6)) for i in range(400)]
 
@@ -111,7 +111,40 @@ def test_odd_sketch_estimates():
         assert abs(found.mean() - share) < 0.02
 
 
+def pairs_near_the_limit(count, size, seed):
+    """Hashes and bounds of sets, two after each other of likeness 0.80 to 0.82."""
+    random_ = np.random.default_rng(seed)
+    sets = []
+    for _ in range(count):
+        union = random_.integers(0, 1 << 63, size, dtype=np.uint64)
+        alone = size - random_.integers(-(-80 * size // 100), 82 * size // 100 + 1)
+        cut = random_.integers(0, alone + 1)
+        sets += [union[cut:], np.concatenate((union[:cut], union[alone:]))]
+    return np.concatenate(sets), np.concatenate(([0], np.cumsum(list(map(len, sets)))))
+
+
+@pytest.mark.parametrize("size", [50, 100, 400])
+def test_recall_near_the_limit(size):
+    """Every one of 3,000 pairs shares a band and has an estimate that is confirmed, in both operators."""
+    hashes, first = pairs_near_the_limit(3000, size, size)
+    signature = minhash.signatures(hashes, first, oddsketch.ROWS * oddsketch.BANDS, oddsketch._SEED)
+    sketch = oddsketch.sketches(signature)
+    found = oddsketch.estimate(sketch[::2], sketch[1::2], signature.shape[1])
+    band = np.all([signature[::2, k :: oddsketch.ROWS] == signature[1::2, k :: oddsketch.ROWS] for k in range(oddsketch.ROWS)], axis=0)
+    assert ((found >= oddsketch.LEAST_ESTIMATE) & band.any(1)).mean() > 0.999
+    sketch = fingerprints.sketches(hashes, first)
+    found = fingerprints.likeness(sketch[::2], sketch[1::2])
+    same = (sketch[::2] == sketch[1::2]).reshape(3000, fingerprints.BANDS, fingerprints.ROWS).all(2)
+    assert ((found >= fingerprints.LEAST_ESTIMATE) & same.any(1)).mean() > 0.999
+
+
 def test_fingerprint_classes(docs):
+    _, expected = near_components(5)
+    every = fingerprints.near_duplicates(docs, least_estimate=0).collect()
+    assert all(r.component_id == expected[r.id] for r in every if r.id is not None)
+
+
+def test_fingerprint_classes_by_estimate(docs):
     _, expected = near_components(5)
     found = [r for r in fingerprints.near_duplicates(docs).collect() if r.id is not None]
     assert all(r.component_id == expected[r.id] for r in found)
@@ -134,6 +167,10 @@ def test_fingerprints_compare_with_the_next(docs):
             one, two = shingle_set(own, 5), shingle_set(other, 5)
             exact = len(one & two) / len(one | two) if one | two else 1.0
             assert abs(exact - near) < 0.16
+    _, expected = near_components(5)
+    classed = fingerprints.compared_with_next(docs, classes=fingerprints.near_duplicates(docs)).collect()
+    assert sorted(map(repr, (r[:-1] for r in classed))) == sorted(map(repr, map(tuple, rows)))
+    assert all(r.component_id == expected.get(r.doc_id) for r in classed)
     one = fingerprints.compared_with_next(docs.where("doc_id = 1")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert fingerprints.compared_with_next(docs.limit(0)).count() == 0

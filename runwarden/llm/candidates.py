@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runwarden.llm import minhash
@@ -16,6 +16,7 @@ from runwarden.llm.tables import lean, stage
 
 BLOCK = 8192  # texts of one bucket that one task compares; their sketches take a megabyte
 FAMILY_BLOCK = 1024  # texts of one family on one side of a comparison; their full sets meet in a task
+PIVOTS = 8  # texts of a family of several blocks that all its others are compared with first
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -137,6 +138,57 @@ def _exact(batches: Iterator[pa.RecordBatch], by: Likeness, least: tuple[int, in
             yield _as_pairs(group.column(3), pairs)
 
 
+def _near_pivots(family: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Large families dealt for a comparison of each block with the pivots, which are a side of their own (-1).
+
+    Pivots are the ids with the most pairs in the spanning forests: a text that many were copied from is the
+    likeliest partner of each. Ranks are limited before the shuffle, so a hot family sends few rows.
+    """
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > FAMILY_BLOCK)
+    large = family.join(sizes, "family").withColumn("n", F.ceil(F.col("size") / FAMILY_BLOCK).cast("int"))
+    degrees = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    order = Window.partitionBy("family").orderBy(F.desc("degree"), "id")
+    pivots = large.join(degrees, "id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PIVOTS)
+    members = large.select("family", "id", _dealt("n").alias("side"), F.array(F.lit(-1)).alias("others"))
+    return members.union(
+        pivots.select("family", "id", F.lit(-1).alias("side"), F.sequence(F.lit(0), F.col("n") - 1).alias("others"))
+    )
+
+
+def _dealt(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks).cast("int")
+
+
+def _unsettled(family: DataFrame, cells: DataFrame) -> DataFrame:
+    """Families dealt into pairs of blocks, without those whose ids are known to be connected.
+
+    ``cells`` has the component_id of every id that a pivot reached. Blocks lie inside one cell, or among the ids
+    that none reached; blocks of the same cell needn't meet. A family has at most ``PIVOTS`` cells.
+    """
+    cells = cells.select("id", F.col("component_id").alias("cell")).distinct()
+    placed = family.join(cells, "id", "left")
+    sizes = placed.groupBy(F.col("family").alias("of"), F.col("cell").alias("part")).agg(
+        F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("n")
+    )
+    whole = Window.partitionBy("of")
+    sizes = sizes.withColumn("end", F.sum("n").over(whole.orderBy("part")).cast("int"))
+    sizes = sizes.withColumn("blocks", F.sum("n").over(whole).cast("int"))
+
+    def settled(block: Column) -> Column:
+        return F.col("cell").isNotNull() & (block >= F.col("end") - F.col("n")) & (block < F.col("end"))
+
+    return (
+        placed.join(sizes, (F.col("family") == F.col("of")) & F.col("cell").eqNullSafe(F.col("part")))
+        .select(
+            "family",
+            "id",
+            (F.col("end") - F.col("n") + _dealt("n")).alias("side"),
+            F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda block: ~settled(block)).alias("others"),
+        )
+        .where(F.size("others") > 0)
+    )
+
+
 def links(
     docs: DataFrame, classes: DataFrame, width: int, lower: bool, least: tuple[int, int], by: Likeness
 ) -> DataFrame:
@@ -144,8 +196,9 @@ def links(
 
     ``docs`` has id and text, ``classes`` id, bands (array of keys) and sketch. In every bucket, a spanning
     forest of the likeliest pairs joins ids to families: a bucket of n ids gives n - 1 pairs at most, and all
-    likely pairs lie inside one family. The full sets then travel to their family, or for a large family to
-    each pair of its blocks, and are compared there; no pairs are listed but those found linked and needed.
+    likely pairs lie inside one family. The full sets then travel to their family and are compared there; no
+    pairs are listed but those found linked and needed. Blocks of a large family first meet a few pivots, which
+    is work in proportion to its size; of the pairs of its blocks, only those not connected by that are compared.
     """
     kind = classes.schema["id"].dataType.simpleString()
     buckets = stage(_buckets(classes), "bucket-ids")
@@ -157,18 +210,14 @@ def links(
     # a bucket too large for one task is one family
     large = buckets.where(F.col("size") > BLOCK)
     star = large.join(large.groupBy("key").agg(F.min("id").alias("first")), "key")
-    family = components(_ordered(forest.union(star.select(F.col("first").alias("a"), F.col("id").alias("b")))))
-    family = stage(family.select("id", F.col("component_id").alias("family")).distinct(), "families")
-
-    members = minhash.full_sets(docs.join(family.select("id"), "id", "left_semi"), width, lower)
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("n"))
-    placed = (
-        family.join(sizes, "family")
-        .withColumn("side", F.pmod(F.xxhash64("id"), "n").cast("int"))
-        .join(sketch, "id")
-        .join(members, "id")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(
+    pairs = stage(_ordered(forest.union(star.select(F.col("first").alias("a"), F.col("id").alias("b")))), "likely")
+    family = components(pairs).select("id", F.col("component_id").alias("family")).distinct()
+    family = stage(family, "families")
+
+    def confirmed(placed: DataFrame, label: str) -> DataFrame:
+        members = minhash.full_sets(docs.join(placed.select("id"), "id", "left_semi"), width, lower)
+        rows = placed.join(sketch, "id").join(members, "id").withColumn("other", F.explode("others"))
+        rows = rows.select(
             "family",
             F.least("side", "other").alias("low"),
             F.greatest("side", "other").alias("high"),
@@ -177,7 +226,9 @@ def links(
             "members",
             "side",
         )
-    )
-    keys = ("family", "low", "high")
-    dealt = placed.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return stage(dealt.mapInArrow(lean(lambda x: _exact(x, by, least)), f"a {kind}, b {kind}"), "confirmed")
+        keys = ("family", "low", "high")
+        dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "id")
+        return stage(dealt.mapInArrow(lean(lambda x: _exact(x, by, least)), f"a {kind}, b {kind}"), label)
+
+    near = confirmed(_near_pivots(family, pairs), "pivot-links")
+    return near.union(confirmed(_unsettled(family, components(near)), "confirmed"))

@@ -215,6 +215,8 @@ def links(
     family = stage(family, "families")
 
     def confirmed(placed: DataFrame, label: str) -> DataFrame:
+        # as a table its size is known, so that texts needn't be shuffled to meet few ids
+        placed = stage(placed, f"{label}-placed")
         members = minhash.full_sets(docs.join(placed.select("id"), "id", "left_semi"), width, lower)
         rows = placed.join(sketch, "id").join(members, "id").withColumn("other", F.explode("others"))
         rows = rows.select(

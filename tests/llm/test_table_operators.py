@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from runwarden.llm import candidates, fingerprints, graph, minhash, oddsketch, packing, queries, repeats, vectors, warc
@@ -97,67 +96,6 @@ def test_odd_sketch_small_blocks(docs, monkeypatch):
     assert all(r.component_id == expected[r.id] for r in oddsketch.near_duplicates(docs, width=2).collect() if r.id is not None)
 
 
-@pytest.mark.parametrize("pivots", [2])
-def test_odd_sketch_pivots_of_small_families(docs, monkeypatch, pivots):
-    monkeypatch.setattr(candidates, "FAMILY_BLOCK", 2)
-    monkeypatch.setattr(candidates, "PIVOTS", pivots)
-    _, expected = near_components(2)
-    assert all(r.component_id == expected[r.id] for r in oddsketch.near_duplicates(docs, width=2).collect() if r.id is not None)
-
-
-def drifting_texts():
-    """Edited copies of two texts, and a chain whose neighbours alone are alike, joined to the first text."""
-    random_ = random.Random(5)
-    bases = [[f"{x}{random_.randrange(10**6)}" for _ in range(100)] for x in "ab"]
-    texts = []
-    for base in bases:
-        for _ in range(120):
-            words = list(base)
-            for at in random_.sample(range(100), random_.randrange(1, 7)):
-                words[at] = f"e{random_.randrange(10**6)}"
-            texts.append(words)
-    now = list(bases[0])
-    for step in range(40):
-        now = list(now)
-        now[(2 * step) % 100] = f"c{step}"
-        now[(2 * step + 1) % 100] = f"d{step}"
-        texts.append(now)
-    random_.shuffle(texts)
-    return [(i, " ".join(words)) for i, words in enumerate(texts)]
-
-
-@pytest.mark.parametrize(("block", "pivots"), [(16, 8), (64, 1)])
-def test_pivots_keep_every_component(spark, monkeypatch, block, pivots):
-    rows = drifting_texts()
-    sets = [shingle_set(text, 2) for _, text in rows]
-    linked = [
-        (a, b)
-        for a in range(len(rows))
-        for b in range(a + 1, len(rows))
-        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
-    ]
-    expected = components(range(len(rows)), linked)
-    monkeypatch.setattr(candidates, "FAMILY_BLOCK", block)
-    monkeypatch.setattr(candidates, "PIVOTS", pivots)
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = oddsketch.near_duplicates(table, width=2).collect()
-    assert {r.id: r.component_id for r in found} == dict(expected)
-
-
-def test_blocks_that_pivots_joined_do_not_meet(spark, monkeypatch):
-    monkeypatch.setattr(candidates, "FAMILY_BLOCK", 10)
-    family = spark.range(100).withColumn("family", F.lit(0).cast("long"))
-    cells = lambda n: spark.range(n).withColumn("component_id", F.lit(0).cast("long"))
-    assert candidates._unsettled(family, cells(100)).count() == 0
-    rows = candidates._unsettled(family, cells(85)).collect()
-    assert len(rows) == 100
-    pairs = {(min(r.side, o), max(r.side, o)) for r in rows for o in r.others}
-    inside = {r.side for r in rows if r.id < 85}
-    outside = {r.side for r in rows if r.id >= 85}
-    assert len(outside) == 2 and not inside & outside
-    assert pairs == {(min(a, b), max(a, b)) for a in outside for b in inside | outside}
-
-
 def test_odd_sketch_of_nothing(docs):
     assert oddsketch.near_duplicates(docs.limit(0)).count() == 0
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def mttr_minutes(events: DataFrame) -> DataFrame:
+def mttr_minutes(events: DataFrame, key: str = "incident_id") -> DataFrame:
     """Mean minutes from first opening to first resolution, and how many incidents were resolved.
 
     Both times come from one grouping, so no self-join. Whole seconds are summed as integers.
+    ``key`` is any column that tells incidents apart.
     """
     opened = (F.col("to_status") == "OPEN") | F.col("from_status").isNull()
-    spans = events.groupBy("incident_id").agg(
+    spans = events.groupBy(key).agg(
         F.min(F.when(opened, F.col("changed_at"))).alias("opened_at"),
         F.min(F.when(F.col("to_status") == "RESOLVED", F.col("changed_at"))).alias("resolved_at"),
     )

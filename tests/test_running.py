@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
@@ -116,3 +117,25 @@ def test_first_rows_take_the_least_number(spark):
 @pytest.mark.parametrize("name", ["incidents", "incident_upsert", "detect_volume"])
 def test_minima_are_hashed_not_sorted(spark, name):
     assert "SortAggregate" not in plan_of(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_rows_of_a_chain_and_first_rows_move_once(spark):
+    requests = spark.range(50).selectExpr(
+        "cast(id as string) request_id", "cast(id % 7 as string) incident_id", "'OPEN' to_status",
+        "timestamp_seconds(id) changed_at", "'me' changed_by",
+    )
+    status = requests.groupBy("incident_id").agg(F.lit("OPEN").alias("status"))
+    # the rows are dealt when the plan is built; only what one range leaves to the next is shuffled after that
+    assert plan_of(incidents.apply_status_changes(status, requests)).count("hashpartitioning(incident_id") == 1
+    first = first_rows(requests, ["incident_id"], order_number((F.lit(1), 1)), ("changed_by",), ("request_id",))
+    assert plan_of(first).count("hashpartitioning") <= 2
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 1000])
+def test_running_values_go_on_over_batches(size):
+    rows = sorted(((r[0] or "", r[1] or 0, r[2], r[3], r[4]) for r in chain_rows()), key=lambda r: r[:3])
+    table = pa.table([list(c) for c in zip(*rows, strict=True)], names=["key", "at", "i", "value", "n"])
+    batches = iter(table.to_batches(max_chunksize=size))
+    out = scan._before_each(batches, ["key"], {"total": "n"}, {"last": "value"}, {"total": pa.int64()})
+    got = {r["i"]: (r["total"], r["last"]) for b in out for r in b.to_pylist()}
+    assert got == plain_running(rows)

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import NOW, as_of, embed
 from pyspark.sql import functions as F
@@ -133,3 +134,26 @@ def test_review_words(spark):
     )
     got = {r.review_id: (r.sentiment, r.topic) for r in retrieval.reviews_enriched(df).collect()}
     assert got == {"1": ("positive", "shipping"), "2": ("negative", "quality"), "3": ("neutral", "other")}
+
+
+def test_a_copy_of_the_corpus_serves_many_queries(monkeypatch):
+    pick = random.Random(5)
+    mine = pa.table(
+        {
+            "id": [f"c{i:02d}" for i in range(40)],
+            "_class": pa.array([pick.choice([None, "a", "b"]) for _ in range(40)], pa.string()),
+            "_v": pa.array([None if i == 7 else [pick.choice([0.0, 1.0, 2.0]) for _ in range(4)] for i in range(40)], pa.list_(pa.float64())),
+        }
+    )
+    asked = pa.table(
+        {
+            "query_id": [f"q{i}" for i in range(11)],
+            "_class": pa.array([pick.choice([None, "a", "b"]) for _ in range(11)], pa.string()),
+            "terms": [[{"key": pick.randrange(4), "value": 1.0}] for _ in range(11)],
+        }
+    )
+    assert retrieval.QUERY_BLOCK >= 16 * retrieval.QUERIES_AT_ONCE
+    whole = retrieval._block_best(mine, asked, "id", (), 3, pa.string())
+    monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 2)
+    assert retrieval._block_best(mine, asked, "id", (), 3, pa.string()).to_pylist() == whole.to_pylist()
+    assert whole.num_rows == 33

@@ -12,6 +12,7 @@ from runwarden.operators import baselines, incidents, scan, telemetry
 from runwarden.operators.keyed import first_rows, order_number
 from runwarden.operators.quantiles import exact_quantiles
 from runwarden.plans import catalog
+from runwarden.sources.tables import Tables
 
 NOW = datetime(2024, 2, 1)
 
@@ -139,3 +140,15 @@ def test_running_values_go_on_over_batches(size):
     out = scan._before_each(batches, ["key"], {"total": "n"}, {"last": "value"}, {"total": pa.int64()})
     got = {r["i"]: (r["total"], r["last"]) for b in out for r in b.to_pylist()}
     assert got == plain_running(rows)
+
+
+def test_check_results_are_handed_over_once(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    reports = plan_of(catalog._reports(t))
+    # reports and signals read the same small table of results instead of checking all orders again
+    assert "dq_results" in t._staged and "l_extendedprice" not in reports
+
+
+def test_order_ids_are_made_behind_the_shuffle(spark):
+    plan = plan_of(Tables(spark, "/root/testdata/sf0.001").silver_orders)
+    assert plan.index("concat_ws") < plan.index("hashpartitioning(l_orderkey") and plan.count("concat_ws") == 1

@@ -152,3 +152,50 @@ def test_check_results_are_handed_over_once(spark):
 def test_order_ids_are_made_behind_the_shuffle(spark):
     plan = plan_of(Tables(spark, "/root/testdata/sf0.001").silver_orders)
     assert plan.index("concat_ws") < plan.index("hashpartitioning(l_orderkey") and plan.count("concat_ws") == 1
+
+
+def test_made_columns_give_the_same_running_values_and_do_not_move(spark, ranges):
+    rows = chain_rows()
+    df = spark.createDataFrame(rows, "k string, t long, i long, v string, n long")
+    made = {"key": F.col("k"), "at": F.col("t") + 0, "value": F.concat("v", F.lit(""))}
+    found = scan.running(df, ["key"], ["at", "i"], totals={"total": F.col("n")}, lasts={"last": F.col("value")}, made=made)
+    assert found.columns == [*df.columns, *made, "total", "last"]
+    assert {r["i"]: (r["total"], r["last"]) for r in found.collect()} == plain_running(rows)
+    placed = scan.dealt(df, ["key"], ["at", "i"], lambda ranged: ranged.drop(*made), made)
+    assert set(placed.columns) == {*df.columns, "_at", "_segment"}
+
+
+def test_copies_of_one_row_still_lie_in_several_ranges(spark, ranges):
+    df = spark.range(3000).selectExpr("'hot' key", "0 at")
+    assert scan.dealt(df, ["key"], ["at"]).select("_segment").distinct().count() > 3
+
+
+def test_requests_and_decisions_move_as_numbers(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    texts = {"request_id", "decision_id", "changed_by", "decided_by", "decision", "job_run_id"}
+    assert not texts & set(t.asked_lines.columns)
+    written = []
+    placed = scan.staged
+
+    def kept(df, label):
+        written.append((label, df.columns))
+        return placed(df, label)
+
+    scan.staged = kept
+    try:
+        t.decided.count()
+    finally:
+        scan.staged = placed
+    assert len(written) == 2  # one deal for the requests, one for the decisions
+    assert not texts & {c for _, columns in written for c in columns}
+
+
+def test_plain_and_made_requests_agree(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    opened = t.at("incidents").select("job_run_id", "status")
+    plain = t.asked_lines.select(*[c.alias(n) for n, c in t.status_requests.items()])
+    one, two = (
+        sorted(map(tuple, df.select("incident_id", "from_status", "to_status", "changed_at", "changed_by", "outcome").collect()), key=str)
+        for df in (t.status_changes, incidents.apply_status_changes(opened, plain, "job_run_id"))
+    )
+    assert one == two and len(one) == t.asked_lines.count()

@@ -199,3 +199,23 @@ def test_plain_and_made_requests_agree(spark):
         for df in (t.status_changes, incidents.apply_status_changes(opened, plain, "job_run_id"))
     )
     assert one == two and len(one) == t.asked_lines.count()
+
+
+def test_timeline_by_run_is_sorted_and_equals_that_by_incident(spark):
+    pick = random.Random(6)
+    at = [NOW + timedelta(minutes=m) for m in range(9)]
+    runs = [pick.choice(["hot", "hot", "a", "b", "c"]) for _ in range(400)]
+    rows = spark.createDataFrame([(r, pick.choice(at), pick.choice("xyz")) for r in runs], "job_run_id string, t timestamp, what string")
+    rows = rows.withColumn("incident_id", incidents.incident_id(F.col("job_run_id")))
+    parts = (
+        rows.selectExpr("*", "t detected_at", "what failure_type"),
+        rows.selectExpr("*", "t changed_at", "what from_status", "what to_status"),
+        rows.selectExpr("*", "t created_at", "what tool_name"),
+        rows.selectExpr("*", "t decided_at", "what decision"),
+    )
+    by_run = incidents.incident_timeline(*parts, "job_run_id")
+    found = [tuple(r) for r in by_run.select("incident_id", "at", "kind", "detail").collect()]
+    assert found == sorted(found) and len(found) == 1600
+    assert found == [tuple(r) for r in incidents.incident_timeline(*parts).select("incident_id", "at", "kind", "detail").collect()]
+    # the id stands above the shuffle and in its ranges, but is not among the columns that move
+    assert "rangepartitioning(sha1(" in plan_of(by_run)

@@ -8,7 +8,7 @@ import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
-from runwarden.operators import baselines, incidents, scan, telemetry
+from runwarden.operators import baselines, incidents, quality, scan, telemetry
 from runwarden.operators.keyed import first_rows, order_number
 from runwarden.operators.quantiles import exact_quantiles
 from runwarden.plans import catalog
@@ -154,6 +154,49 @@ def test_order_ids_are_made_behind_the_shuffle(spark):
     assert plan.index("concat_ws") < plan.index("hashpartitioning(l_orderkey") and plan.count("concat_ws") == 1
 
 
+def test_lines_move_once_for_the_checks_on_orders(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for a broadcast
+    try:
+        plan = plan_of(Tables(spark, "/root/testdata/sf0.001").dq_results)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # no shuffle by line for the removal of copies, nor by id to count distinct ones, healthy or doubled
+    assert "hashpartitioning(l_orderkey" in plan
+    assert not any(
+        "l_linenumber#" in part.split(")")[0] or "order_id#" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:]
+    )
+
+
+def test_duplicates_are_counted_by_other_columns_that_tell_the_same(spark):
+    rows = [(1, 1, "1-1"), (1, 1, "1-1"), (1, 2, "1-2"), (2, 1, "2-1")]
+    df = spark.createDataFrame(rows, "a int, b int, id string")
+    check = quality.Check("c", "t", "duplicate_rate", "<=", 0.01, kind="duplicate_rate", column="id")
+    plain, apart = (quality.measured(spark, {"t": df}, [check], told) for told in (None, {"id": ("a", "b")}))
+    assert plain.collect() == apart.collect() and apart.first().observed_value == 0.25
+    assert "keys=[id#" not in plan_of(apart)
+
+
+def test_a_line_without_number_is_an_order_of_its_own(spark, tmp_path):
+    folder = "/root/testdata/sf0.001"
+    lines = Tables(spark, folder).table("lineitem").limit(200).localCheckpoint()
+    lines = lines.withColumn("l_linenumber", F.when(F.col("l_linenumber") != 1, F.col("l_linenumber")))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("orders", "customer", "nation", "events"):
+        Tables(spark, folder).table(name).write.parquet(f"{tmp_path}/{name}.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert t.silver_orders.where("order_id not like '%-%'").count() > 0
+    checks = t.dq_results.where("check_name = 'orders_duplicate_rate'").select("run_id", "observed_value").collect()
+    assert {r.observed_value for r in checks if r.run_id == "dq-healthy"} == {0.0}
+    assert {r.observed_value for r in checks if r.run_id == "prove-duplicate_explosion"} == {0.5}
+
+
+def test_only_the_asked_parts_of_a_proposal_move(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = plan_of(incidents.latest_proposal(t.run_proposals, "job_run_id").select("job_run_id", "remediation_type"))
+    assert "detail_json" not in plan[: plan.index("hashpartitioning(job_run_id")]
+
+
 def test_made_columns_give_the_same_running_values_and_do_not_move(spark, ranges):
     rows = chain_rows()
     df = spark.createDataFrame(rows, "k string, t long, i long, v string, n long")

@@ -8,7 +8,7 @@ import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
-from runwarden.operators import baselines, incidents, quality, scan, telemetry
+from runwarden.operators import baselines, evidence, incidents, quality, scan, telemetry
 from runwarden.operators.keyed import first_rows, order_number
 from runwarden.operators.quantiles import exact_quantiles
 from runwarden.plans import catalog
@@ -262,3 +262,34 @@ def test_timeline_by_run_is_sorted_and_equals_that_by_incident(spark):
     assert found == [tuple(r) for r in incidents.incident_timeline(*parts).select("incident_id", "at", "kind", "detail").collect()]
     # the id stands above the shuffle and in its ranges, but is not among the columns that move
     assert "rangepartitioning(sha1(" in plan_of(by_run)
+
+
+def test_ids_of_incidents_are_made_behind_stage_and_joins(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    held = t.at("incidents")
+    assert "incident_id" not in spark.read.parquet(*held.inputFiles()).columns
+    assert held.columns == t.incidents.columns
+    assert sorted(held.collect(), key=str) == sorted(t.incidents.collect(), key=str)
+
+
+def test_reports_from_repeated_signals_and_rows_without_ids_are_the_same(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+
+    def reports(opened, signals):
+        nothing = t.truth.limit(0)
+        return evidence.rca_report(
+            opened,
+            signals,
+            t.at("dq_results"),
+            t.task_logs,
+            t.telemetry,
+            evidence.correlate_commits(opened.select("pipeline_key"), t.commits),
+            nothing.selectExpr("job_run_id query_id", "failure_type runbook_path", "1 rank"),
+            t.spark.createDataFrame([("demo.silver.customers", "seen")], "table_name string, sampled string"),
+        ).drop("history_sample")
+
+    by_id = reports(t.at("incidents"), t.incident_signals)
+    by_run = reports(t.at("incidents").drop("incident_id"), t.at("signals").unionByName(t.at("signals")))
+    found = by_run.select(by_id.columns).collect()
+    assert sorted(found, key=str) == sorted(by_id.collect(), key=str)
+    assert any("sampled_bad_records=seen" in r["evidence"] for r in found)

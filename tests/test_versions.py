@@ -5,6 +5,7 @@ import uuid
 from datetime import datetime, timedelta
 
 import pytest
+from helpers import plan_of
 from pyspark.sql import functions as F
 
 from runwarden.sources.versions import Conflict, VersionedTable, claim
@@ -152,3 +153,11 @@ def test_claimers_never_share_an_incident(spark):
     claim(table, "late", hour(51), 100)  # a lease of half an hour has run out
     assert table.read().where("claimed_by = 'late'").count() == 30
     assert claim(table, "none", hour(51), 100).number == table.version().number
+
+
+def test_digests_of_a_comparison_move_as_bytes(spark, table):
+    table.replace(rows(spark, (1, "a", 1), (2, "b", 1)), hour(1), buckets=2)
+    table.merge(rows(spark, (2, "c", 2), (3, "d", 2)), hour(2))
+    compared = table.compare(hour(2), hour(1))
+    assert "unhex(sha2(" in plan_of(compared)
+    assert tuple(compared.first())[1:] == (3, 2, 1, 1, 0)

@@ -157,3 +157,26 @@ def test_a_copy_of_the_corpus_serves_many_queries(monkeypatch):
     monkeypatch.setattr(retrieval, "QUERIES_AT_ONCE", 2)
     assert retrieval._block_best(mine, asked, "id", (), 3, pa.string()).to_pylist() == whole.to_pylist()
     assert whole.num_rows == 33
+
+
+def test_queries_of_equal_vectors_are_scored_once(monkeypatch):
+    mine = pa.table(
+        {
+            "id": [f"c{i}" for i in range(9)],
+            "_class": pa.array([None, "a", "b"] * 3, pa.string()),
+            "_v": pa.array([[float(i % 4), 1.0] for i in range(9)], pa.list_(pa.float64())),
+        }
+    )
+    terms = [[{"key": 0, "value": 1.0}], [{"key": 1, "value": 1.0}], []]
+    asked = [{"query_id": f"q{i:02d}", "_class": "ab"[i // 3 % 2], "terms": terms[i % 3]} for i in range(60)]
+
+    def best(queries):
+        table = pa.Table.from_pylist(queries) if queries else pa.Table.from_pylist(asked).slice(0, 0)
+        return retrieval._block_best(mine, table, "id", (), 2, pa.string()).to_pylist()
+
+    alone = [row for query in asked for row in best([query])]
+    scored, sort = [], retrieval.np.lexsort
+    monkeypatch.setattr(retrieval.np, "lexsort", lambda keys: scored.append(1) or sort(keys))
+    assert best(asked) == alone and len(alone) == 120
+    assert len(scored) == 6
+    assert best([]) == []

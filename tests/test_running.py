@@ -8,7 +8,8 @@ import pytest
 from helpers import plan_of
 from pyspark.sql import functions as F
 
-from runwarden.operators import baselines, evidence, incidents, quality, scan, telemetry
+from runwarden.functions import decisions
+from runwarden.operators import baselines, evidence, incidents, logs, perturb, quality, scan, scoring, telemetry
 from runwarden.operators.keyed import first_rows, order_number
 from runwarden.operators.quantiles import exact_quantiles
 from runwarden.plans import catalog
@@ -293,3 +294,32 @@ def test_reports_from_repeated_signals_and_rows_without_ids_are_the_same(spark):
     found = by_run.select(by_id.columns).collect()
     assert sorted(found, key=str) == sorted(by_id.collect(), key=str)
     assert any("sampled_bad_records=seen" in r["evidence"] for r in found)
+
+
+def test_classes_and_tables_of_signals(spark):
+    pick = random.Random(8)
+    shown = [None, "{}", "no json table_name", '{"table_name":"x"}', '{"t\\u0061ble_name":"y"}', '{"a":"table_name"}']
+    classes = ["job_crash", "late_data", "null_spike", "own", "aaa", None]
+    rows = [(f"r{i % 90}", pick.choice(classes), pick.choice("wp"), pick.choice(shown), pick.randrange(3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "job_run_id string, failure_type string, detected_by string, evidence_json string, rule_rank int")
+    found = evidence._signalled(df, "job_run_id")
+    named = F.get_json_object("evidence_json", "$.table_name")
+    first = F.struct(decisions.class_priority(F.col("failure_type")), "rule_rank", "detected_by", "evidence_json")
+    want = df.groupBy("job_run_id").agg(
+        F.array_sort(F.collect_set("failure_type")).alias("classes"),
+        F.min_by(named, F.when(named.isNotNull(), first)).alias("table_name"),
+    )
+    assert sorted(found.collect()[0:], key=str) == sorted(want.collect(), key=str)
+    assert {r.table_name for r in found.collect()} == {None, "x", "y"}
+    assert "HashAggregate(keys=[job_run_id" in plan_of(found) and "bit_or" in plan_of(found)
+
+
+def test_a_question_of_most_incidents_is_dealt_to_several_tasks(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for a broadcast
+    try:
+        plan = plan_of(catalog._reports(Tables(spark, "/root/testdata/sf0.001")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = [part.split(")")[0] for part in plan.split("hashpartitioning(failure")[1:]]
+    assert dealt and sum("_part" in part for part in dealt) == 2

@@ -296,6 +296,37 @@ def test_reports_from_repeated_signals_and_rows_without_ids_are_the_same(spark):
     assert any("sampled_bad_records=seen" in r["evidence"] for r in found)
 
 
+def test_variants_of_a_table_are_measured_in_one_pass(spark):
+    rows = [(1, "1-1", 5.0, False), (1, "1-1", -5.0, True), (2, "2-1", 1.0, True), (2, "2-1", 1.0, True), (3, None, 1.0, False)]
+    df = spark.createDataFrame(rows, "a int, id string, amount double, twice boolean")
+    checks = [
+        quality.Check("copies", "t", "r", "<=", 0.01, kind="duplicate_rate", column="id"),
+        quality.Check("negative", "t", "n", "==", 0.0, kind="violations", predicate="amount < 0"),
+    ]
+    names = {False: [("healthy", "p"), ("other", "q")], True: [("doubled", "p")]}
+
+    def found(df):
+        both = quality.measured(spark, {"t": df}, checks, variants=("twice", (False, True)))
+        return sorted(quality.label_runs(both, names, F.lit(NOW), "twice").collect(), key=str)
+
+    def alone(df):
+        parts = [quality.label_runs(quality.measured(spark, {"t": df.where(F.col("twice") == v)}, checks), n, F.lit(NOW)) for v, n in names.items()]
+        return sorted(parts[0].unionByName(parts[1]).collect(), key=str)
+
+    for some in (df, df.where("twice"), df.limit(0)):
+        assert found(some) == alone(some) and len(found(some)) == 6
+
+
+def test_copies_of_orders_are_removed_once_for_all_checks(spark):
+    plan = plan_of(Tables(spark, "/root/testdata/sf0.001").dq_results)
+    assert len([w for w in plan.split("Window [row_number()")[1:] if "l_orderkey" in w.split("]")[1]]) == 1
+
+
+def test_only_some_rows_are_doubled(spark):
+    df = spark.range(4).withColumn("twice", F.expr("if(id < 2, id = 0, null)"))
+    assert sorted(r.id for r in perturb.perturb_duplicate(df, F.col("twice")).collect()) == [0, 0, 1, 2, 3]
+
+
 def test_classes_and_tables_of_signals(spark):
     pick = random.Random(8)
     shown = [None, "{}", "no json table_name", '{"table_name":"x"}', '{"t\\u0061ble_name":"y"}', '{"a":"table_name"}']
@@ -323,3 +354,14 @@ def test_a_question_of_most_incidents_is_dealt_to_several_tasks(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     dealt = [part.split(")")[0] for part in plan.split("hashpartitioning(failure")[1:]]
     assert dealt and sum("_part" in part for part in dealt) == 2
+
+
+def test_listings_without_runs_or_tasks_have_no_failed_task(spark):
+    payloads = spark.createDataFrame(
+        [('{"runs":null}',), ('{"runs":[]}',), ('{"runs":[{"run_id":1,"tasks":[]},{"run_id":2}]}',), ("no json",), (None,),
+         ('{"runs":[{"run_id":3,"tasks":[{"state":{"result_state":"FAILED"}},{"state":null},{}]}]}',)], "payload string"
+    )
+    found = logs.task_log_explode(payloads, "payload", F.lit(NOW))
+    assert [r.run_id for r in found.collect()] == ["3"]
+    # listings are not built a second time to test whether they are empty
+    assert "size(" not in plan_of(Tables(spark, "/root/testdata/sf0.001").task_logs)

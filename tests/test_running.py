@@ -365,3 +365,17 @@ def test_listings_without_runs_or_tasks_have_no_failed_task(spark):
     assert [r.run_id for r in found.collect()] == ["3"]
     # listings are not built a second time to test whether they are empty
     assert "size(" not in plan_of(Tables(spark, "/root/testdata/sf0.001").task_logs)
+
+
+def test_evidence_does_not_move_with_grades(spark):
+    reports = spark.range(100).selectExpr(
+        "cast(id as string) incident_id", "cast(id as string) job_run_id", "'a' root_cause_type",
+        "transform(sequence(1, 1 + id % 3), x -> cast(x as string)) evidence",
+    )
+    truth = spark.range(100).selectExpr("cast(id as string) job_run_id", "if(id % 2 = 0, 'a', 'b') failure_type")
+    grades = scoring.rca_grades(reports, truth)
+    assert "evidence" not in [c for c in grades.columns] and grades.where("score = 2").count() == 33
+    assert "AS _lines" in plan_of(grades)
+    opened = truth.selectExpr("job_run_id", "job_run_id incident_id", "failure_type primary_failure_type")
+    by_run = scoring.agent_accuracy(grades, opened, "job_run_id")
+    assert sorted(by_run.collect()) == sorted(scoring.agent_accuracy(grades, opened).collect())

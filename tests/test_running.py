@@ -379,3 +379,13 @@ def test_evidence_does_not_move_with_grades(spark):
     opened = truth.selectExpr("job_run_id", "job_run_id incident_id", "failure_type primary_failure_type")
     by_run = scoring.agent_accuracy(grades, opened, "job_run_id")
     assert sorted(by_run.collect()) == sorted(scoring.agent_accuracy(grades, opened).collect())
+
+
+def test_all_mirrors_read_the_incidents_that_were_handed_over(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(catalog.storage, "mirror_sync", lambda store, sources: sources)
+    copies = catalog.mirror_sync(t)
+    held = set(t.at("incidents").inputFiles())
+    # neither copy opens incidents from signals again
+    assert set(copies["incidents"].inputFiles()) == held and set(copies["audit_log"].inputFiles()) == held
+    assert copies["incidents"].columns == t.incidents.columns
